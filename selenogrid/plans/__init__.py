@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ["terrain", "score"]
+GROUPS = ["terrain", "score", "grid", "site"]
 
 
 def load_all() -> None:

@@ -84,3 +84,24 @@ SELECT c.*, degrees(atan(sqrt(dx * dx + dy * dy))) AS slope,
        THEN degrees(atan2(dx, -dy)) + CASE WHEN atan2(dx, -dy) < 0 THEN 360 ELSE 0 END END AS aspect,
   CASE WHEN c.elevation IS NOT NULL THEN sqrt(greatest(q - m * m, 0)) END AS roughness
 FROM cells c JOIN edges e USING (region, row, col) JOIN rough r USING (region, row, col)""", ["cells", "edges", "rough"])
+
+
+def lon_sql(row: str = "row", col: str = "col", at: float = 0.5) -> str:
+    return f"degrees(atan2(origin_x + ({col} + {at}) * resolution_m, origin_y - ({row} + {at}) * resolution_m))"
+
+
+def lat_sql(row: str = "row", col: str = "col", at: float = 0.5) -> str:
+    x, y = f"(origin_x + ({col} + {at}) * resolution_m)", f"(origin_y - ({row} + {at}) * resolution_m)"
+    return f"(-90 + 2 * degrees(atan(sqrt({x} * {x} + {y} * {y}) / (2 * 1737400.0::DOUBLE))))"
+
+
+def cell_sql(lon: str, lat: str) -> tuple[str, str]:
+    """Unrounded row and column of a coordinate."""
+    rho = f"(2 * 1737400.0::DOUBLE * tan(radians(45 + ({lat}) / 2)))"
+    return (f"((origin_y - {rho} * cos(radians({lon}))) / resolution_m)",
+            f"(({rho} * sin(radians({lon})) - origin_x) / resolution_m)")
+
+
+def haversine_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    return (f"(2 * 1737.4::DOUBLE * asin(sqrt(least(1, sin(radians({lat2} - {lat1}) / 2) ** 2 + cos(radians({lat1})) * "
+            f"cos(radians({lat2})) * sin(radians({lon2} - {lon1}) / 2) ** 2))))")

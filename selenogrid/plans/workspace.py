@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from selenogrid.functions.decode import decode_layers
-from selenogrid.operators import scoring, terrain
+from selenogrid.operators import scoring, sites, terrain
 from selenogrid.session import write_table
 from selenogrid.sources import demo_grid
 
@@ -88,3 +88,8 @@ class Workspace:
     def scores(self) -> DataFrame:
         """Safety, mission and final score of every (mission, cell)."""
         return scoring.score_terrain(self.layers, self.missions, self.radii)
+
+    @stored
+    def sites(self) -> DataFrame:
+        """Ranked sites of every mission; spacing suits the 64-cell grids."""
+        return sites.top_sites(self.scores, self.missions, 10, 10)
