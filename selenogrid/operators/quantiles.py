@@ -150,3 +150,19 @@ def average_ranks(df: DataFrame, value: str, out: str, by: Sequence[str]) -> Dat
         *by, F.col("v").alias(value), (F.col("upto") - (F.col("k") - 1) / 2.0).alias(out)
     )
     return df.join(ranks, [*by, value])
+
+
+def ordered_index(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[str], out: str) -> DataFrame:
+    """Zero-based position of every row within ``by``; ``bucket`` must not decrease along the order.
+
+    Rows are numbered inside a bucket and shifted by the counts of earlier buckets, so that a hot group spreads over as
+    many tasks as it has buckets.
+    """
+    by = list(by)
+    work = df.withColumn("_b", bucket)
+    counts = work.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_k"))
+    run = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    shift = counts.select(*by, "_b", F.coalesce(F.sum("_k").over(run), F.lit(0)).alias("_before"))
+    inner = Window.partitionBy(*by, "_b").orderBy(*order)
+    numbered = work.withColumn("_i", F.row_number().over(inner)).join(shift, [*by, "_b"])
+    return numbered.withColumn(out, (F.col("_before") + F.col("_i") - 1).cast("int")).drop("_b", "_i", "_before")

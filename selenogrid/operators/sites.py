@@ -104,6 +104,18 @@ def top_sites(scores: DataFrame, missions: DataFrame, n: int = 10, min_sep: int
                        "safety", "mission", "final", "science", reasoning().alias("reasoning"))
 
 
+def with_sunlight(found: DataFrame, regions: DataFrame, cells: DataFrame, layer: str) -> DataFrame:
+    """Sunlight at each site, through its coordinates. The cell that holds the point is read: rounding a centre
+    coordinate would fall on a half and could move by one."""
+    at = found.join(regions, "region")
+    r, c = geo.lonlat_to_containing_cell(*[F.col(n) for n in ("lon", "lat", "resolution_m", "origin_x", "origin_y")])
+    r, c, _ = geo.clamp_cell(r, c, F.col("height"), F.col("width"))
+    keyed = at.select(*found.columns, r.alias("_r"), c.alias("_c"))
+    light = cells.select("region", F.col("row").alias("_r"), F.col("col").alias("_c"),
+                         F.round(layer, 3).alias("sunlight_fraction"))
+    return keyed.join(light, ["region", "_r", "_c"], "left").drop("_r", "_c")
+
+
 def rerank_by_class(sites: DataFrame, classes: DataFrame) -> DataFrame:
     """Science targets gain 0.1 (at most 1), hazard cells drop to 0, and ranks follow; ties keep their order."""
     joined = sites.join(classes, ["region", "row", "col"], "left")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ["terrain", "score", "grid", "site"]
+GROUPS = ["terrain", "score", "grid", "site", "cluster", "route"]
 
 
 def load_all() -> None:

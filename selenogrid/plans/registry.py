@@ -10,14 +10,14 @@ from selenogrid.plans.workspace import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-_CTES: dict[str, tuple[tuple[str, ...], str]] = {}
+_CTES: dict[str, tuple[tuple[str, ...], str, str]] = {}
 
 
-def cte(name: str, sql: str, needs: Iterable[str] = ()) -> None:
-    """Name a step of the checking SQL, with the steps it reads."""
+def cte(name: str, sql: str, needs: Iterable[str] = (), head: str = "") -> None:
+    """Name a step of the checking SQL, with the steps it reads; ``head`` is the full head of a recursive step."""
     if name in _CTES:
         raise ValueError(f"step {name} is already defined")
-    _CTES[name] = (tuple(needs), sql)
+    _CTES[name] = (tuple(needs), sql, head)
 
 
 def sql(body: str, needs: Iterable[str]) -> str:
@@ -32,8 +32,12 @@ def sql(body: str, needs: Iterable[str]) -> str:
 
     for name in needs:
         visit(name)
-    steps = ",\n".join(f"{n} AS MATERIALIZED ({_CTES[n][1]})" for n in order)
-    return f"WITH {steps}\n{body}" if order else body
+    steps = ",\n".join(f"{_CTES[n][2] or n} AS {'' if _CTES[n][2] else 'MATERIALIZED '}({_CTES[n][1]})" for n in order)
+    body = body.strip()
+    if not order:
+        return body
+    own = f",\n{body[5:]}" if body.startswith("WITH ") else f"\n{body}"
+    return f"WITH RECURSIVE {steps}{own}"
 
 
 def query(name: str, oracle: str | None = None, needs: Iterable[str] = ()) -> Callable:

@@ -46,11 +46,11 @@ def sites_candidates(ws):
 
 
 REASON = """CASE
-  WHEN safety > 0.85 THEN printf('Exceptionally flat, low-roughness terrain (safety=%.2f) ideal for safe touchdown at %.2f°S, %.2f°E.', safety, lat, lon)
-  WHEN mission_type = 'water_ice' AND lat < -88.5 THEN printf('Near-polar location (%.2f°S) maximises access to permanently shadowed regions for ice prospecting (mission=%.2f).', lat, mission)
-  WHEN mission_type = 'geological' THEN printf('Diverse terrain with elevation transitions at %.2f°S offers high geological sampling value (mission=%.2f).', lat, mission)
-  WHEN mission_type = 'atmospheric' AND elevation > 0 THEN printf('Elevated ridge at %.0f m provides extended sunlight exposure for power generation (mission=%.2f).', elevation, mission)
-  ELSE printf('Balanced safety (%.2f) and science (%.2f) score at %.2f°S, %.2f°E.', safety, mission, lat, lon) END"""
+  WHEN safety > 0.85 THEN printf('Exceptionally flat, low-roughness terrain (safety=%.2f) ideal for safe touchdown at %.2f°S, %.2f°E.', round(safety, 2), round(lat, 2), round(lon, 2))
+  WHEN mission_type = 'water_ice' AND lat < -88.5 THEN printf('Near-polar location (%.2f°S) maximises access to permanently shadowed regions for ice prospecting (mission=%.2f).', round(lat, 2), round(mission, 2))
+  WHEN mission_type = 'geological' THEN printf('Diverse terrain with elevation transitions at %.2f°S offers high geological sampling value (mission=%.2f).', round(lat, 2), round(mission, 2))
+  WHEN mission_type = 'atmospheric' AND elevation > 0 THEN printf('Elevated ridge at %.0f m provides extended sunlight exposure for power generation (mission=%.2f).', round(elevation, 0), round(mission, 2))
+  ELSE printf('Balanced safety (%.2f) and science (%.2f) score at %.2f°S, %.2f°E.', round(safety, 2), round(mission, 2), round(lat, 2), round(lon, 2)) END"""
 
 
 @query("sites_top", f"""
@@ -104,25 +104,14 @@ def site_layer_values(ws):
 SR, SC = cell_sql("lon", "lat")
 cte("site_sun", f"""
 SELECT s.mission_id, s.rank, round(c.illumination, 3) AS sunlight_fraction
-FROM (SELECT mission_id, region, rank, greatest(0, least(63, CAST(round_even({SR}, 0) AS INT))) AS r,
-  greatest(0, least(63, CAST(round_even({SC}, 0) AS INT))) AS c FROM sites) s
+FROM (SELECT mission_id, region, rank, greatest(0, least(63, CAST(floor({SR}) AS INT))) AS r,
+  greatest(0, least(63, CAST(floor({SC}) AS INT))) AS c FROM sites) s
 LEFT JOIN cells c ON c.region = s.region AND c.row = s.r AND c.col = s.c""", ["sites", "cells"])
 
 
-def with_sunlight(ws, found):
-    """Sunlight at each site, through its coordinates."""
-    at = found.join(ws.regions, "region")
-    r, c = geo.lonlat_to_cell(*[F.col(n) for n in ("lon", "lat", "resolution_m", "origin_x", "origin_y")])
-    r, c, _ = geo.clamp_cell(r, c, F.col("height"), F.col("width"))
-    keyed = at.select(*found.columns, r.alias("_r"), c.alias("_c"))
-    light = ws.cells.select("region", F.col("row").alias("_r"), F.col("col").alias("_c"), F.round("illumination", 3).alias("sunlight_fraction"))
-    return keyed.join(light, ["region", "_r", "_c"], "left").drop("_r", "_c")
-
-
-@query("site_sunlight", "SELECT mission_id, CAST(count(*) AS BIGINT) AS n, round(avg(sunlight_fraction), 4) AS mean FROM site_sun GROUP BY 1", ["site_sun"])
+@query("site_sunlight", "SELECT mission_id, rank, sunlight_fraction FROM site_sun", ["site_sun"])
 def site_sunlight(ws):
-    """Grouped, because a centre coordinate falls on a rounding half and engines may differ by one cell there."""
-    return with_sunlight(ws, ws.sites).groupBy("mission_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("sunlight_fraction"), 4).alias("mean"))
+    return sites.with_sunlight(ws.sites, ws.regions, ws.cells, "illumination").select(*MR, "sunlight_fraction")
 
 
 # --- distance to shadow, nearest shadow, nearest site, snapping ------------------------------------------------------

@@ -6,9 +6,11 @@ from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from selenogrid.functions import geo
 from selenogrid.functions.decode import decode_layers
-from selenogrid.operators import scoring, sites, terrain
+from selenogrid.operators import anomalies, cluster, energy, routing, scoring, sites, terrain
 from selenogrid.session import write_table
 from selenogrid.sources import demo_grid
 
@@ -93,3 +95,112 @@ class Workspace:
     def sites(self) -> DataFrame:
         """Ranked sites of every mission; spacing suits the 64-cell grids."""
         return sites.top_sites(self.scores, self.missions, 10, 10)
+
+    @stored
+    def cell_clusters(self) -> DataFrame:
+        """Density clusters of every region's cells, on all of them."""
+        return anomalies.cluster_cells(anomalies.cell_points(self.layers))
+
+    @stored
+    def anomalies(self) -> DataFrame:
+        return anomalies.summarize(anomalies.cell_points(self.layers), self.cell_clusters, self.cells)
+
+    @stored
+    def vectors_scaled(self) -> DataFrame:
+        names = ["f0", "f1", "f2", "f3"]
+        raw = self.source("embeddings").select(
+            F.lit("all").alias("grp"), F.col("vec_id").alias("id"), "label",
+            *[F.element_at("embedding", i + 1).cast("double").alias(f) for i, f in enumerate(names)])
+        return cluster.standardize(raw, names, ["grp"])
+
+    @stored
+    def vector_clusters(self) -> DataFrame:
+        names = ["f0", "f1", "f2", "f3"]
+        return cluster.density_cluster(self.vectors_scaled.select("grp", "id", *names), names, 0.9, 10, ["grp"])
+
+    @stored
+    def vector_kth(self) -> DataFrame:
+        names = ["f0", "f1", "f2", "f3"]
+        return cluster.kth_distance(self.vectors_scaled.select("grp", "id", *names), names, 10, ["grp"], 1.0)
+
+    # --- routes ----------------------------------------------------------------------------------------------------
+
+    @stored
+    def given(self) -> DataFrame:
+        return demo_grid.route_steps(self.spark, self.sf_dir, self.regions.count())
+
+    def _legs(self, steps: DataFrame, key: list[str]) -> DataFrame:
+        extra = self.decoded.select("region", "row", "col", "psr", "quality", "ldsm_err", "illumination")
+        facts = self.layers.groupBy("region").agg(F.max("any_ldsm_err").alias("any_ldsm_err"))
+        risky = self.scores.select("mission_id", "region", "row", "col", "resolution_m", "elevation", "slope", "mobility_risk")
+        rover = self.missions.select("mission_id", "speed_kmh", "battery_wh", "power_source", "solar_panel_w", "mission_day")
+        work = energy.legs(steps.join(rover, "mission_id"), risky, ["mobility_risk"], key)
+        return work.join(extra, ["region", "row", "col"], "left").join(facts, "region").withColumn("sunlight", F.col("illumination"))
+
+    @stored
+    def given_legs(self) -> DataFrame:
+        return self._legs(self.given, ["route_id"])
+
+    @stored
+    def given_stops(self) -> DataFrame:
+        return energy.recharge_stops(self.given_legs)
+
+    @stored
+    def kept_sites(self) -> DataFrame:
+        return sites.keep_requested(self.sites, self.missions).drop("n_results")
+
+    @stored
+    def waypoints(self) -> DataFrame:
+        return sites.waypoints(self.kept_sites, self.anomalies, self.missions)
+
+    @stored
+    def attempts(self) -> DataFrame:
+        wanted = self.missions.filter("target_lat IS NOT NULL").join(self.regions, "region")
+        r, c = geo.lonlat_to_cell(*[F.col(n) for n in ("target_lon", "target_lat", "resolution_m", "origin_x", "origin_y")])
+        return sites.goals(self.waypoints, self.kept_sites, wanted.select("mission_id", "region", r.alias("row"), c.alias("col")))
+
+    @stored
+    def costs(self) -> DataFrame:
+        return routing.mission_costs(self.scores, self.missions)
+
+    @stored
+    def starts(self) -> DataFrame:
+        first = self.kept_sites.filter("rank = 1").select("mission_id", "region", F.col("row").alias("p_row"), F.col("col").alias("p_col"))
+        return routing.snap_ends(first, self.costs, ["mission_id", "region"])
+
+    @stored
+    def tries(self) -> DataFrame:
+        wanted = self.attempts.select("mission_id", "region", "attempt", F.col("row").alias("p_row"), F.col("col").alias("p_col"))
+        return routing.snap_ends(wanted, self.costs, ["mission_id", "region", "attempt"])
+
+    @stored
+    def reach(self) -> DataFrame:
+        """Least cost from every mission's first site, as far as its goals."""
+        return routing.least_cost(self.costs, self.starts, self.tries)
+
+    @stored
+    def chosen(self) -> DataFrame:
+        """The first goal, in the order tried, that can be reached."""
+        at = self.tries.join(self.reach, ["mission_id", "region", "row", "col"])
+        best = F.min(F.struct("attempt", "row", "col", "g")).alias("b")
+        return at.groupBy("mission_id", "region").agg(best).select("mission_id", "region", "b.*")
+
+    @stored
+    def planned(self) -> DataFrame:
+        return routing.trace(self.reach, self.costs, self.starts, self.chosen)
+
+    @stored
+    def planned_legs(self) -> DataFrame:
+        return self._legs(self.planned, ["mission_id"])
+
+    @stored
+    def planned_stops(self) -> DataFrame:
+        return energy.recharge_stops(self.planned_legs, ["mission_id"])
+
+    @stored
+    def route_stats(self) -> DataFrame:
+        """Statistics, energy and soft-terrain exposure of the planned routes; zeros where there is none."""
+        key = ["mission_id"]
+        legs = self.planned_legs
+        full = energy.path_stats(legs, key).join(energy.path_energy(legs, key), key).join(energy.soft_terrain(legs, key), key)
+        return energy.with_zero_record(self.missions, full, key)

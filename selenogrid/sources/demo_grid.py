@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from selenogrid.operators.grid import densify
+from selenogrid.operators.quantiles import ordered_index
 
 SIDE = 64
 ORDERS_PER_REGION = 5000
@@ -128,14 +129,15 @@ def missions(spark: SparkSession, sf_dir: str, grids: DataFrame) -> DataFrame:
     )
 
 
-def route_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One given route per user; steps jump, so that they also cover non-adjacent moves. One region for each route."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("route_id"),
-        (F.row_number().over(order) - 1).alias("step"),
-        ((F.col("event_id") * 7) % SIDE).cast("int").alias("row"),
-        ((F.col("event_id") * 13) % SIDE).cast("int").alias("col"),
+def route_steps(spark: SparkSession, sf_dir: str, n_regions: int) -> DataFrame:
+    """One given route per user; steps jump, so that they also cover non-adjacent moves. Users map to a region and to the
+    rover request that drives it. Positions are counted hour by hour, so one busy user is no single task."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
+    hour = F.date_trunc("hour", "ts")
+    numbered = ordered_index(events, ["user_id"], hour, ["ts", "event_id"], "step")
+    region = F.concat(F.lit("R"), (F.col("user_id") % n_regions).cast("string"))
+    return numbered.select(
+        F.col("user_id").alias("route_id"), region.alias("region"),
+        F.concat(F.lit("Brand#"), (1 + F.col("user_id") % 25).cast("string"), F.lit("/"), region).alias("mission_id"),
+        "step", ((F.col("event_id") * 7) % SIDE).cast("int").alias("row"), ((F.col("event_id") * 13) % SIDE).cast("int").alias("col"),
     )
