@@ -33,3 +33,8 @@ def truth(pred: Column) -> Column:
 
 def floor_div(x: Column, n: int | Column) -> Column:
     return F.floor(x / n).cast("int")
+
+
+def steady_round(x: Column, digits: int) -> Column:
+    """Round through a decimal, so that noise far below the shown digits cannot tip a half."""
+    return F.round(x.cast("decimal(28,9)"), digits).cast("double")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from selenogrid.functions import physics as ph
-from selenogrid.functions.numeric import clip, zero_if_null
+from selenogrid.functions.numeric import clip, steady_round, zero_if_null
 from selenogrid.session import write_table
 
 CHUNK = 50_000
@@ -91,7 +91,7 @@ def soft_terrain(work: DataFrame, key: Sequence[str] = ("route_id",)) -> DataFra
     risk = work.select(*key, soft_risk().alias("r")).groupBy(*key).agg(
         F.avg("r").alias("mean"), F.max("r").alias("top"), F.avg((F.col("r") > 0.6).cast("double")).alias("high"))
     return risk.select(
-        *key, F.round("mean", 4).alias("mean_soft_risk"), F.round("top", 4).alias("max_soft_risk"),
+        *key, steady_round(F.col("mean"), 4).alias("mean_soft_risk"), F.round("top", 4).alias("max_soft_risk"),
         F.round(100.0 * F.col("high"), 1).alias("soft_terrain_pct"),
         F.when(F.col("top") > 0.7, "HIGH").when(F.col("top") > 0.4, "MODERATE").otherwise("LOW").alias("stuck_risk"),
         (F.col("top") > 0.7).alias("soft_terrain_warning"),

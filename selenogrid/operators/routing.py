@@ -157,6 +157,7 @@ def predecessors(found: DataFrame, costs: DataFrame, starts: DataFrame) -> DataF
 def trace(found: DataFrame, costs: DataFrame, starts: DataFrame, goals: DataFrame, tile: int = TILE) -> DataFrame:
     """Ordered steps from each mission's start to its goal, walked back one tile per task and round."""
     key = ["mission_id", "region"]
+    goals = goals.select(*key, "row", "col")
     near = found.join(goals.join(found, [*key, "row", "col"]).select(*key, F.col("g").alias("goal_g")), key).filter("g <= goal_g")
     back = predecessors(near.drop("goal_g"), costs, starts).withColumn("tile_r", F.floor(F.col("row") / tile).cast("int"))
     back = write_table(back.withColumn("tile_c", F.floor(F.col("col") / tile).cast("int")), "predecessors")

@@ -133,7 +133,7 @@ def keep_requested(sites: DataFrame, missions: DataFrame) -> DataFrame:
 
 
 def within_reach(sites: DataFrame, max_dist: float) -> DataFrame:
-    """Sites within range of the first site; all of them where none but a filter that empties the list would remain."""
+    """Sites within range of the first site; the whole list where the filter would leave none."""
     w = Window.partitionBy("mission_id", "region")
     start = {c: F.max(F.when(F.col("rank") == 1, F.col(c))).over(w) for c in ("row", "col")}
     far = F.hypot(F.col("row") - start["row"], F.col("col") - start["col"])

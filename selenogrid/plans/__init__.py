@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ["terrain", "score", "grid", "site", "cluster", "route"]
+GROUPS = ["terrain", "score", "grid", "site", "cluster", "route", "report", "eval"]
 
 
 def load_all() -> None:

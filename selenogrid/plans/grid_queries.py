@@ -111,10 +111,10 @@ FROM cells GROUP BY ALL""", ["cells"])
 
 
 @query("write_downsampled", """
-SELECT region, row, col, round(elevation, 4) AS elevation, round(illumination, 4) AS illumination FROM half""", ["half"])
+SELECT region, row, col, round(elevation, 4) AS elevation, round(illumination, 6) AS illumination FROM half""", ["half"])
 def write_downsampled(ws):
     small = resample.block_mean(ws.cells, 2, ["elevation", "illumination"])
-    return write_table(small, "half", ["region"]).select(*KEY, r6("elevation", 4), r6("illumination", 4))
+    return write_table(small, "half", ["region"]).select(*KEY, r6("elevation", 4), r6("illumination"))
 
 
 @query("block_mean_partial_blocks", """

@@ -80,7 +80,7 @@ def path_energy(ws):
 
 
 @query("path_soft_terrain", """
-SELECT route_id, round(mean, 4) AS mean_soft_risk, round(top, 4) AS max_soft_risk, round(100 * high, 1) AS soft_terrain_pct,
+SELECT route_id, CAST(round(CAST(mean AS DECIMAL(28, 9)), 4) AS DOUBLE) AS mean_soft_risk, round(top, 4) AS max_soft_risk, round(100 * high, 1) AS soft_terrain_pct,
   CASE WHEN top > 0.7 THEN 'HIGH' WHEN top > 0.4 THEN 'MODERATE' ELSE 'LOW' END AS stuck_risk, top > 0.7 AS soft_terrain_warning
 FROM given_soft""", ["given_soft"])
 def path_soft_terrain(ws):
@@ -153,7 +153,7 @@ def wheel_sinkage(ws):
 
 @query("day_illumination", """
 SELECT mission_id, round(1.5424 * sin(2 * pi() * mission_day / 29.530589), 6) AS sun_elevation,
-  round(avg(least(1, illumination * greatest(0, least(1, (1.5424 * sin(2 * pi() * mission_day / 29.530589) + 1.5424) / 3.0848)))), 6) AS mean_light
+  round(avg(illumination * greatest(0, least(1, (1.5424 * sin(2 * pi() * mission_day / 29.530589) + 1.5424) / 3.0848))), 6) AS mean_light
 FROM missions JOIN cells USING (region) GROUP BY mission_id, mission_day""", ["missions", "cells"])
 def day_illumination(ws):
     work = ws.missions.select("mission_id", "region", "mission_day").join(ws.cells.select("region", "illumination"), "region")

@@ -133,20 +133,20 @@ def sinkage_sql(mass: str, width: str, radius: str, wheels: str, soft: str) -> s
             f" ** (2.0::DOUBLE / 3.0::DOUBLE)")
 
 
-def score_steps(x: str, anc: bool, mobility: bool = True, name: str | None = None, science: bool = True) -> None:
+def score_steps(x: str, anc: bool, mobility: bool = True, name: str | None = None, m: str = "") -> None:
     name = name or f"scores{x}"
-    if f"flats{x}" not in _flats:
-        _flats.add(f"flats{x}")
-        cte(f"standing{x}", f"""
+    if f"flats{x}{m}" not in _flats:
+        _flats.add(f"flats{x}{m}")
+        cte(f"standing{x}{m}", f"""
         SELECT l.region, height, width, row, col, max_slope_deg,
           CASE WHEN elevation IS NOT NULL AND coalesce(slope <= max_slope_deg, false) THEN 1 ELSE 0 END AS ok
-        FROM layers{x} l JOIN limits USING (region)""", [f"layers{x}", "limits"])
+        FROM layers{x} l JOIN limits{m} USING (region)""", [f"layers{x}", f"limits{m}"])
         for r in (1, 2, 3):
-            cte(f"flat{r}{x}", box_sql(f"standing{x}", 2 * r + 1, {"n_ok": ("sum", "ok")}, by="region, max_slope_deg"),
-                [f"standing{x}"])
-        cte(f"flats{x}", " UNION ALL ".join(
+            cte(f"flat{r}{x}{m}", box_sql(f"standing{x}{m}", 2 * r + 1, {"n_ok": ("sum", "ok")}, by="region, max_slope_deg"),
+                [f"standing{x}{m}"])
+        cte(f"flats{x}{m}", " UNION ALL ".join(
             f"SELECT region, max_slope_deg, row, col, {r} AS flat_px, least(1, n_ok / {(2 * r + 1) ** 2}.0::DOUBLE / 0.5)"
-            f" AS flat_sub FROM flat{r}{x}" for r in (1, 2, 3)), [f"flat{r}{x}" for r in (1, 2, 3)])
+            f" AS flat_sub FROM flat{r}{x}{m}" for r in (1, 2, 3)), [f"flat{r}{x}{m}" for r in (1, 2, 3)])
     qual = ("coalesce(greatest(0, least(1, quality / CASE WHEN q_max > 1e-6 THEN q_max ELSE 1 END)), 0)"
             if anc else "1.0::DOUBLE")
     qual = f"CASE WHEN quality IS NULL THEN 0 ELSE {qual} END" if anc else qual
@@ -187,8 +187,8 @@ def score_steps(x: str, anc: bool, mobility: bool = True, name: str | None = Non
       coalesce(exp(-roughness / greatest(wheel_radius_m * 20, 0.1)), 0) AS rough_sub, {qual} AS qual_sub,
       CASE flat_px WHEN 1 THEN prom_1 WHEN 2 THEN prom_2 ELSE prom_3 END AS prom_sub,
       CASE WHEN elevation IS NULL THEN 0 ELSE least(1, {risk} / greatest(0.5 * wheel_radius_m, 1e-6)) END AS mobility_risk
-    FROM layers{x} l JOIN missions m USING (region)
-    JOIN flats{x} f USING (region, max_slope_deg, flat_px, row, col)""", [f"layers{x}", "missions", f"flats{x}"])
+    FROM layers{x} l JOIN missions{m} m USING (region)
+    JOIN flats{x}{m} f USING (region, max_slope_deg, flat_px, row, col)""", [f"layers{x}", f"missions{m}", f"flats{x}{m}"])
     cte(name, f"""
     SELECT mission_id, region, row, col, height, width, resolution_m, origin_x, origin_y, elevation, slope, roughness, passable,
       mobility_risk, slope_sub, rough_sub, qual_sub, flat_sub, prom_sub, rim_mult, illumination, psr, sky_visibility,

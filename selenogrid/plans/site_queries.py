@@ -84,7 +84,7 @@ def sites_rerank_by_class(ws):
 WITH d AS (SELECT s.mission_id, s.rank, sqrt(((s.row - t.row) ** 2 + (s.col - t.col) ** 2)::DOUBLE) AS d FROM sites s
   JOIN sites t ON t.mission_id = s.mission_id AND t.rank = 1)
 SELECT mission_id, rank, round(d, 6) AS start_cells FROM d
-WHERE d <= 25 OR (SELECT count(*) FROM d e WHERE e.mission_id = d.mission_id AND e.d <= 25) = 1""", ["sites"])
+WHERE d <= 25 OR (SELECT count(*) FROM d e WHERE e.mission_id = d.mission_id AND e.d <= 25) = 0""", ["sites"])
 def sites_within_reach(ws):
     return sites.within_reach(ws.sites, 25.0).select(*MR, r6("start_cells"))
 
@@ -103,7 +103,7 @@ def site_layer_values(ws):
 
 SR, SC = cell_sql("lon", "lat")
 cte("site_sun", f"""
-SELECT s.mission_id, s.rank, round(c.illumination, 3) AS sunlight_fraction
+SELECT s.mission_id, s.rank, CAST(round(CAST(c.illumination AS DECIMAL(18, 12)), 3) AS DOUBLE) AS sunlight_fraction
 FROM (SELECT mission_id, region, rank, greatest(0, least(63, CAST(floor({SR}) AS INT))) AS r,
   greatest(0, least(63, CAST(floor({SC}) AS INT))) AS c FROM sites) s
 LEFT JOIN cells c ON c.region = s.region AND c.row = s.r AND c.col = s.c""", ["sites", "cells"])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from selenogrid.functions import geo
 from selenogrid.functions.decode import decode_layers
-from selenogrid.operators import anomalies, cluster, energy, routing, scoring, sites, terrain
+from selenogrid.operators import anomalies, classify, cluster, energy, evaluate, report, routing, scoring, sites, terrain
 from selenogrid.session import write_table
 from selenogrid.sources import demo_grid
 
@@ -204,3 +204,73 @@ class Workspace:
         legs = self.planned_legs
         full = energy.path_stats(legs, key).join(energy.path_energy(legs, key), key).join(energy.soft_terrain(legs, key), key)
         return energy.with_zero_record(self.missions, full, key)
+
+    # --- evaluation and reports --------------------------------------------------------------------------------------
+
+    @stored
+    def varied(self) -> DataFrame:
+        """Scores of one rover in every region under every weight variant."""
+        rover = self.regions.select(
+            "region", F.concat(F.lit("one/"), "region").alias("mission_id"), F.lit("water_ice").alias("mission_type"), F.lit("rtg").alias("power_source"),
+            F.lit("rim").alias("psr_intent"), F.lit(15.0).alias("max_slope_deg"), F.lit(0.3).alias("priority"), F.lit(0.25).alias("wheel_radius_m"),
+            F.lit(0.2).alias("wheel_width_m"), F.lit(150.0).alias("rover_mass_kg"), F.lit(6).alias("n_wheels"), F.lit(1).alias("flat_px"),
+            F.array().cast("array<string>").alias("science_experiments"))
+        parts = scoring.sub_scores(scoring.mission_cells(self.layers, rover, [1]))
+        subs = [F.col(c) for c in ("slope_sub", "rough_sub", "qual_sub", "flat_sub", "prom_sub")]
+        mission = scoring.mission_score(F.col("mission_type"), F.col("psr_intent"), F.col("power_source"))
+        runs = F.array(*[F.struct(F.lit(n).alias("variant"), scoring.safety_score(subs, w, F.col("passable")).alias("safety"))
+                         for n, w in evaluate.WEIGHT_VARIANTS.items()])
+        long = parts.select("region", "height", "width", "row", "col", "passable", "priority", mission.alias("mission"), F.explode(runs).alias("v"))
+        return long.select("region", "height", "width", "row", "col", "passable", "mission", "v.variant", "v.safety",
+                           scoring.blend(F.col("v.safety"), F.col("mission"), F.col("priority")).alias("final"))
+
+    @stored
+    def rank_correlation(self) -> DataFrame:
+        """Rank correlation of every variant's safety with the baseline's, over passable cells."""
+        passable = self.varied.filter("passable").select("region", "row", "col", "variant", "safety")
+        base = passable.filter("variant = 'BASELINE'").select("region", "row", "col", F.col("safety").alias("base"))
+        both = passable.filter("variant <> 'BASELINE'").join(base, ["region", "row", "col"])
+        return evaluate.spearman(both, "base", "safety", ["region", "variant"])
+
+    @stored
+    def combination_checks(self) -> DataFrame:
+        """Rules that hold for a mission by its type, power and intent, from its ranked sites."""
+        near = self.layers.select("region", "row", "col", "psr", "shadow_m", "illumination", "elevation_p50")
+        at = self.sites.drop("mission_type").join(near, ["region", "row", "col"]).join(
+            self.missions.select("mission_id", "mission_type", "power_source", "psr_intent"), "mission_id")
+        three = F.col("rank") <= 3
+        m = at.groupBy("mission_id", "mission_type", "power_source", "psr_intent").agg(
+            F.max(F.when(F.col("rank") == 1, F.col("mission"))).alias("m1"), F.max(F.when(F.col("rank") == 1, F.col("final"))).alias("f1"),
+            F.sum((F.col("psr") >= 0.5).cast("int")).alias("dark"), F.min(F.when(three, F.coalesce("shadow_m", F.lit(1e9)))).alias("near"),
+            F.avg(F.when(three, F.col("illumination"))).alias("lit"), F.avg(F.when(three, F.col("mission"))).alias("m3"),
+            F.avg(F.when(three, F.col("elevation"))).alias("e3"), F.max("elevation_p50").alias("e50"))
+        ice, solar = F.col("mission_type") == "water_ice", F.col("power_source") == "solar"
+        rules = [
+            (ice & (F.col("psr_intent") == "enter"), "mission score positive", F.col("m1") > 0, "m1", "> 0"),
+            (ice, "final score positive", F.col("f1") > 0, "f1", "> 0"),
+            (ice & (F.col("psr_intent") == "rim") & ~solar, "near shadow", F.col("near") <= 5000, "near", "<= 5000"),
+            (solar, "no solar site in shadow", F.col("dark") == 0, "dark", "0"),
+            (solar & (F.col("psr_intent") == "avoid"), "top three lit",
+             F.col("lit") > F.when(F.col("mission_type") == "geological", 0.35).otherwise(0.4), "lit", "> 0.40"),
+            (F.col("mission_type") == "geological", "geological diversity", F.col("m3") > 0.6, "m3", "> 0.60"),
+            (F.col("mission_type") == "atmospheric", "above median elevation", F.col("e3") > F.col("e50"), "e3", "> median"),
+        ]
+        return evaluate.checks_long(m, ["mission_id"], [
+            F.when(applies, evaluate.check(name, ok, F.col(value), want)) for applies, name, ok, value, want in rules])
+
+    @stored
+    def labelled(self) -> DataFrame:
+        """Features of every cell with the rule label of its region's sensitivity rover."""
+        one = self.varied.filter("variant = 'BASELINE'").join(self.layers.select("region", "row", "col", "slope", "roughness"), ["region", "row", "col"])
+        return classify.labelled(self.layers, one)
+
+    @stored
+    def brief(self) -> DataFrame:
+        lit = sites.with_sunlight(self.kept_sites, self.regions, self.cells, "illumination")
+        routes = self.route_stats.select(
+            "mission_id", "has_route", F.col("total_distance_km").alias("km"), F.col("waypoint_count").alias("cells"), F.col("estimated_time_hrs").alias("hours"),
+            F.col("max_slope_deg").alias("peak"), F.col("mean_slope_deg").alias("mean_slope"), F.col("soft_terrain_pct").alias("soft_pct"),
+            F.col("soft_terrain_warning").alias("soft_warning"), F.col("battery_pct_used").alias("pct"), F.col("battery_feasible").alias("feasible"))
+        stops = energy.recharge_totals(self.planned_stops, ["mission_id"]).select(
+            "mission_id", "n_stops", F.round("recharge_hours", 2).alias("stop_hours"), "infeasible")
+        return report.brief(self.missions, lit, routes, self.anomalies, stops)
