@@ -302,7 +302,7 @@ def with_and_without_layers(ws):
 
 @query("set_logic", """
 SELECT m.mission_id, EXISTS (SELECT 1 FROM sites s WHERE s.mission_id = m.mission_id) AS has_sites, NOT EXISTS (SELECT 1 FROM chosen c WHERE c.mission_id = m.mission_id) AS no_goal,
-  5 - len(science_experiments) AS missing FROM missions m""", ["missions", "sites", "chosen"])
+  CAST(5 - len(science_experiments) AS INT) AS missing FROM missions m""", ["missions", "sites", "chosen"])
 def set_logic(ws):
     ids = ws.missions.select("mission_id")
     sited = ids.join(ws.sites, "mission_id", "left_semi").withColumn("has_sites", F.lit(True))

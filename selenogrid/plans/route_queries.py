@@ -288,7 +288,7 @@ cte("plan_energy0", energy_sql("plan_legs", "mission_id"), ["plan_legs"])
 cte("plan_soft0", soft_sql("plan_legs", "mission_id"), ["plan_legs"])
 cte("plan_stats", """
 SELECT m.mission_id, m.region, p.mission_id IS NOT NULL AS has_route, coalesce(total_distance_m / 1000, 0) AS km,
-  coalesce(max_slope_deg, 0) AS max_slope, coalesce(mean_slope_deg, 0) AS mean_slope, coalesce(total_distance_m / 1000 / speed, 0) AS hours,
+  coalesce(p.max_slope_deg, 0) AS max_slope, coalesce(p.mean_slope_deg, 0) AS mean_slope, coalesce(total_distance_m / 1000 / speed, 0) AS hours,
   coalesce(waypoint_count, 0) AS cells, coalesce(round(total, 4), 0) AS wh, coalesce(round(total / battery * 100, 4), 0) AS pct,
   coalesce(round(100 * high, 1), 0) AS soft_pct, coalesce(top > 0.7, false) AS soft_warning
 FROM missions m LEFT JOIN plan_stats0 p USING (mission_id) LEFT JOIN plan_energy0 e USING (mission_id) LEFT JOIN plan_soft0 USING (mission_id)""",
