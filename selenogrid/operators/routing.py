@@ -172,6 +172,8 @@ def trace(found: DataFrame, costs: DataFrame, starts: DataFrame, goals: DataFram
             _walk(tile), "mission_id string, region string, row int, col int, k int, inside boolean"), "walked")
         pieces.append(walked.filter("inside"))
         walkers = walked.filter("NOT inside").select(*key, "row", "col", "k")
+    if not pieces:
+        return found.select(*key, F.lit(0).alias("step"), "row", "col").limit(0)
     steps = reduce(DataFrame.unionByName, pieces)
     total = steps.groupBy(*key).agg(F.max("k").alias("last"))
     return steps.join(total, key).select(*key, (F.col("last") - F.col("k")).cast("int").alias("step"), "row", "col")

@@ -111,10 +111,10 @@ FROM cells GROUP BY ALL""", ["cells"])
 
 
 @query("write_downsampled", """
-SELECT region, row, col, round(elevation, 4) AS elevation, round(illumination, 6) AS illumination FROM half""", ["half"])
+SELECT region, row, col, round(elevation, 8) AS elevation, round(illumination, 8) AS illumination FROM half""", ["half"])
 def write_downsampled(ws):
     small = resample.block_mean(ws.cells, 2, ["elevation", "illumination"])
-    return write_table(small, "half", ["region"]).select(*KEY, r6("elevation", 4), r6("illumination"))
+    return write_table(small, "half", ["region"]).select(*KEY, r6("elevation", 8), r6("illumination", 8))
 
 
 @query("block_mean_partial_blocks", """
@@ -397,7 +397,7 @@ def reproject_bilinear(ws):
 
 
 @query("reproject_cropped", """
-SELECT s.region, t_row, t_col, round(least(1, greatest(0, sum(c.raw_illum * w) / nullif(sum(CASE WHEN c.raw_illum IS NOT NULL THEN w END), 0) / 22396)), 6) AS illumination
+SELECT s.region, t_row, t_col, CASE WHEN count(c.raw_illum) > 0 THEN round(least(1, greatest(0, sum(c.raw_illum * w) / sum(CASE WHEN c.raw_illum IS NOT NULL THEN w END) / 22396)), 6) END AS illumination
 FROM (SELECT *, floor(rf - 0.5) + dr AS r, floor(cf - 0.5) + dc AS c,
    CASE dr WHEN 1 THEN rf - 0.5 - floor(rf - 0.5) ELSE 1 - (rf - 0.5 - floor(rf - 0.5)) END
    * CASE dc WHEN 1 THEN cf - 0.5 - floor(cf - 0.5) ELSE 1 - (cf - 0.5 - floor(cf - 0.5)) END AS w
