@@ -30,11 +30,14 @@ def _key(features: Sequence[str], side: float) -> Column:
     return F.array(*[F.floor(F.col(f) / side) for f in features])
 
 
+def _hashed(key: Column, k: int, shift: Sequence[int] | None = None) -> Column:
+    """A bucket as one number: cheap to shuffle and join on. A collision only adds candidates that distance rejects."""
+    return F.xxhash64(*[key[i] + (shift[i] if shift else 0) for i in range(k)])
+
+
 def _around(key: str, k: int) -> Column:
-    """The 3**k keys in and around a bucket."""
-    return F.explode(F.array(*[
-        F.array(*[F.col(key)[i] + d for i, d in enumerate(ds)]) for ds in product((-1, 0, 1), repeat=k)
-    ]))
+    """The 3**k buckets in and around one; distinct, so that a collision cannot count a pair twice."""
+    return F.explode(F.array_distinct(F.array(*[_hashed(F.col(key), k, ds) for ds in product((-1, 0, 1), repeat=k)])))
 
 
 def _dist2(features: Sequence[str], a: str, b: str) -> Column:
@@ -78,7 +81,8 @@ def density_cluster(
     """
     by, features, k = list(by), list(features), len(features)
     fine_side = eps / k**0.5
-    pos = collapse(points, by, features).withColumn("cell", _key(features, fine_side)).withColumn("wide", _key(features, eps))
+    pos = collapse(points, by, features).withColumn("cell", _key(features, fine_side)).withColumn("wide_key", _key(features, eps))
+    pos = pos.withColumn("wide", _hashed(F.col("wide_key"), k))
     sizes = pos.groupBy(*by, "cell").agg(F.sum("w").alias("cell_w"), F.min("pid").alias("cell_pid"))
     pos = pos.join(sizes, [*by, "cell"])
     # a crowded cell is one node; any other position is a node of its own
@@ -86,8 +90,9 @@ def density_cluster(
     pos = pos.withColumn("crowded", crowded).withColumn("node", F.when(crowded, F.col("cell_pid")).otherwise(F.col("pid")))
     pos = write_table(pos.drop("cell_w", "cell_pid"), "positions")
     # nodes with bounding boxes; a node may span up to 2**k wide buckets, so it is kept apart by wide bucket
-    boxes = _boxes(pos, [*by, "wide", "node", "crowded"], features)
-    left = _prefixed(boxes, by, "a").select("*", _around("a_wide", k).alias("b_wide"))
+    boxes = _boxes(pos, [*by, "wide", "wide_key", "node", "crowded"], features)
+    left = _prefixed(boxes, by, "a").select("*", _around("a_wide_key", k).alias("b_wide")).drop("a_wide_key")
+    boxes = boxes.drop("wide_key")
     near = left.join(_prefixed(boxes, by, "b"), [*by, "b_wide"]).filter(_box_gap2(features) <= eps * eps)
     near = write_table(near, "near")
     # 1. core test of lone positions: whole boxes within eps count at once, straddling crowded ones point by point
@@ -182,8 +187,8 @@ def kth_distance(points: DataFrame, features: Sequence[str], k: int, by: Sequenc
     left, found = pos, []
     total = pos.groupBy(*by).agg(F.sum("w").alias("n_all"))
     while True:
-        a = _prefixed(left.withColumn("c", _key(features, side)), by, "a").select("*", _around("a_c", len(features)).alias("c"))
-        b = _prefixed(pos.withColumn("c", _key(features, side)), [*by, "c"], "b")
+        a = _prefixed(left.withColumn("c", _key(features, side)), by, "a").select("*", _around("a_c", len(features)).alias("c")).drop("a_c")
+        b = _prefixed(pos.withColumn("c", _hashed(_key(features, side), len(features))), [*by, "c"], "b")
         d = a.join(b, [*by, "c"]).withColumn("d", F.sqrt(_dist2(features, "a", "b"))).filter(F.col("d") <= side)
         # k positions are enough, since each weighs at least one; the rank filter prunes before the shuffle
         nearest = Window.partitionBy(*by, "a_pid").orderBy("d", "b_pid")

@@ -92,7 +92,7 @@ def least_cost(costs: DataFrame, starts: DataFrame, goals: DataFrame, tile: int
                                         F.col("g").alias("base"), F.lit(-1.0).alias("factor")))
         work = reduce(DataFrame.unionByName, entries)
         improved = write_table(work.groupBy(*key, "tile_r", "tile_c").applyInPandas(
-            _settle(tile), "mission_id string, region string, tile_r int, tile_c int, row int, col int, g double"), "labels")
+            _settle(tile), "mission_id string, region string, tile_r int, tile_c int, row int, col int, g double, cost double"), "labels")
         rounds.append(improved)
         moves = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc"),
                                    F.lit(SQRT2 if dr and dc else 1.0).alias("f")) for dr, dc in MOVES])
@@ -112,7 +112,8 @@ def least_cost(costs: DataFrame, starts: DataFrame, goals: DataFrame, tile: int
 
 
 def labels(rounds: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, rounds).groupBy("mission_id", "region", "row", "col").agg(F.min("g").alias("g"))
+    return reduce(DataFrame.unionByName, rounds).groupBy("mission_id", "region", "row", "col").agg(
+        F.min("g").alias("g"), F.max("cost").alias("cost"))
 
 
 def _settle(tile: int):
@@ -135,39 +136,35 @@ def _settle(tile: int):
         rr, cc = np.nonzero(g < before)
         return pd.DataFrame({
             "mission_id": pdf["mission_id"].iloc[0], "region": pdf["region"].iloc[0], "tile_r": r0 // tile, "tile_c": c0 // tile,
-            "row": (rr + r0).astype("int32"), "col": (cc + c0).astype("int32"), "g": g[rr, cc]})
+            "row": (rr + r0).astype("int32"), "col": (cc + c0).astype("int32"), "g": g[rr, cc], "cost": cost[rr, cc]})
 
     return settle_tile
 
 
-def predecessors(found: DataFrame, costs: DataFrame, starts: DataFrame) -> DataFrame:
-    """For every labelled cell, the neighbour its label came through."""
-    key = ["mission_id", "region"]
-    moves = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc"), F.lit(SQRT2 if dr and dc else 1.0).alias("f"))
-                      for dr, dc in MOVES])
-    offers = found.select(*key, "row", "col", "g", F.explode(moves).alias("m")).select(
-        *key, (F.col("row") + F.col("m.dr")).alias("row"), (F.col("col") + F.col("m.dc")).alias("col"),
-        F.col("g").alias("from_g"), F.col("m.f").alias("f"), F.col("row").alias("p_row"), F.col("col").alias("p_col"))
-    priced = offers.join(costs, [*key, "row", "col"]).join(
-        starts.select(*key, "row", "col"), [*key, "row", "col"], "left_anti")
-    best = F.struct((F.col("from_g") + F.col("cost") * F.col("f")).alias("g"), "p_row", "p_col")
-    return priced.groupBy(*key, "row", "col").agg(F.min(best).alias("b")).select(*key, "row", "col", "b.p_row", "b.p_col")
-
-
-def trace(found: DataFrame, costs: DataFrame, starts: DataFrame, goals: DataFrame, tile: int = TILE) -> DataFrame:
-    """Ordered steps from each mission's start to its goal, walked back one tile per task and round."""
+def trace(found: DataFrame, starts: DataFrame, goals: DataFrame, tile: int = TILE) -> DataFrame:
+    """Ordered steps from each mission's start to its goal, walked back one tile per task and round.
+
+    A walking task holds the labels of one tile and of the ring around it, enough to find the neighbour that each label
+    came through; only tiles on a path are ever visited.
+    """
     key = ["mission_id", "region"]
     goals = goals.select(*key, "row", "col")
-    near = found.join(goals.join(found, [*key, "row", "col"]).select(*key, F.col("g").alias("goal_g")), key).filter("g <= goal_g")
-    back = predecessors(near.drop("goal_g"), costs, starts).withColumn("tile_r", F.floor(F.col("row") / tile).cast("int"))
-    back = write_table(back.withColumn("tile_c", F.floor(F.col("col") / tile).cast("int")), "predecessors")
-    walkers = write_table(goals.join(found, [*key, "row", "col"], "left_semi").select(
+    ends = goals.join(found, [*key, "row", "col"]).select(*key, F.col("g").alias("goal_g"))
+
+    def ring(axis: str) -> Column:
+        lo, hi = F.floor((F.col(axis) - 1) / tile).cast("int"), F.floor((F.col(axis) + 1) / tile).cast("int")
+        return F.explode(F.sequence(lo, hi))
+
+    near = found.join(ends, key).filter("g <= goal_g").select(*key, "row", "col", "g", "cost", ring("row").alias("tile_r"))
+    near = write_table(near.select("*", ring("col").alias("tile_c")).repartition(*key, "tile_r", "tile_c"), "near")
+    first = starts.select(*key, F.col("row").alias("s_row"), F.col("col").alias("s_col"))
+    walkers = write_table(goals.join(ends, key).select(
         *key, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.lit(0).alias("k")), "walkers")
     pieces: list[DataFrame] = []
     while walkers.limit(1).count():
         here = walkers.withColumn("tile_r", F.floor(F.col("row") / tile).cast("int")).withColumn(
             "tile_c", F.floor(F.col("col") / tile).cast("int")).withColumnsRenamed({"row": "w_row", "col": "w_col"})
-        work = here.join(back, [*key, "tile_r", "tile_c"], "left")
+        work = near.join(here.join(first, key), [*key, "tile_r", "tile_c"])
         walked = write_table(work.groupBy(*key, "tile_r", "tile_c").applyInPandas(
             _walk(tile), "mission_id string, region string, row int, col int, k int, inside boolean"), "walked")
         pieces.append(walked.filter("inside"))
@@ -181,20 +178,27 @@ def trace(found: DataFrame, costs: DataFrame, starts: DataFrame, goals: DataFram
 
 def _walk(tile: int):
     def walk_tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Follow predecessors until they leave the tile; the last row is then the entry of the next tile."""
-        known = pdf.dropna(subset=["p_row"])
-        steps = known[["row", "col", "p_row", "p_col"]].to_numpy(dtype=int)
-        back = {(r, c): (pr, pc) for r, c, pr, pc in steps.tolist()}
-        at, k = (int(pdf["w_row"].iloc[0]), int(pdf["w_col"].iloc[0])), int(pdf["k"].iloc[0])
-        rows = [(*at, k)]
-        while at in back:
-            at, k = back[at], k + 1
-            rows.append((*at, k))
-        out = pd.DataFrame(rows, columns=["row", "col", "k"]).astype("int32")
-        home = (pdf["tile_r"].iloc[0], pdf["tile_c"].iloc[0])
-        out["inside"] = (out["row"] // tile == home[0]) & (out["col"] // tile == home[1])
-        out.insert(0, "region", pdf["region"].iloc[0])
-        out.insert(0, "mission_id", pdf["mission_id"].iloc[0])
+        """Follow the cheapest incoming move until the start or the tile's edge; a last row outside enters the next tile."""
+        home_r, home_c = int(pdf["tile_r"].iloc[0]) * tile, int(pdf["tile_c"].iloc[0]) * tile
+        g, cost = np.full((tile + 2, tile + 2), np.inf), np.full((tile + 2, tile + 2), np.inf)
+        rr, cc = pdf["row"].to_numpy() - home_r + 1, pdf["col"].to_numpy() - home_c + 1
+        g[rr, cc], cost[rr, cc] = pdf["g"].to_numpy(), pdf["cost"].to_numpy()
+        one = pdf.iloc[0]
+        start = (int(one["s_row"]) - home_r + 1, int(one["s_col"]) - home_c + 1)
+        at, k = (int(one["w_row"]) - home_r + 1, int(one["w_col"]) - home_c + 1), int(one["k"])
+        rows = [(*at, k, True)]
+        while at != start and rows[-1][3]:
+            r, c = at
+            offers = [(g[r + dr, c + dc] + cost[r, c] * (SQRT2 if dr and dc else 1.0), r + dr, c + dc) for dr, dc in MOVES]
+            _, r, c = min(offers)
+            at, k = (r, c), k + 1
+            rows.append((r, c, k, 1 <= r <= tile and 1 <= c <= tile))
+        out = pd.DataFrame(rows, columns=["row", "col", "k", "inside"])
+        out["row"] = (out["row"] + home_r - 1).astype("int32")
+        out["col"] = (out["col"] + home_c - 1).astype("int32")
+        out["k"] = out["k"].astype("int32")
+        out.insert(0, "region", one["region"])
+        out.insert(0, "mission_id", one["mission_id"])
         return out
 
     return walk_tile

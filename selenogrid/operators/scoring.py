@@ -1,8 +1,8 @@
 """Safety, mission and final scores of every cell for every mission, and the science value map.
 
 A mission names the region it asks for, so missions meet cells by an equi-join on the region; the mission side is small
-and its size is the planner's to check. Only the flat-ground box depends on the rover: it runs once per distinct slope
-limit of a region, carries the cell's other layers along, and missions join its result without a further shuffle.
+and its size is the planner's to check. Only the flat-ground box depends on the rover: it runs before missions join, carries
+the cell's other layers along, and the join with the missions needs no further shuffle.
 """
 
 from __future__ import annotations
@@ -162,8 +162,36 @@ MISSION_COLUMNS = [
 SCORE_COLUMNS = ["mission_id", "region", "row", "col", *GEOMETRY, "elevation", "slope", "roughness"]
 
 
+MAX_LIMIT_COLUMNS = 64
+
+
 def mission_cells(layers: DataFrame, missions: DataFrame, radii: list[int]) -> DataFrame:
-    """Every cell of the region a mission asks for, with the flat-ground and prominence scores at its own radius."""
+    """Every cell of the region a mission asks for, with the flat-ground and prominence scores at its own radius.
+
+    Flat ground depends on the slope limit and the radius only. While few distinct limits are asked for, one stencil adds
+    a column for each limit and radius, so that a cell is shuffled once for all missions; with many, cells are repeated
+    per limit of their region instead.
+    """
+    limits = missions.select("max_slope_deg").distinct().limit(MAX_LIMIT_COLUMNS // len(radii) + 1).collect()
+    if len(limits) * len(radii) > MAX_LIMIT_COLUMNS:
+        return _mission_cells_by_limit(layers, missions, radii)
+    pairs = [(row[0], r) for row in sorted(limits) for r in radii]
+    work = nb.derive(layers, [nb.flat_fraction(f"_flat_{i}", passable(F.lit(lim)), r) for i, (lim, r) in enumerate(pairs)])
+    flats = F.array(*[F.col(f"_flat_{i}") for i in range(len(pairs))])
+    proms = F.array(*[F.col(f"prom_{r}") for r in radii])
+    work = work.select(*[c for c in layers.columns if not c.startswith("prom_")], flats.alias("_flats"), proms.alias("_proms"))
+
+    def place(keys: list[tuple[Column, int]]) -> Column:
+        return F.coalesce(*[F.when(cond, F.lit(i + 1)) for cond, i in keys])
+
+    at = place([((F.col("max_slope_deg") == lim) & (F.col("flat_px") == r), i) for i, (lim, r) in enumerate(pairs)])
+    wanted = missions.select(*MISSION_COLUMNS).withColumn("_at", at).withColumn(
+        "_pr", place([(F.col("flat_px") == r, i) for i, r in enumerate(radii)]))
+    return work.join(wanted, "region").withColumn("flat_sub", F.element_at("_flats", F.col("_at"))).withColumn(
+        "prom_sub", F.element_at("_proms", F.col("_pr"))).drop("_flats", "_proms", "_at", "_pr")
+
+
+def _mission_cells_by_limit(layers: DataFrame, missions: DataFrame, radii: list[int]) -> DataFrame:
     limits = missions.select("region", "max_slope_deg").distinct()
     work = layers.join(limits, "region")
     flats = [nb.flat_fraction(f"flat_{r}", passable(F.col("max_slope_deg")), r) for r in radii]

@@ -187,7 +187,7 @@ class Workspace:
 
     @stored
     def planned(self) -> DataFrame:
-        return routing.trace(self.reach, self.costs, self.starts, self.chosen)
+        return routing.trace(self.reach, self.starts, self.chosen)
 
     @stored
     def planned_legs(self) -> DataFrame:
