@@ -51,3 +51,13 @@ def clamp_cell(row: Column, col: Column, height: Column, width: Column) -> tuple
     """Cell forced into the grid, and whether it was inside."""
     inside = (row >= 0) & (row < height) & (col >= 0) & (col < width)
     return F.greatest(F.lit(0), F.least(row, height - 1)), F.greatest(F.lit(0), F.least(col, width - 1)), inside
+
+
+def native_geometry(
+    embedded_res: Column, embedded_x: Column, embedded_y: Column, map_scale: Column, offset_cells: Column
+) -> tuple[Column, Column, Column]:
+    """Cell size and upper-left origin: the file's own where it carries a sane one, else from the label's scale and the
+    distance of the pole from the edge in cells. NULL where neither is known."""
+    own = F.coalesce((embedded_res > 0) & (embedded_res < 1e8), F.lit(False))
+    return (F.when(own, embedded_res).otherwise(map_scale), F.when(own, embedded_x).otherwise(-offset_cells * map_scale),
+            F.when(own, embedded_y).otherwise(offset_cells * map_scale))

@@ -150,10 +150,19 @@ def _site_order() -> Column:
     )
 
 
+def science_rank(sites: DataFrame, missions: DataFrame) -> DataFrame:
+    """Order of a mission's sites by 0.6 final + 0.4 science where it has experiments, else by rank."""
+    work = sites.join(missions.select("mission_id", F.size("science_experiments").alias("_n")), "mission_id")
+    blend = F.when(F.col("_n") > 0, 0.6 * F.col("final") + 0.4 * F.col("science"))
+    w = Window.partitionBy("mission_id", "region").orderBy(F.desc("science_blend"), "rank")
+    return work.withColumn("science_blend", blend).withColumn("science_rank", F.row_number().over(w)).drop("_n")
+
+
 def waypoints(sites: DataFrame, anomalies: DataFrame, missions: DataFrame, n: int = 3) -> DataFrame:
     """Relevant anomalies by strength, then sites by the mission's rule, no cell twice, ``n`` for each mission."""
-    rule = sites.select("mission_id", "region", "row", "col", F.lit(1).alias("source"),
-                        _site_order().alias("value"), F.col("rank").alias("tie"))
+    # the mission's rule decides; the science order only breaks its ties
+    rule = science_rank(sites, missions).select("mission_id", "region", "row", "col", F.lit(1).alias("source"),
+                                                _site_order().alias("value"), F.col("science_rank").alias("tie"))
     relevant = (
         missions.select("mission_id", "region", "mission_type").join(anomalies, "region")
         .filter(F.array_contains("recommended_for", F.col("mission_type")))

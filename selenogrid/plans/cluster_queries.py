@@ -76,12 +76,13 @@ def kth_distance(ws):
 WITH s AS (SELECT d, row_number() OVER (ORDER BY d DESC) - 1 AS i, count(*) OVER () AS n FROM kth),
 w AS (SELECT *, greatest(1, n // 100) AS skip FROM s WHERE i >= greatest(1, n // 100)),
 z AS (SELECT *, max(d) OVER () AS hi, min(d) OVER () AS lo FROM w)
-SELECT CAST(i AS BIGINT) AS elbow_index, round(d, 5) AS suggested, abs(round(d, 5) - 0.9) <= 0.2 AS ok
+SELECT CAST(i AS BIGINT) AS elbow_index, round(d, 5) AS suggested, CASE WHEN abs(round(d, 5) - 0.9) <= 0.2 THEN 'PASS' WHEN abs(round(d, 5) - 0.9) <= 0.4 THEN 'WARN' ELSE 'FAIL' END AS verdict
 FROM z ORDER BY abs((d - lo) / (hi - lo) - (1 - (i - skip) / (n - skip - 1)::DOUBLE)) DESC, i LIMIT 1""", ["kth"])
 def elbow(ws):
     out = cluster.elbow(ws.vector_kth, "d", ["grp"])
+    off = F.abs(F.round("suggested", 5) - 0.9)
     return out.select(F.col("elbow_index").cast("bigint").alias("elbow_index"), F.round("suggested", 5).alias("suggested"),
-                      (F.abs(F.round("suggested", 5) - 0.9) <= 0.2).alias("ok"))
+                      F.when(off <= 0.2, "PASS").when(off <= 0.4, "WARN").otherwise("FAIL").alias("verdict"))
 
 
 @query("silhouette", """
@@ -100,6 +101,18 @@ def cluster_sizes(ws):
     return ws.vector_clusters.groupBy(F.coalesce("cluster", F.lit(-1)).alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
 
 
+dbscan_steps("vdb2", "vecs", "", 0.7, 10)
+
+
+@query("cluster_sizes_two_eps", """
+SELECT '0.9' AS eps, coalesce(cluster, -1) AS cluster, count(*) AS n FROM vdb_labels GROUP BY ALL UNION ALL
+SELECT '0.7', coalesce(cluster, -1), count(*) FROM vdb2_labels GROUP BY ALL""", ["vdb_labels", "vdb2_labels"])
+def cluster_sizes_two_eps(ws):
+    other = cluster.density_cluster(ws.vectors_scaled.select("grp", "id", *F4), F4, 0.7, 10, ["grp"])
+    both = ws.vector_clusters.withColumn("eps", F.lit("0.9")).unionByName(other.withColumn("eps", F.lit("0.7")))
+    return both.groupBy("eps", F.coalesce("cluster", F.lit(-1)).alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
+
+
 cte("cellpts", "SELECT region, row * 64 + col AS id, " + ", ".join(
     f"({c} - avg({c}) OVER w) / coalesce(nullif(stddev_pop({c}) OVER w, 0), 1) AS {f}"
     for f, c in zip(F4, anomalies.FEATURES, strict=True)) + " FROM layers WINDOW w AS (PARTITION BY region)", ["layers"])

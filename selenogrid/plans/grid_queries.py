@@ -351,6 +351,25 @@ def great_circle(ws):
     return pairs.select("c_custkey", "s_suppkey", F.round(km, 6).alias("km"))
 
 
+@query("catalogue_cells", f"""
+WITH c AS (SELECT * FROM (VALUES (0, 'south_pole_75_90', 30.0::DOUBLE, -457000.0::DOUBLE, 457000.0::DOUBLE), (1, 'south_pole_80_90', 20.0::DOUBLE, -15199.5 * 20.0::DOUBLE, 15199.5 * 20.0::DOUBLE),
+  (2, 'south_pole_85_90', 10.0::DOUBLE, -15167.5 * 10.0::DOUBLE, 15167.5 * 10.0::DOUBLE), (3, 'south_pole_87_90', 5.0::DOUBLE, -457000.0::DOUBLE, 457000.0::DOUBLE)) v(k, region_key, resolution_m, origin_x, origin_y)),
+p AS (SELECT c_custkey, region_key, resolution_m, origin_x, origin_y, -85 - (c_custkey % 490) / 100.0::DOUBLE AS lat, (c_custkey * 37 % 360 + 0.31)::DOUBLE AS lon FROM customer JOIN c ON c_custkey % 4 = k)
+SELECT c_custkey, region_key, CAST(floor({R_SQL}) AS INT) AS row, CAST(floor({C_SQL}) AS INT) AS col FROM p""")
+def catalogue_cells(ws):
+    """Points placed in the published products, by embedded or label-derived geometry."""
+    cat = ingest.region_catalogue(ws.spark)
+    k = F.element_at(F.create_map(*[x for i, row in enumerate(ingest.REGION_CATALOGUE) for x in (F.lit(row[0]), F.lit(i))]), F.col("region_key"))
+    own = F.col("embedded")
+    res, ox, oy = geo.native_geometry(F.when(own, F.col("native_res_m")), F.when(own, -457000.0), F.when(own, 457000.0),
+                                      F.col("native_res_m"), F.col("offset_cells"))
+    grid = cat.select("region_key", k.alias("k"), res.alias("resolution_m"), ox.alias("origin_x"), oy.alias("origin_y"))
+    c = F.col("c_custkey")
+    pts = ws.source("customer").select("c_custkey", (c % 4).alias("k"), (-85 - (c % 490) / 100.0).alias("lat"), (c * 37 % 360 + 0.31).cast("double").alias("lon"))
+    r, cc = geo.lonlat_to_containing_cell(F.col("lon"), F.col("lat"), *geom())
+    return pts.join(grid, "k").select("c_custkey", "region_key", r.alias("row"), cc.alias("col"))
+
+
 @query("axis_labels", f"""
 WITH t AS (SELECT r.*, CAST(i AS INT) AS tick, round_even(i * 31 / 5.0::DOUBLE, 0) AS p
   FROM (SELECT r.* FROM regions r JOIN cells c USING (region) WHERE c.row = 0 AND c.col = 0) r, range(6) a(i))

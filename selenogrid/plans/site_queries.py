@@ -101,6 +101,14 @@ def site_layer_values(ws):
         F.count(F.lit(1)).alias("n"), F.round(F.min("x.v"), 6).alias("lo"), F.round(F.max("x.v"), 6).alias("hi"), F.round(F.avg("x.v"), 6).alias("mean"))
 
 
+@query("sites_science_rank", """
+WITH b AS (SELECT mission_id, rank, CASE WHEN len(m.science_experiments) > 0 THEN 0.6 * s.final + 0.4 * s.science END AS v FROM sites s JOIN missions m USING (mission_id, region))
+SELECT mission_id, rank, round(v, 6) AS science_blend, CAST(row_number() OVER (PARTITION BY mission_id ORDER BY v DESC NULLS LAST, rank) AS INT) AS science_rank FROM b""",
+       ["sites", "missions"])
+def sites_science_rank(ws):
+    return sites.science_rank(ws.sites, ws.missions).select(*MR, r6("science_blend"), "science_rank")
+
+
 SR, SC = cell_sql("lon", "lat")
 cte("site_sun", f"""
 SELECT s.mission_id, s.rank, CAST(round(CAST(c.illumination AS DECIMAL(18, 12)), 3) AS DOUBLE) AS sunlight_fraction

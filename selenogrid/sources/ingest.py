@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -167,6 +167,17 @@ def apply_preset(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
     )
 
 
-def latest_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row per key, the first in the given order."""
-    return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_k = 1").drop("_k")
+# fixed values: published elevation products; key, coverage, native and working cell size (m), cells from edge to pole,
+# count-to-metre scale, whether the file embeds its own geometry
+REGION_CATALOGUE = [
+    ("south_pole_75_90", "75-90 S", 30.0, 90.0, None, 1.0, True),
+    ("south_pole_80_90", "80-90 S", 20.0, 100.0, 15199.5, 0.5, False),
+    ("south_pole_85_90", "85-90 S", 10.0, 30.0, 15167.5, 0.5, False),
+    ("south_pole_87_90", "87-90 S", 5.0, 15.0, None, 0.5, True),
+]
+
+
+def region_catalogue(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(
+        REGION_CATALOGUE, "region_key STRING, coverage STRING, native_res_m DOUBLE, working_res_m DOUBLE, offset_cells DOUBLE, "
+        "dn_scale DOUBLE, embedded BOOLEAN")
