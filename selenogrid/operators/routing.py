@@ -75,14 +75,16 @@ def least_cost(costs: DataFrame, starts: DataFrame, goals: DataFrame, tile: int
     key = ["mission_id", "region"]
     tiled = costs.withColumn("tile_r", F.floor(F.col("row") / tile).cast("int")).withColumn(
         "tile_c", F.floor(F.col("col") / tile).cast("int"))
-    tiled = write_table(tiled.repartition(*key, "tile_r", "tile_c"), "costs")
-    messages = starts.join(tiled, [*key, "row", "col"]).select(
+    # stored by row of tiles, so that a round only reads the rows its labels have reached
+    tiled = write_table(tiled.withColumn("band", F.col("tile_r")).repartition("band", *key, "tile_c"), "costs", ["band"])
+    messages = starts.join(tiled.drop("band"), [*key, "row", "col"]).select(
         *key, "tile_r", "tile_c", "row", "col", F.lit(0.0).alias("base"), F.lit(0.0).alias("factor"))
     messages = write_table(messages, "messages")
     rounds: list[DataFrame] = []
     for _ in range(max_rounds):
         active = messages.select(*key, "tile_r", "tile_c").distinct()
-        here = tiled.join(active, [*key, "tile_r", "tile_c"], "left_semi")
+        bands = [row[0] for row in messages.select("tile_r").distinct().collect()]  # at most one per row of tiles
+        here = tiled.filter(F.col("band").isin(bands)).join(active, [*key, "tile_r", "tile_c"], "left_semi")
         entries = [here.select(*key, "tile_r", "tile_c", "row", "col", "cost", F.lit(None).cast("double").alias("base"),
                                F.lit(None).cast("double").alias("factor")),
                    messages.select(*key, "tile_r", "tile_c", "row", "col", F.lit(None).cast("double").alias("cost"), "base", "factor")]
