@@ -226,7 +226,7 @@ def elbow(distances: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
 
 
 def silhouette(points: DataFrame, features: Sequence[str], label: str, limit: int = 5000) -> DataFrame:
-    """Mean Euclidean silhouette over at most ``limit`` clustered points (the reference statistic is a sampled one)."""
+    """Mean Euclidean silhouette over at most ``limit`` clustered points (a sampled statistic by definition)."""
     some = points.filter(F.col(label).isNotNull()).orderBy(F.xxhash64("id"), "id").limit(limit)
     some = write_table(some.select("id", F.col(label).alias("label"), *features), "sample")
     a, b = _prefixed(some, [], "a"), _prefixed(some, [], "b")

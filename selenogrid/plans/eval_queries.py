@@ -30,7 +30,6 @@ def layer_statistics(ws):
 PROBS = [0.02, 0.05, 0.15, 0.3, 0.5, 0.7, 0.95, 0.98]
 QSQL = "SELECT region, " + ", ".join(
     f"round(quantile_cont({n}, {p}), 6) AS {quantiles.quantile_name(n, p)}" for n in ("elevation", "slope") for p in PROBS) + " FROM terrain GROUP BY region"
-QSPEC = {n: (F.col, PROBS) for n in ("elevation", "slope")}
 
 
 def _spec():
