@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from selenogrid.llm import shards, simhash, tokens
-from selenogrid.llm.base import table
+from selenogrid.llm import mixing, packing, quality, shards, simhash, tokens
+from selenogrid.llm.base import table, word_count
+from selenogrid.session import write_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +55,92 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, 'rows' AS law, CAST(g * 24 // n AS
 @query("op6_stratified_shards")
 def stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.interleave(table(spark, sf_dir, "documents"), 24).drop("source")
+
+
+#: Domains of the sources of the test tables, and the shares that a mixture aims at, by level of the tree.
+DOMAINS = {"web": range(0, 5), "books": range(5, 10), "forums": range(10, 15), "papers": range(15, 20)}
+WEIGHTS = {"domain": {"web": 4.0, "books": 3.0, "forums": 1.0, "papers": 2.0}, "lang": {"en": 6.0, "de": 2.0, "fr": 2.0, "es": 1.0}}
+SHARE, EPOCHS, SEED = 0.6, 4, 42
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    number = F.regexp_extract(F.coalesce("source", F.lit("")), r"^src(\d{1,9})$", 1)
+    domain = F.lit("other")
+    for name, span in DOMAINS.items():
+        domain = F.when(number.isin([str(i) for i in span]), name).otherwise(domain)
+    return docs.withColumn("domain", domain)
+
+
+def _fill_sql(level: str, path: list[str], given: str, weights: dict[str, float]) -> str:
+    """One level of sharing out, as SQL: the CTE g_<level> with the levels of ``path`` and given."""
+    keys, up = ", ".join(path), ", ".join(path[:-1])
+    weight = "CASE " + " ".join(f"WHEN n.{level} = '{v}' THEN {w}::DOUBLE" for v, w in weights.items()) + " ELSE 1::DOUBLE END" if weights else "1::DOUBLE"
+    on = " AND ".join(f"n.{c} IS NOT DISTINCT FROM p.{c}" for c in path[:-1]) or "true"
+    by = f"PARTITION BY {up}" if up else ""
+    return f"""
+n_{level} AS (SELECT {keys}, sum(tokens::DOUBLE * {EPOCHS}) AS room FROM leaves GROUP BY {keys}),
+w_{level} AS (SELECT n.*, p.given, {weight} AS weight FROM n_{level} n JOIN {given} p ON {on}),
+r_{level} AS (SELECT *, room / weight AS fills_at,
+    (given - coalesce(sum(room) OVER ({by} ORDER BY room / weight, {level} NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+     / sum(weight) OVER ({by} ORDER BY room / weight, {level} NULLS FIRST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate FROM w_{level}),
+g_{level} AS (SELECT {keys}, CASE WHEN fills_at > rate THEN weight * max(CASE WHEN fills_at > rate THEN rate END) OVER ({by or ''}) ELSE room END AS given FROM r_{level})"""
+
+
+_DOMAIN_SQL = "CASE " + " ".join(f"WHEN source IN ({', '.join(repr(f'src{i}') for i in span)}) THEN '{name}'" for name, span in DOMAINS.items()) + " ELSE 'other' END"
+MIX_SQL = f"""
+WITH t AS (SELECT doc_id, lang, source, {_DOMAIN_SQL} AS domain, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens FROM documents),
+leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens FROM t GROUP BY ALL),
+g_root AS (SELECT sum(tokens) * {SHARE}::DOUBLE AS given FROM leaves),
+{_fill_sql("domain", ["domain"], "g_root", WEIGHTS["domain"])},
+{_fill_sql("lang", ["domain", "lang"], "g_domain", WEIGHTS["lang"])},
+{_fill_sql("source", ["domain", "lang", "source"], "g_lang", {})},
+b AS (SELECT l.*, floor(g.given + 1e-6)::BIGINT AS budget FROM leaves l JOIN g_source g
+      ON l.domain IS NOT DISTINCT FROM g.domain AND l.lang IS NOT DISTINCT FROM g.lang AND l.source IS NOT DISTINCT FROM g.source),
+q AS (SELECT *, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS whole FROM b),
+o AS (SELECT t.*, q.whole, q.budget - q.whole * q.tokens AS rest,
+             ('0x' || substr(md5('{SEED}|' || q.whole || '|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS h
+      FROM t JOIN q ON t.domain IS NOT DISTINCT FROM q.domain AND t.lang IS NOT DISTINCT FROM q.lang AND t.source IS NOT DISTINCT FROM q.source),
+s AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY h, doc_id NULLS FIRST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS so_far FROM o)
+SELECT doc_id, domain, lang, source, CAST(unnest(range(whole + CASE WHEN rest > 0 AND so_far <= rest THEN 1 ELSE 0 END)) AS INTEGER) AS epoch FROM s
+"""
+
+
+@query("op2_mix_sources", MIX_SQL)
+def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_domain(table(spark, sf_dir, "documents"))
+    leaves = mixing.plan(docs, mixing.LEVELS, WEIGHTS, SHARE, EPOCHS, SEED)
+    return mixing.mix(docs.select("doc_id", "domain", "lang", "source"), leaves, mixing.LEVELS, SEED)
+
+
+QUALITY_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, row_number() OVER () AS i FROM documents),
+g AS (SELECT i, p, array_to_string(list_slice(w, p, p + 4), ' ') AS g FROM d, unnest(range(1, len(w) - 3)) AS x(p)),
+c AS (SELECT i, p FROM (SELECT i, p, count(*) OVER (PARTITION BY i, g) AS n FROM g) WHERE n > 1),
+m AS (SELECT i, CAST(count(DISTINCT p + k) AS BIGINT) AS n_repeat_words FROM c, range(5) AS y(k) GROUP BY i),
+l AS (SELECT i, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup_lines FROM (SELECT i, unnest(string_split(t, chr(10))) AS x FROM d)
+      WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY i),
+s AS (SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+             CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'gs')) AS BIGINT) AS n_symbols, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines,
+             CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+      FROM d LEFT JOIN m USING (i) LEFT JOIN l USING (i)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s),
+f AS (SELECT *, base_failed OR 100 * n_symbols > 10 * n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 100 * n_dup_lines > 50 * n_lines AS failed FROM b),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE failed) AS k FROM f WHERE source IS NOT NULL GROUP BY source),
+a AS (SELECT sum(n) AS n, sum(k) AS k, count(*) AS hosts, sum(k * k / n::DOUBLE) AS squares FROM h),
+p AS (SELECT k / n::DOUBLE AS mean, (k / n::DOUBLE) * (1 - k / n::DOUBLE) AS spread, squares / n - (k / n::DOUBLE) * (k / n::DOUBLE) AS had, hosts / n::DOUBLE AS part FROM a),
+q AS (SELECT mean, CASE WHEN had - spread * part > 0 AND spread > 0 THEN least(greatest(spread / (had - spread * part) - 1, 1), 1e6) ELSE 1e6 END AS weight FROM p),
+v AS (SELECT source AS host, (k + mean * weight) / (n + weight) > 0.5 AS rejected FROM h, q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(rejected, false) AS kept
+FROM f LEFT JOIN v ON f.source = v.host
+"""
+
+
+@query("op3_quality_rules", QUALITY_SQL)
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = write_table(quality.document_stats(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text"), "quality")
+    return quality.judge(stats).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op4_pack_lengths")
+def pack_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), word_count("text"))
