@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from selenogrid.llm import mixing, packing, quality, shards, simhash, tokens
+from selenogrid.llm import grading, mixing, packing, quality, shards, simhash, tokens, toxicity
 from selenogrid.llm.base import table, word_count
 from selenogrid.session import write_table
 
@@ -144,3 +144,19 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_pack_lengths")
 def pack_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_count("text"))
+
+
+@query("op7_ordinal_quality")
+def ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    # three grades: poor, good but toxic, good
+    clean = 1 - F.coalesce(F.col("toxic"), F.lit(0))
+    ratings = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") * (1 + clean)).alias("grade"))
+    return grading.grades(docs, *grading.train(docs, ratings))
+
+
+@query("op8_toxicity")
+def toxic_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.character_model(docs)
+    return toxicity.scores(docs, model, toxicity.train(docs, table(spark, sf_dir, "labels"), model))

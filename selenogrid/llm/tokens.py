@@ -128,9 +128,9 @@ class Counter:
         even = [not UNEVEN.search(t) and not any(s in t for s in self.merges.specials) for t in texts]
         pieces = [self._pieces(t) if e else [] for t, e in zip(texts, even, strict=True)]
         whole = [[] if e else self._words(t) for t, e in zip(texts, even, strict=True)]
-        new = list(set().union(*pieces).difference(self.pieces.keys()))
+        new = list(set().union(*pieces).difference(self.pieces))
         words = [self.cut.findall(p if p[:1] == "\n" else " " + p) for p in new]
-        unmet = list(set().union(*words, *(w for parts in whole for w in parts)).difference(self.known.keys()))
+        unmet = list(set().union(*words, *(w for parts in whole for w in parts)).difference(self.known))
         if unmet:
             self.known.update(zip(unmet, self.merges.counts([w.encode("utf-8", "surrogatepass") for w in unmet]).tolist(), strict=True))
         of, piece = self.known.__getitem__, self.pieces.__getitem__
