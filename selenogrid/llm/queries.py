@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from selenogrid.llm import grading, mixing, packing, quality, shards, simhash, tokens, toxicity
+from selenogrid.llm import grading, mixing, packing, quality, secrets, shards, simhash, tokens, toxicity
 from selenogrid.llm.base import table, word_count
 from selenogrid.session import write_table
 
@@ -160,3 +160,9 @@ def toxic_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.character_model(docs)
     return toxicity.scores(docs, model, toxicity.train(docs, table(spark, sf_dir, "labels"), model))
+
+
+@query("op10_secret_scan")
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", F.length("value").alias("n_chars"), F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
