@@ -21,13 +21,6 @@ LEVELS = ("domain", "lang", "source")
 RANGES = 4096
 
 
-def _same(a: DataFrame, b: DataFrame, names: Sequence[str]) -> Column:
-    on = F.lit(True)
-    for c in names:
-        on = on & a[c].eqNullSafe(b[c])
-    return on
-
-
 def _joined(a: DataFrame, b: DataFrame, names: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on names of which any may be null; the columns of ``a`` stay."""
     other = b.select(*[F.col(c).alias(f"_r_{c}") if c in names else F.col(c) for c in b.columns])
@@ -103,9 +96,10 @@ def plan(docs: DataFrame, levels: Sequence[str], weights: Mapping[str, Mapping[s
 def mix(docs: DataFrame, leaves: DataFrame, levels: Sequence[str], seed: int, doc_id: str = "doc_id") -> DataFrame:
     """The documents of the mixture, once for every epoch that takes them, with ``epoch`` (from 0). Texts are not shuffled
     unless the table of leaves is too large for the planner to broadcast."""
-    rows = _joined(docs, write_table(leaves, "mix-plan"), levels)
-    h = spread(seed, "whole", doc_id)
-    after = F.coalesce((h < F.col("last_h")) | ((h == F.col("last_h")) & F.coalesce(F.col(doc_id) <= F.col("last_id"), F.col(doc_id).isNull())), F.lit(False))
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), *levels, F.col(doc_id).alias("_id"))
+    rows = _joined(whole, write_table(leaves, "mix-plan"), levels)
+    h = spread(seed, "whole", "_id")
+    after = F.coalesce((h < F.col("last_h")) | ((h == F.col("last_h")) & F.coalesce(F.col("_id") <= F.col("last_id"), F.col("_id").isNull())), F.lit(False))
     times = F.col("whole").cast("int") + after.cast("int")
     rows = rows.withColumn("_times", times).filter("_times > 0")
-    return rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_times") - 1))).select(*docs.columns, "epoch")
+    return rows.select("_doc", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)).alias("epoch")).select("_doc.*", "epoch")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from selenogrid.llm import grading, mixing, packing, quality, secrets, shards, simhash, tokens, toxicity
+from selenogrid.llm import grading, mixing, neighbours, packing, quality, secrets, shards, simhash, tokens, toxicity
 from selenogrid.llm.base import table, word_count
 from selenogrid.session import write_table
 
@@ -37,22 +37,22 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-#: crc32 of the UTF-8 bytes, a byte at a time; the table holds the 256 remainders.
-CRC = """
-list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode(t))), i -> ('0x' || substr(hex(encode(t)), 2 * i + 1, 2))::BIGINT)),
-            (c, b) -> xor(c >> 8, (SELECT r FROM remainders)[(xor(c, b) & 255) + 1]))
-"""
+#: The CRC-32 of each text's bytes, one look-up of its 256 remainders a byte.
 SHARDS_SQL = """
-WITH d AS (SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 8 AS size,
-                  ('0x' || substr(md5('42|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS h FROM documents),
-     r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id, size) - 1 AS r, count(*) OVER (PARTITION BY source) AS c FROM d),
-     g AS (SELECT *, row_number() OVER (ORDER BY (r + 0.5::DOUBLE) / c, source NULLS FIRST, h, doc_id, size) - 1 AS g, count(*) OVER () AS n FROM r)
-SELECT doc_id, CAST(size AS BIGINT) AS size, 'rows' AS law, CAST(g * 24 // n AS INTEGER) AS shard, g - ((g * 24 // n) * n + 23) // 24 AS slot,
-       CAST(NULL AS INTEGER) AS grown_shard FROM g
+WITH RECURSIVE b(i, k, r) AS (SELECT i, 0, i FROM range(256) AS t(i) UNION ALL SELECT i, k + 1, CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END FROM b WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(r ORDER BY i) AS r FROM b WHERE k = 8),
+d AS (SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 8 AS size, hex(encode(coalesce(text, ''))) AS x,
+             ('0x' || substr(md5('42|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS h FROM documents),
+e AS (SELECT doc_id, source, size, h, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(size - 8), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+             lambda c, y: xor(c >> 8, crc.r[(xor(c, y) & 255) + 1])), 4294967295) AS text_crc32 FROM d, crc),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id NULLS FIRST, text_crc32, size) - 1 AS r, count(*) OVER (PARTITION BY source) AS c FROM e),
+g AS (SELECT *, row_number() OVER (ORDER BY (r + 0.5::DOUBLE) / c, source NULLS FIRST, h, doc_id NULLS FIRST, text_crc32, size) - 1 AS g, count(*) OVER () AS n FROM r)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(g * 24 // n AS INTEGER) AS shard,
+       CAST(g - ((g * 24 // n) * n + 23) // 24 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM g
 """
 
 
-@query("op6_stratified_shards")
+@query("op6_stratified_shards", SHARDS_SQL)
 def stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.interleave(table(spark, sf_dir, "documents"), 24).drop("source")
 
@@ -166,3 +166,20 @@ def toxic_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "start", F.length("value").alias("n_chars"), F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
+
+
+NEAR_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)
+"""
+
+
+@query("op9_embedding_near_dedup", NEAR_SQL)
+def embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))

@@ -144,8 +144,8 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     named = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_h"), F.col(text).alias("_t"))
     rows = write_table(fingerprints(named, "_t", ("_id", "_h")), "fingerprints")
     row = F.struct(F.isnull("_id").alias("z"), F.col("_id").alias("id"), F.col("_h").alias("h"))
-    chosen = _roots(rows, row).select("root.id", "root.h").distinct()
+    chosen = _roots(rows, row).select(F.col("root.id").alias("_id"), F.col("root.h").alias("_first")).distinct()
     others = [c for c in docs.columns if not docs.schema[c].dataType.typeName() in ("map", "variant")]
-    left = docs.withColumn("_h", F.xxhash64(text)).join(chosen, F.col(doc_id).eqNullSafe(F.col("id")) & (F.col("_h") == F.col("h")), "left_semi")
+    left = docs.withColumn("_h", F.xxhash64(text)).join(chosen, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_first")), "left_semi")
     first = Window.partitionBy(doc_id, "_h").orderBy(F.xxhash64(*others))
     return left.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*docs.columns)
