@@ -30,7 +30,8 @@ SHINGLE = 3
 #: Sets of 4 of the 8 positions whose exclusive or is 0. Every 3 positions lie in exactly one of them, and the other 4 positions
 #: are such a set too, so the 5 positions that 3 differing bytes leave contain one.
 POSITIONS = [c for c in combinations(range(BYTES), 4) if c[0] ^ c[1] ^ c[2] ^ c[3] == 0]
-#: An entry with more fingerprints than this is split by its free bits.
+#: An entry with more fingerprints than this is split by its free bits. At least 8, which is all that three free bits allow, so
+#: whatever is split has four quarters.
 SHORT = 64
 
 
