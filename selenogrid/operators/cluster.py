@@ -225,17 +225,26 @@ def elbow(distances: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     return work.groupBy(*by).agg(best.alias("b")).select(*by, (-F.col("b.i")).alias("elbow_index"), F.col("b.v").alias("suggested"))
 
 
-def silhouette(points: DataFrame, features: Sequence[str], label: str, limit: int = 5000) -> DataFrame:
-    """Mean Euclidean silhouette over at most ``limit`` clustered points (a sampled statistic by definition)."""
-    some = points.filter(F.col(label).isNotNull()).orderBy(F.xxhash64("id"), "id").limit(limit)
-    some = write_table(some.select("id", F.col(label).alias("label"), *features), "sample")
-    a, b = _prefixed(some, [], "a"), _prefixed(some, [], "b")
-    # the sample is bounded, so this product is too
-    d = a.join(F.broadcast(b), F.col("a_id") != F.col("b_id"), "left")
-    means = d.groupBy("a_id", "a_label", "b_label").agg(F.avg(F.sqrt(_dist2(features, "a", "b"))).alias("m"))
-    per = means.groupBy("a_id", "a_label").agg(
-        F.max(F.when(F.col("a_label") == F.col("b_label"), F.col("m"))).alias("own"),
-        F.min(F.when(F.col("a_label") != F.col("b_label"), F.col("m"))).alias("other"))
+def silhouette(points: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    """Mean silhouette over squared Euclidean distances of all clustered points; a point alone in its cluster counts 0.
+
+    The mean squared distance from a point to a cluster follows from the cluster's size, sum and sum of squares, so points meet
+    clusters and never one another.
+    """
+    some = points.filter(F.col(label).isNotNull()).select(F.col(label).alias("label"), *features)
+    square = reduce(lambda x, y: x + y, [F.col(f) * F.col(f) for f in features])
+    sums = write_table(some.groupBy("label").agg(
+        F.count(F.lit(1)).alias("m"), F.sum(square).alias("q"), *[F.sum(f).alias(f"s_{f}") for f in features]), "cluster-sums")
+    clusters = F.sort_array(F.collect_list(F.struct("label", "m", "q", *[f"s_{f}" for f in features])))
+    work = some.crossJoin(sums.agg(clusters.alias("c")))  # one row: a few sums for each cluster
+
+    def total(c: Column) -> Column:
+        cross = reduce(lambda x, y: x + y, [F.col(f) * c[f"s_{f}"] for f in features])
+        return c["m"] * square - 2.0 * cross + c["q"]
+
+    own = F.filter("c", lambda c: c["label"] == F.col("label"))[0]
+    other = F.array_min(F.transform(F.filter("c", lambda c: c["label"] != F.col("label")), lambda c: total(c) / c["m"]))
+    work = work.select(F.when(own["m"] > 1, total(own) / (own["m"] - 1)).alias("own"), other.alias("other"))
     s = F.when(F.col("own").isNull() | F.col("other").isNull(), 0.0).otherwise(
-        (F.col("other") - F.col("own")) / F.greatest("own", "other"))
-    return per.agg(F.avg(s).alias("silhouette"), F.count(F.lit(1)).alias("n_points"))
+        (F.col("other") - F.col("own")) / F.when(F.greatest("own", "other") > 0, F.greatest("own", "other")).otherwise(1.0))
+    return work.agg(F.avg(s).alias("silhouette"), F.count(F.lit(1)).alias("n_points"))

@@ -34,8 +34,8 @@ def distance_to_mask(
     work = work.select(*cells.columns, "tile_row", "tile_col", F.coalesce(gap * gap, F.lit(FAR)).alias("_g2"))
     work = work.filter(_own("row", "height", tile))
     along_row = Window.partitionBy(*keys, "row").orderBy("col").rowsBetween(-reach, reach)
-    work = work.select("*", F.collect_list("_g2").over(along_row).alias("_near")).filter(_own("col", "width", tile))
-    nearest = F.array_min(F.transform("_near", lambda g2, i: g2 + (i - reach) * (i - reach)))
+    work = work.select("*", F.collect_list(F.struct("col", "_g2")).over(along_row).alias("_near")).filter(_own("col", "width", tile))
+    nearest = F.array_min(F.transform("_near", lambda e: e["_g2"] + (e["col"] - F.col("col")) * (e["col"] - F.col("col"))))
     metres = F.sqrt(nearest) * F.col("resolution_m")
     return work.select(*cells.columns, F.when(metres <= max_distance_m, metres).alias(out))
 
@@ -59,6 +59,8 @@ def full_distance_to_mask(cells: DataFrame, mask: Column, out: str, by: tuple[st
         best = gap2.copy()
         for d in range(1, width):
             step = float(d * d)
+            if not step < best.max() or not np.isfinite(gap2).any():  # nothing farther along can be nearer
+                break
             np.minimum(best[d:], gap2[:-d] + step, out=best[d:])
             np.minimum(best[:-d], gap2[d:] + step, out=best[:-d])
         pdf[out] = np.sqrt(best)[cols - first] * float(pdf["resolution_m"].iloc[0])

@@ -21,10 +21,9 @@ GEOMETRY = ["height", "width", "resolution_m", "origin_x", "origin_y"]
 
 def densify(cells: DataFrame, regions: DataFrame) -> DataFrame:
     """One row for every cell of every region; cells without data carry NULL layers."""
-    skeleton = (
-        regions.select("region", *GEOMETRY, F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("row"))
-        .withColumn("col", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
-    )
+    rows = regions.select("region", *GEOMETRY, F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("row"))
+    # the rows of a region are dealt out before they become cells, so that no task makes a whole region
+    skeleton = rows.repartition("region", "row").withColumn("col", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
     return skeleton.join(cells, ["region", "row", "col"], "left")
 
 
@@ -56,9 +55,10 @@ class Shift:
 
 
 def _images(pos: Column, n: Column, halo: int) -> Column:
-    """The position and, near an edge, its mirror images; a halo may reach up to twice the extent."""
-    mirrored = [pos, -1 - pos, 2 * n - 1 - pos, pos - 2 * n, pos + 2 * n, -2 * n - 1 - pos, 4 * n - 1 - pos]
-    return F.when((pos >= halo) & (pos < n - halo), F.array(pos)).otherwise(F.array(*mirrored))
+    """The position and, near an edge, its mirror images: the grid repeats every two extents, as often as the halo reaches."""
+    turns = (F.floor(F.lit(halo) / (2 * n)) + 1).cast("int")
+    mirrored = F.flatten(F.transform(F.sequence(-turns, turns), lambda k: F.array(2 * k * n + pos, 2 * k * n - 1 - pos)))
+    return F.when((pos >= halo) & (pos < n - halo), F.array(pos)).otherwise(mirrored)
 
 
 def _tiles(pos: Column, n: Column, halo: int, tile: int) -> Column:

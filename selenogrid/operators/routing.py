@@ -66,7 +66,7 @@ def _sweep(cost: np.ndarray, g: np.ndarray) -> np.ndarray:
         g = best
 
 
-def least_cost(costs: DataFrame, starts: DataFrame, goals: DataFrame, tile: int = TILE, max_rounds: int = 10_000) -> DataFrame:
+def least_cost(costs: DataFrame, starts: DataFrame, goals: DataFrame, tile: int = TILE) -> DataFrame:
     """Cheapest label ``g`` of the cells around each start, at least as far as that mission's goals.
 
     ``costs``: mission_id, region, row, col, cost. ``starts`` and ``goals``: mission_id, region, row, col. A label dearer
@@ -81,7 +81,7 @@ def least_cost(costs: DataFrame, starts: DataFrame, goals: DataFrame, tile: int
         *key, "tile_r", "tile_c", "row", "col", F.lit(0.0).alias("base"), F.lit(0.0).alias("factor"))
     messages = write_table(messages, "messages")
     rounds: list[DataFrame] = []
-    for _ in range(max_rounds):
+    while True:  # ends when no label is improved any more
         active = messages.select(*key, "tile_r", "tile_c").distinct()
         bands = [row[0] for row in messages.select("tile_r").distinct().collect()]  # at most one per row of tiles
         here = tiled.filter(F.col("band").isin(bands)).join(active, [*key, "tile_r", "tile_c"], "left_semi")

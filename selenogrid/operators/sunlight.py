@@ -15,8 +15,8 @@ POLAR_FLOOR, HIGH_LATITUDE, PLAIN = 0.05, 0.7, 0.5
 RIDGE_BONUS, BASIN_PENALTY, POLAR_SOLAR = 0.2, 0.3, 0.6
 
 
-def estimate_sunlight(cells: DataFrame, step: int = 100, solar: bool = False) -> DataFrame:
-    """Latitude bands with ridge and basin terms on a stride sample, upsampled linearly; 0 at nodata."""
+def estimate_sunlight(cells: DataFrame, step: int = 1, solar: bool = False) -> DataFrame:
+    """Latitude bands with ridge and basin terms on every cell, or on a stride sample upsampled linearly; 0 at nodata."""
     work = attach(cells, region_stats(cells, {"e_mean": F.avg("elevation")}))
     some = work.filter((F.col("row") % step == 0) & (F.col("col") % step == 0))
     _, lat = geo.cell_to_lonlat(*[F.col(c) for c in ("row", "col", "resolution_m", "origin_x", "origin_y")])

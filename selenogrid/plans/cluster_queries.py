@@ -86,7 +86,7 @@ def elbow(ws):
 
 
 @query("silhouette", """
-WITH m AS (SELECT a.id, a.label AS la, b.label AS lb, avg(sqrt((a.f0 - b.f0) ** 2 + (a.f1 - b.f1) ** 2 + (a.f2 - b.f2) ** 2 + (a.f3 - b.f3) ** 2)) AS d
+WITH m AS (SELECT a.id, a.label AS la, b.label AS lb, avg((a.f0 - b.f0) ** 2 + (a.f1 - b.f1) ** 2 + (a.f2 - b.f2) ** 2 + (a.f3 - b.f3) ** 2) AS d
   FROM vecs a JOIN vecs b ON a.id <> b.id GROUP BY ALL),
 p AS (SELECT id, max(CASE WHEN la = lb THEN d END) AS own, min(CASE WHEN la <> lb THEN d END) AS other FROM m GROUP BY id)
 SELECT round(avg(coalesce((other - own) / greatest(own, other), 0)), 6) AS silhouette, count(*) AS n_points FROM p""", ["vecs"])

@@ -174,24 +174,31 @@ def apply_preset(ws):
 
 
 @query("validate_missions", """
-WITH m AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS max_slope_deg, CAST(p_partkey % 13 AS DOUBLE) / 10 AS priority,
+WITH m AS (SELECT p_partkey, CASE WHEN p_partkey % 19 <> 0 THEN CAST(p_size AS DOUBLE) END AS max_slope_deg, CAST(p_size AS DOUBLE) + 5 AS abs_max,
+  CASE WHEN p_partkey % 23 <> 0 THEN CAST(p_partkey % 370 AS DOUBLE) END AS days, CASE WHEN p_partkey % 3 <> 0 THEN CAST(p_partkey % 29 AS DOUBLE) - 25 END AS target_lat, CAST(p_partkey % 13 AS DOUBLE) / 10 AS priority,
   CASE p_partkey % 5 WHEN 0 THEN 'water_ice' WHEN 1 THEN 'geological' WHEN 2 THEN 'atmospheric' WHEN 3 THEN 'water_ice' ELSE 'tourism' END AS mission_type,
-  CASE p_partkey % 7 WHEN 6 THEN 'wind' ELSE 'rtg' END AS power_source, CAST(p_partkey % 31 AS DOUBLE) AS mission_day,
+  CASE p_partkey % 7 WHEN 6 THEN 'wind' WHEN 5 THEN 'solar' WHEN 4 THEN NULL ELSE 'rtg' END AS power_source,
+  CASE WHEN p_partkey % 4 <> 0 THEN CAST(p_partkey % 31 AS DOUBLE) END AS mission_day,
   CASE p_partkey % 11 WHEN 10 THEN 'hover' ELSE 'rim' END AS psr_intent, p_partkey % 17 = 0 AS bad_exp,
   CAST(-80 - p_partkey % 9 AS DOUBLE) AS lo, CAST(-84 AS DOUBLE) AS hi FROM part),
-e AS (SELECT p_partkey, concat_ws(',', CASE WHEN NOT max_slope_deg BETWEEN 1 AND 45 THEN 'max_slope_deg' END,
-  CASE WHEN NOT priority BETWEEN 0 AND 1 THEN 'priority' END, CASE WHEN NOT mission_day < 29.530589 THEN 'mission_day' END,
-  CASE WHEN mission_type = 'tourism' THEN 'mission_type' END, CASE WHEN power_source = 'wind' THEN 'power_source' END,
+e AS (SELECT p_partkey, concat_ws(',', CASE WHEN max_slope_deg IS NULL OR NOT max_slope_deg BETWEEN 1 AND 45 THEN 'max_slope_deg' END,
+  CASE WHEN NOT abs_max BETWEEN 1 AND 45 THEN 'abs_max_slope_deg' END,
+  CASE WHEN NOT priority BETWEEN 0 AND 1 THEN 'priority' END, CASE WHEN days IS NULL OR NOT days BETWEEN 1 AND 365 THEN 'mission_duration_days' END,
+  CASE WHEN mission_day >= 29.530589 OR mission_day IS NULL AND (power_source = 'solar' OR power_source IS NULL) THEN 'mission_day' END,
+  CASE WHEN mission_type = 'tourism' THEN 'mission_type' END, CASE WHEN power_source = 'wind' OR power_source IS NULL THEN 'power_source' END,
   CASE WHEN psr_intent = 'hover' THEN 'psr_intent' END, CASE WHEN bad_exp THEN 'science_experiments' END,
-  CASE WHEN lo >= hi THEN 'focus_lat' END) AS errors FROM m)
+  CASE WHEN target_lat > 0 THEN 'target_lat' END, CASE WHEN lo >= hi THEN 'focus_lat' END) AS errors FROM m)
 SELECT p_partkey, errors, CASE WHEN errors = '' THEN 'accepted' ELSE 'rejected' END AS verdict FROM e""")
 def validate_missions(ws):
     k = F.col("p_partkey")
     kinds = F.array(*[F.lit(t) for t in ("water_ice", "geological", "atmospheric", "water_ice", "tourism")])
     m = ws.source("part").select(
-        "p_partkey", F.col("p_size").cast("double").alias("max_slope_deg"), (k % 13 / 10).alias("priority"),
+        "p_partkey", F.when(k % 19 != 0, F.col("p_size").cast("double")).alias("max_slope_deg"),
+        (F.col("p_size").cast("double") + 5).alias("abs_max_slope_deg"), F.when(k % 23 != 0, (k % 370).cast("double")).alias("mission_duration_days"),
+        F.when(k % 3 != 0, (k % 29).cast("double") - 25).alias("target_lat"), (k % 13 / 10).alias("priority"),
         F.element_at(kinds, (k % 5 + 1).cast("int")).alias("mission_type"),
-        F.when(k % 7 == 6, "wind").otherwise("rtg").alias("power_source"), (k % 31).cast("double").alias("mission_day"),
+        F.when(k % 7 == 6, "wind").when(k % 7 == 5, "solar").when(k % 7 != 4, "rtg").alias("power_source"),
+        F.when(k % 4 != 0, (k % 31).cast("double")).alias("mission_day"),
         F.when(k % 11 == 10, "hover").otherwise("rim").alias("psr_intent"),
         F.when(k % 17 == 0, F.array(F.lit("regolith_mechanics"))).otherwise(F.array(F.lit("mineralogy"))).alias("science_experiments"),
         (-80 - k % 9).cast("double").alias("focus_lat_min"), F.lit(-84.0).alias("focus_lat_max"))

@@ -68,7 +68,7 @@ class Workspace:
     @stored
     def missions(self) -> DataFrame:
         found = demo_grid.missions(self.spark, self.sf_dir, self.regions)
-        return scoring.flat_radius(found, demo_grid.RESOLUTION_M).coalesce(1)
+        return scoring.flat_radius(found, demo_grid.RESOLUTION_M)
 
     @property
     def radii(self) -> list[int]:

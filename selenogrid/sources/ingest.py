@@ -100,21 +100,42 @@ INTENTS = ["rim", "enter", "avoid"]
 EXPERIMENT_IDS = ["volatile_detection", "mineralogy", "thermal_environment", "geomorphology", "space_weathering"]
 # fixed values: accepted ranges
 RANGES = {
-    "max_slope_deg": (1, 45), "min_flat_radius_m": (50, 2000), "speed_kmh": (0.01, 10), "battery_wh": (10, 20000),
+    "max_slope_deg": (1, 45), "abs_max_slope_deg": (1, 45), "min_flat_radius_m": (50, 2000), "speed_kmh": (0.01, 10), "battery_wh": (10, 20000),
     "solar_panel_w": (1, 5000), "wheel_radius_m": (0.01, 2), "rover_mass_kg": (1, 5000), "wheel_width_m": (0.01, 1),
-    "n_wheels": (1, 12), "priority": (0, 1), "n_results": (1, 10),
+    "n_wheels": (1, 12), "priority": (0, 1), "n_results": (1, 10), "mission_duration_days": (1, 365),
 }
+# fixed values: accepted ranges of what a request may leave out
+OPTIONAL_RANGES = {
+    "focus_lat_min": (-90, 0), "focus_lat_max": (-90, 0), "focus_center_lat": (-90, 0), "focus_center_lon": (0, 360),
+    "focus_radius_km": (1, 2000), "target_lat": (-90, 0), "target_lon": (0, 360),
+}
+SOLAR_ONLY = ("solar_panel_w", "mission_day")
 SYNODIC_DAYS = 29.530589
 
 
 def mission_errors(missions: DataFrame) -> Column:
-    """Names of the fields a mission row gets wrong; an empty list means it is accepted."""
-    bad = [F.when(~F.col(c).between(lo, hi), F.lit(c)) for c, (lo, hi) in RANGES.items() if c in missions.columns]
-    bad.append(F.when(~((F.col("mission_day") >= 0) & (F.col("mission_day") < SYNODIC_DAYS)), F.lit("mission_day")))
+    """Names of the fields a mission row gets wrong; an empty list means it is accepted.
+
+    A missing value is wrong, except for the focus, the target, and what only solar rovers need.
+    """
+    bad = []
+
+    def need(name: str, good: Column, optional: Column | bool = False) -> None:
+        absent = F.col(name).isNull() & (F.lit(optional) if isinstance(optional, bool) else optional)
+        bad.append(F.when(~(absent | F.coalesce(good, F.lit(False))), F.lit(name)))
+
+    not_solar = F.coalesce(F.col("power_source") != "solar", F.lit(False))
+    for c, (lo, hi) in RANGES.items():
+        if c in missions.columns:
+            need(c, F.col(c).between(lo, hi), not_solar if c in SOLAR_ONLY else False)
+    need("mission_day", (F.col("mission_day") >= 0) & (F.col("mission_day") < SYNODIC_DAYS), not_solar)
     for name, allowed in (("mission_type", MISSION_TYPES), ("power_source", POWER_SOURCES), ("psr_intent", INTENTS)):
-        bad.append(F.when(~F.col(name).isin(allowed), F.lit(name)))
-    unknown = F.size(F.array_except("science_experiments", F.array(*[F.lit(e) for e in EXPERIMENT_IDS])))
-    bad.append(F.when(unknown > 0, F.lit("science_experiments")))
+        need(name, F.col(name).isin(allowed))
+    known = F.array(*[F.lit(e) for e in EXPERIMENT_IDS])
+    need("science_experiments", F.size(F.array_except("science_experiments", known)) == 0)
+    for c, (lo, hi) in OPTIONAL_RANGES.items():
+        if c in missions.columns:
+            need(c, F.col(c).between(lo, hi), True)
     if "focus_lat_min" in missions.columns:
         bad.append(F.when(F.col("focus_lat_min") >= F.col("focus_lat_max"), F.lit("focus_lat")))
     return F.array_compact(F.array(*bad))
