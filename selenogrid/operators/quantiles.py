@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +10,8 @@ from pyspark.sql import functions as F
 from selenogrid.session import settle
 
 BUCKETS = 4096
-SMALL_GROUP = 5_000_000
+#: Rows of a bucket that are put in order at once.
+SORTED = 100_000
 
 
 def region_stats(df: DataFrame, aggs: Mapping[str, Column], by: Sequence[str] = ("region",)) -> DataFrame:
@@ -27,27 +27,17 @@ def quantiles(
     df: DataFrame,
     spec: Mapping[str, tuple[Column, Sequence[float]]],
     by: Sequence[str] = ("region",),
-    largest_group: int | None = None,
     aggs: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Exact quantiles (linear interpolation, nodata skipped): one row per group, columns ``name_pNN``.
 
-    ``spec`` maps a name to its column and probabilities. Groups up to :data:`SMALL_GROUP` rows use the built-in exact
-    ``percentile``, whose state is a count per distinct value. Larger groups use :func:`histogram_quantiles`. The size
-    of the largest group is counted unless the caller knows it. ``aggs`` adds plain aggregates to the same job.
+    ``spec`` maps a name to its column and probabilities; ``aggs`` adds plain aggregates of the group. Groups without any value
+    have a row only if ``aggs`` are asked for.
     """
-    extra = dict(aggs or {})
-    if largest_group is None:
-        largest_group = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    if largest_group > SMALL_GROUP:
-        found = histogram_quantiles(df, spec, by)
-        if extra:
-            found = df.groupBy(*by).agg(*[a.alias(n) for n, a in extra.items()]).join(found, list(by), "left")
-        return settle(found)
-    for name, (value, probs) in spec.items():
-        for p in probs:
-            extra[quantile_name(name, p)] = F.percentile(value, F.lit(p))
-    return region_stats(df, extra, by)
+    found = histogram_quantiles(df, spec, by)
+    if aggs:
+        found = df.groupBy(*by).agg(*[a.alias(n) for n, a in aggs.items()]).join(found, list(by), "left")
+    return settle(found)
 
 
 def quantile_name(name: str, p: float) -> str:
@@ -64,62 +54,47 @@ def histogram_quantiles(
 ) -> DataFrame:
     """Exact quantiles by selection: count per bucket, find the buckets that hold the wanted ranks, then look only there.
 
-    Each pass reduces to at most :data:`BUCKETS` partial counts per group before it shuffles. The last pass counts the
-    distinct values of the few buckets that hold a wanted rank, so neither a hot region nor a hot value lands in one task.
+    A bucket that still holds more than :data:`SORTED` rows of different values is counted again between its own least and
+    greatest value, however often that takes, so an outlier that squeezes all values into one bucket costs one more
+    pass and no more. Every pass reduces to at most :data:`BUCKETS` partial counts per group before it shuffles.
     """
     by = list(by)
     entries = F.array(*[F.struct(F.lit(n).alias("name"), v.cast("double").alias("v")) for n, (v, _) in spec.items()])
     flat = df.select(*by, F.explode(entries).alias("_x")).select(*by, "_x.name", "_x.v").filter(F.col("v").isNotNull())
     key = [*by, "name"]
     span = settle(flat.groupBy(*key).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n")))
-    counts = (
-        flat.join(span, key)
-        .groupBy(*key, _bucket(F.col("v"), F.col("lo"), F.col("hi")).alias("bucket"))
-        .agg(F.count("v").alias("k"))
-    )
-    run = Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = counts.withColumn("upto", F.sum("k").over(run))
-    wanted = reduce(
-        DataFrame.unionByName,
-        [
-            span.filter(F.col("name") == n).select(
-                *key, "lo", "hi",
-                F.lit(p).alias("p"),
-                ((F.col("n") - 1) * F.lit(float(p))).alias("pos"),
-            )
-            for n, (_, probs) in spec.items()
-            for p in probs
-        ],
-    )
-    # zero-based ranks just below and just above the wanted position
-    targets = wanted.select(
-        *key, "lo", "hi", "p", "pos", F.explode(F.array(F.floor("pos"), F.ceil("pos"))).alias("rank")
-    ).distinct()
-    hit = settle(
-        targets.join(counts, key)
-        .filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("k")))
-        .select(*key, "lo", "hi", "p", "pos", "rank", "bucket", (F.col("upto") - F.col("k")).alias("before"))
-    )
-    inner = hit.select(*key, "lo", "hi", "bucket", "before").distinct()
-    values = (
-        flat.join(inner, key)
-        .filter(_bucket(F.col("v"), F.col("lo"), F.col("hi")) == F.col("bucket"))
-        .groupBy(*key, "bucket", "before", "v").agg(F.count(F.lit(1)).alias("k"))
-    )
-    within = Window.partitionBy(*key, "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    probs = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(p)).alias("p")) for n, (_, ps) in spec.items() for p in ps])
+    wanted = span.withColumn("_p", F.explode(F.filter(probs, lambda e: e["name"] == F.col("name")))).select(
+        *key, "lo", "hi", F.col("n").alias("k"), F.col("_p.p").alias("p"), ((F.col("n") - 1) * F.col("_p.p")).alias("pos"))
+    # zero-based ranks just below and just above the wanted position, each with the span of values that holds it
+    ranks = F.explode(F.array_distinct(F.array(F.floor("pos"), F.ceil("pos"))))
+    hit = wanted.withColumn("rank", ranks).withColumn("before", F.lit(0).cast("long"))
+    narrow = False
+    while not narrow:
+        spans = hit.select(*key, "lo", "hi", "before").distinct()
+        inside = flat.join(spans, key).filter(F.col("v").between(F.col("lo"), F.col("hi")))
+        counts = inside.groupBy(*key, "before", _bucket(F.col("v"), F.col("lo"), F.col("hi")).alias("bucket")).agg(
+            F.count("v").alias("k"), F.min("v").alias("b_lo"), F.max("v").alias("b_hi"))
+        run = Window.partitionBy(*key, "before").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("upto", F.col("before") + F.coalesce(F.sum("k").over(run), F.lit(0)))
+        hit = settle(
+            hit.select(*key, "p", "pos", "rank", "before").join(counts, [*key, "before"])
+            .filter((F.col("rank") >= F.col("upto")) & (F.col("rank") < F.col("upto") + F.col("k")))
+            .select(*key, "p", "pos", "rank", F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi"), F.col("upto").alias("before"), "k"))
+        narrow = not hit.filter((F.col("k") > SORTED) & (F.col("lo") < F.col("hi"))).limit(1).count()
+    spans = hit.filter("lo < hi").select(*key, "lo", "hi", "before").distinct()
+    values = flat.join(spans, key).filter(F.col("v").between(F.col("lo"), F.col("hi"))).groupBy(*key, "before", "v").agg(F.count(F.lit(1)).alias("k"))
+    within = Window.partitionBy(*key, "before").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     values = values.withColumn("upto", F.col("before") + F.sum("k").over(within))
-    found = (
-        hit.select(*key, "p", "pos", "rank", "bucket")
-        .join(values.select(*key, "bucket", "v", "k", "upto"), [*key, "bucket"])
-        .filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("k")))
-    )
+    open_ = hit.filter("lo < hi").select(*key, "p", "pos", "rank", "before").join(values, [*key, "before"]).filter(
+        (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("k"))).select(*key, "p", "pos", "rank", "v")
+    found = open_.unionByName(hit.filter("lo = hi").select(*key, "p", "pos", "rank", F.col("lo").alias("v")))
     ends = found.groupBy(*key, "p", "pos").agg(F.min_by("v", "rank").alias("a"), F.max_by("v", "rank").alias("b"))
-    lerp = F.col("a") + (F.col("b") - F.col("a")) * (F.col("pos") - F.floor("pos"))
-    named = ends.withColumn("q", lerp)
+    named = ends.withColumn("q", F.col("a") + (F.col("b") - F.col("a")) * (F.col("pos") - F.floor("pos")))
     out = [
-        F.max(F.when((F.col("name") == n) & (F.col("p") == p), F.col("q"))).alias(quantile_name(n, p))
-        for n, (_, probs) in spec.items()
-        for p in probs
+        F.max(F.when((F.col("name") == n) & (F.col("p") == float(p)), F.col("q"))).alias(quantile_name(n, p))
+        for n, (_, ps) in spec.items()
+        for p in ps
     ]
     return named.groupBy(*by).agg(*out)
 

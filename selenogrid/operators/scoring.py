@@ -7,6 +7,8 @@ the cell's other layers along, and the join with the missions needs no further s
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -162,48 +164,33 @@ MISSION_COLUMNS = [
 SCORE_COLUMNS = ["mission_id", "region", "row", "col", *GEOMETRY, "elevation", "slope", "roughness"]
 
 
-MAX_LIMIT_COLUMNS = 64
+def _flat_ground(layers: DataFrame, missions: DataFrame, radii: list[int]) -> DataFrame:
+    """``(region, row, col, flats)``: flat-ground scores of a cell, by slope limit and radius, for the pairs that missions of its
+    region ask for. Only elevation and slope travel through the stencils."""
+    cells = layers.select("region", "row", "col", *GEOMETRY, "elevation", "slope")
+    asked = missions.select("region", F.col("max_slope_deg").alias("_limit"), "flat_px").distinct()
+    found = []
+    for r in radii:
+        work = cells.join(asked.filter(F.col("flat_px") == r).drop("flat_px"), "region")
+        work = nb.derive(work, [nb.flat_fraction("_flat", passable(F.col("_limit")), r)], by=("region", "_limit"))
+        found.append(work.select("region", "row", "col", F.struct("_limit", F.lit(r).alias("_radius"), "_flat").alias("f")))
+    return reduce(DataFrame.unionByName, found).groupBy("region", "row", "col").agg(F.collect_list("f").alias("_flats"))
 
 
 def mission_cells(layers: DataFrame, missions: DataFrame, radii: list[int]) -> DataFrame:
     """Every cell of the region a mission asks for, with the flat-ground and prominence scores at its own radius.
 
-    Flat ground depends on the slope limit and the radius only. While few distinct limits are asked for, one stencil adds
-    a column for each limit and radius, so that a cell is shuffled once for all missions; with many, cells are repeated
-    per limit of their region instead.
+    Flat ground depends on the slope limit and the radius only: one narrow stencil for each radius makes it for the limits
+    asked for, and a cell takes its few scores along, so wide cells are shuffled once for all missions.
     """
-    limits = missions.select("max_slope_deg").distinct().limit(MAX_LIMIT_COLUMNS // len(radii) + 1).collect()
-    if len(limits) * len(radii) > MAX_LIMIT_COLUMNS:
-        return _mission_cells_by_limit(layers, missions, radii)
-    pairs = [(row[0], r) for row in sorted(limits) for r in radii]
-    work = nb.derive(layers, [nb.flat_fraction(f"_flat_{i}", passable(F.lit(lim)), r) for i, (lim, r) in enumerate(pairs)])
-    flats = F.array(*[F.col(f"_flat_{i}") for i in range(len(pairs))])
+    work = layers.join(_flat_ground(layers, missions, radii), ["region", "row", "col"])
     proms = F.array(*[F.col(f"prom_{r}") for r in radii])
-    work = work.select(*[c for c in layers.columns if not c.startswith("prom_")], flats.alias("_flats"), proms.alias("_proms"))
-
-    def place(keys: list[tuple[Column, int]]) -> Column:
-        return F.coalesce(*[F.when(cond, F.lit(i + 1)) for cond, i in keys])
-
-    at = place([((F.col("max_slope_deg") == lim) & (F.col("flat_px") == r), i) for i, (lim, r) in enumerate(pairs)])
-    wanted = missions.select(*MISSION_COLUMNS).withColumn("_at", at).withColumn(
-        "_pr", place([(F.col("flat_px") == r, i) for i, r in enumerate(radii)]))
-    return work.join(wanted, "region").withColumn("flat_sub", F.element_at("_flats", F.col("_at"))).withColumn(
-        "prom_sub", F.element_at("_proms", F.col("_pr"))).drop("_flats", "_proms", "_at", "_pr")
-
-
-def _mission_cells_by_limit(layers: DataFrame, missions: DataFrame, radii: list[int]) -> DataFrame:
-    limits = missions.select("region", "max_slope_deg").distinct()
-    work = layers.join(limits, "region")
-    flats = [nb.flat_fraction(f"flat_{r}", passable(F.col("max_slope_deg")), r) for r in radii]
-    work = nb.derive(work, flats, by=("region", "max_slope_deg"))
-    work = work.join(missions.select(*MISSION_COLUMNS), ["region", "max_slope_deg"])
-
-    def at_radius(stem: str) -> Column:
-        return F.coalesce(*[F.when(F.col("flat_px") == r, F.col(f"{stem}_{r}")) for r in radii])
-
-    return work.withColumn("flat_sub", at_radius("flat")).withColumn("prom_sub", at_radius("prom")).drop(
-        *[f"{stem}_{r}" for stem in ("flat", "prom") for r in radii]
-    )
+    work = work.select(*[c for c in work.columns if not c.startswith("prom_")], proms.alias("_proms"))
+    place = F.coalesce(*[F.when(F.col("flat_px") == r, F.lit(i + 1)) for i, r in enumerate(radii)])
+    work = work.join(missions.select(*MISSION_COLUMNS).withColumn("_pr", place), "region")
+    mine = F.filter("_flats", lambda f: (f["_limit"] == F.col("max_slope_deg")) & (f["_radius"] == F.col("flat_px")))
+    return work.withColumn("flat_sub", F.element_at(mine, 1)["_flat"]).withColumn(
+        "prom_sub", F.element_at("_proms", F.col("_pr"))).drop("_flats", "_proms", "_pr")
 
 
 def sub_scores(work: DataFrame) -> DataFrame:

@@ -41,14 +41,3 @@ def test_matches_sql(spark, duck, name):
     rel = duck.sql(oracle_sql()[name])
     b = sorted((tuple(r) for r in rel.project(", ".join(f'"{c}"' for c in cols)).fetchall()), key=key)
     assert a == b
-
-
-def test_flat_ground_is_the_same_however_many_limits(spark, monkeypatch):
-    from selenogrid.operators import scoring
-    from selenogrid.plans.workspace import Workspace
-
-    ws = Workspace.of(spark, SMALL)
-    pick = ["mission_id", "row", "col", "flat_sub", "prom_sub"]
-    a = scoring.mission_cells(ws.layers, ws.missions, ws.radii).select(*pick)
-    b = scoring._mission_cells_by_limit(ws.layers, ws.missions, ws.radii).select(*pick)
-    assert a.count() == b.count() and a.exceptAll(b).count() == 0
