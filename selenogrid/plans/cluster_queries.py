@@ -8,21 +8,16 @@ from selenogrid.operators import anomalies, cluster
 from selenogrid.plans.registry import cte, query
 
 F4 = ["f0", "f1", "f2", "f3"]
-cte("vec", """
-SELECT vec_id AS id, label, embedding[1]::DOUBLE AS f0, embedding[2]::DOUBLE AS f1, embedding[3]::DOUBLE AS f2, embedding[4]::DOUBLE AS f3 FROM embeddings""")
-cte("vecs", "SELECT id, label, " + ", ".join(
+# the four anomaly features of the cells of all regions together
+cte("vec", "SELECT CAST(substr(region, 2) AS BIGINT) * 1000000000000 + row * 64 + col AS id, " + ", ".join(
+    f"{c} AS {f}" for f, c in zip(F4, anomalies.FEATURES, strict=True)) + " FROM layers", ["layers"])
+cte("vecs", "SELECT id, " + ", ".join(
     f"({f} - avg({f}) OVER ()) / coalesce(nullif(stddev_pop({f}) OVER (), 0), 1) AS {f}" for f in F4) + " FROM vec", ["vec"])
 
 
-def vectors(ws):
-    e = ws.source("embeddings")
-    return e.select(F.lit("all").alias("grp"), F.col("vec_id").alias("id"), "label",
-                    *[F.element_at("embedding", i + 1).cast("double").alias(f) for i, f in enumerate(F4)])
-
-
 @query("standardize", "SELECT id, round(f0, 5) AS f0, round(f1, 5) AS f1, round(f2, 5) AS f2, round(f3, 5) AS f3 FROM vecs", ["vecs"])
 def standardize(ws):
-    return cluster.standardize(vectors(ws), F4, ["grp"]).select("id", *[F.round(f, 5).alias(f) for f in F4])
+    return ws.vectors_scaled.select("id", *[F.round(f, 5).alias(f) for f in F4])
 
 
 def pairs_sql(src, by, eps):
@@ -54,7 +49,7 @@ LEFT JOIN (SELECT {f"p.{by}, " if by else ""}p.a AS id, min(c.label) AS label FR
         [src, f"{p}_cc", f"{p}_pairs"])
 
 
-dbscan_steps("vdb", "vecs", "", 0.9, 10)
+dbscan_steps("vdb", "vecs", "", 0.18, 10)
 
 
 @query("density_cluster_vectors", "SELECT id, cluster FROM vdb_labels", ["vdb_labels"])
@@ -63,8 +58,8 @@ def density_cluster_vectors(ws):
 
 
 cte("kth", """
-SELECT a.id, sqrt((a.f0 - b.f0) ** 2 + (a.f1 - b.f1) ** 2 + (a.f2 - b.f2) ** 2 + (a.f3 - b.f3) ** 2) AS d
-FROM vecs a, vecs b QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY d) = 10""", ["vecs"])
+SELECT a.id, min(sqrt((a.f0 - b.f0) ** 2 + (a.f1 - b.f1) ** 2 + (a.f2 - b.f2) ** 2 + (a.f3 - b.f3) ** 2), 10)[10] AS d
+FROM vecs a, vecs b GROUP BY a.id""", ["vecs"])
 
 
 @query("kth_distance", "SELECT id, round(d, 5) AS d FROM kth", ["kth"])
@@ -76,23 +71,25 @@ def kth_distance(ws):
 WITH s AS (SELECT d, row_number() OVER (ORDER BY d DESC) - 1 AS i, count(*) OVER () AS n FROM kth),
 w AS (SELECT *, greatest(1, n // 100) AS skip FROM s WHERE i >= greatest(1, n // 100)),
 z AS (SELECT *, max(d) OVER () AS hi, min(d) OVER () AS lo FROM w)
-SELECT CAST(i AS BIGINT) AS elbow_index, round(d, 5) AS suggested, CASE WHEN abs(round(d, 5) - 0.9) <= 0.2 THEN 'PASS' WHEN abs(round(d, 5) - 0.9) <= 0.4 THEN 'WARN' ELSE 'FAIL' END AS verdict
+SELECT CAST(i AS BIGINT) AS elbow_index, round(d, 5) AS suggested, CASE WHEN abs(round(d, 5) - 0.18) <= 0.2 THEN 'PASS' WHEN abs(round(d, 5) - 0.18) <= 0.4 THEN 'WARN' ELSE 'FAIL' END AS verdict
 FROM z ORDER BY abs((d - lo) / (hi - lo) - (1 - (i - skip) / (n - skip - 1)::DOUBLE)) DESC, i LIMIT 1""", ["kth"])
 def elbow(ws):
     out = cluster.elbow(ws.vector_kth, "d", ["grp"])
-    off = F.abs(F.round("suggested", 5) - 0.9)
+    off = F.abs(F.round("suggested", 5) - 0.18)
     return out.select(F.col("elbow_index").cast("bigint").alias("elbow_index"), F.round("suggested", 5).alias("suggested"),
                       F.when(off <= 0.2, "PASS").when(off <= 0.4, "WARN").otherwise("FAIL").alias("verdict"))
 
 
 @query("silhouette", """
-WITH m AS (SELECT a.id, a.label AS la, b.label AS lb, avg((a.f0 - b.f0) ** 2 + (a.f1 - b.f1) ** 2 + (a.f2 - b.f2) ** 2 + (a.f3 - b.f3) ** 2) AS d
-  FROM vecs a JOIN vecs b ON a.id <> b.id GROUP BY ALL),
+WITH v AS (SELECT * FROM vecs JOIN vdb_labels USING (id) WHERE cluster IS NOT NULL),
+m AS (SELECT a.id, a.cluster AS la, b.cluster AS lb, avg((a.f0 - b.f0) ** 2 + (a.f1 - b.f1) ** 2 + (a.f2 - b.f2) ** 2 + (a.f3 - b.f3) ** 2) AS d
+  FROM v a JOIN v b ON a.id <> b.id GROUP BY ALL),
 p AS (SELECT id, max(CASE WHEN la = lb THEN d END) AS own, min(CASE WHEN la <> lb THEN d END) AS other FROM m GROUP BY id)
-SELECT round(avg(coalesce((other - own) / greatest(own, other), 0)), 6) AS silhouette, count(*) AS n_points FROM p""", ["vecs"])
+SELECT round(avg(coalesce((other - own) / greatest(own, other), 0)), 6) AS silhouette, count(*) AS n_points FROM p""", ["vecs", "vdb_labels"])
 def silhouette(ws):
-    scaled = cluster.standardize(vectors(ws), F4, ["grp"])
-    return cluster.silhouette(scaled, F4, "label").select(F.round("silhouette", 6).alias("silhouette"), "n_points")
+    """Of the clusters that were found."""
+    found = ws.vectors_scaled.join(ws.vector_clusters.select("id", "cluster"), "id")
+    return cluster.silhouette(found, F4, "cluster").select(F.round("silhouette", 6).alias("silhouette"), "n_points")
 
 
 @query("cluster_sizes", """
@@ -101,15 +98,15 @@ def cluster_sizes(ws):
     return ws.vector_clusters.groupBy(F.coalesce("cluster", F.lit(-1)).alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
 
 
-dbscan_steps("vdb2", "vecs", "", 0.7, 10)
+dbscan_steps("vdb2", "vecs", "", 0.25, 10)
 
 
 @query("cluster_sizes_two_eps", """
-SELECT '0.9' AS eps, coalesce(cluster, -1) AS cluster, count(*) AS n FROM vdb_labels GROUP BY ALL UNION ALL
-SELECT '0.7', coalesce(cluster, -1), count(*) FROM vdb2_labels GROUP BY ALL""", ["vdb_labels", "vdb2_labels"])
+SELECT '0.18' AS eps, coalesce(cluster, -1) AS cluster, count(*) AS n FROM vdb_labels GROUP BY ALL UNION ALL
+SELECT '0.25', coalesce(cluster, -1), count(*) FROM vdb2_labels GROUP BY ALL""", ["vdb_labels", "vdb2_labels"])
 def cluster_sizes_two_eps(ws):
-    other = cluster.density_cluster(ws.vectors_scaled.select("grp", "id", *F4), F4, 0.7, 10, ["grp"])
-    both = ws.vector_clusters.withColumn("eps", F.lit("0.9")).unionByName(other.withColumn("eps", F.lit("0.7")))
+    other = cluster.density_cluster(ws.vectors_scaled.select("grp", "id", *F4), F4, 0.25, 10, ["grp"])
+    both = ws.vector_clusters.withColumn("eps", F.lit("0.18")).unionByName(other.withColumn("eps", F.lit("0.25")))
     return both.groupBy("eps", F.coalesce("cluster", F.lit(-1)).alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -107,21 +107,21 @@ class Workspace:
 
     @stored
     def vectors_scaled(self) -> DataFrame:
-        names = ["f0", "f1", "f2", "f3"]
-        raw = self.source("embeddings").select(
-            F.lit("all").alias("grp"), F.col("vec_id").alias("id"), "label",
-            *[F.element_at("embedding", i + 1).cast("double").alias(f) for i, f in enumerate(names)])
-        return cluster.standardize(raw, names, ["grp"])
+        """The four anomaly features of all cells of all regions, scaled together."""
+        cells = anomalies.cell_points(self.layers)
+        number = F.substring("region", 2, 20).cast("long") * 1_000_000_000_000
+        named = [F.col(c).alias(f"f{i}") for i, c in enumerate(anomalies.FEATURES)]
+        return cluster.standardize(cells.select(F.lit("all").alias("grp"), (number + F.col("id")).alias("id"), *named), self.FOUR, ["grp"])
+
+    FOUR = ["f0", "f1", "f2", "f3"]
 
     @stored
     def vector_clusters(self) -> DataFrame:
-        names = ["f0", "f1", "f2", "f3"]
-        return cluster.density_cluster(self.vectors_scaled.select("grp", "id", *names), names, 0.9, 10, ["grp"])
+        return cluster.density_cluster(self.vectors_scaled.select("grp", "id", *self.FOUR), self.FOUR, 0.18, 10, ["grp"])
 
     @stored
     def vector_kth(self) -> DataFrame:
-        names = ["f0", "f1", "f2", "f3"]
-        return cluster.kth_distance(self.vectors_scaled.select("grp", "id", *names), names, 10, ["grp"], 1.0)
+        return cluster.kth_distance(self.vectors_scaled.select("grp", "id", *self.FOUR), self.FOUR, 10, ["grp"], 1.0)
 
     # --- routes ----------------------------------------------------------------------------------------------------
 
