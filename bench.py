@@ -45,7 +45,7 @@ def main() -> None:
         "route_stats": lambda: ws.route_stats.count(),
         "given_route_energy": lambda: drain(QUERIES["path_energy"](spark, sf_dir)),
         "recharge_stops": lambda: ws.given_stops.count(),
-        "train_classifier": lambda: setattr(ws, "model", classify.train(ws.labelled, trees=20, depth=10)),
+        "train_classifier": lambda: setattr(ws, "model", classify.train(classify.stratified(ws.labelled).filter("fold = 'train'"))),
         "classify_cells": lambda: drain(classify.predict(ws.model, ws.labelled)),
         "reports": lambda: drain(QUERIES["report_text"](spark, sf_dir)),
     }

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from selenogrid.functions.numeric import or_one, zero_if_null
+from selenogrid.operators.quantiles import ordered_index
 from selenogrid.session import write_table
 
 FEATURES = ["elev_n", "slope_n", "rough_n", "quality_n", "mean_slope", "std_elev", "grad_slope", "lat_n"]
@@ -47,34 +48,30 @@ def labelled(layers: DataFrame, scores: DataFrame) -> DataFrame:
     return features(layers).join(scores.select(*key, label.alias("label")), key)
 
 
-def shuffled(df: DataFrame, seed: int = 42) -> Column:
-    return F.xxhash64("region", "row", "col", F.lit(seed))
+def _placed(df: DataFrame, seed: int) -> DataFrame:
+    """``_pos``: the row's place among those of its class in a seeded order, counted slice by slice, so no class is gathered in one task."""
+    work = df.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), "region", "row", "col")))
+    slices = F.conv(F.substring("_h", 1, 3), 16, 10).cast("int")
+    return ordered_index(work, ["label"], slices, ["_h", "region", "row", "col"], "_pos").drop("_h")
 
 
 def stratified(df: DataFrame, n_train: int = 50_000, n_val: int = 10_000, seed: int = 42) -> DataFrame:
-    """Rows marked train or validation, each class in proportion.
+    """``fold``: train, validation or NULL, every class in proportion and the two always apart.
 
-    A row's place is decided by the share of its class hashed below it: the sampling operator. Hash thresholds replace a
-    ranking, so no class is gathered in one task; sizes are met in expectation.
+    The sizes are bounds: with fewer rows than both together, all are used, in the same proportion.
     """
-    total = df.count()
-    u = (F.pmod(shuffled(df, seed), F.lit(1_000_000)) + 0.5) / 1_000_000
-    if total <= n_train:
-        return df.withColumn("fold", F.lit("both"))
-    train = n_train / total
-    val = min(1.0, (n_train + n_val) / total)
-    return df.withColumn("fold", F.when(u < train, "train").when(u < val, "validation"))
+    counts = df.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
+    whole = counts.agg(F.sum("_n").alias("_all"))
+    used = F.least(F.lit(1.0), (n_train + n_val) / F.col("_all"))
+    cuts = counts.join(whole, F.lit(True)).select(  # one row for each class
+        "label", F.floor(F.col("_n") * used * (n_train / (n_train + n_val)) + 0.5).alias("_train"), F.floor(F.col("_n") * used + 0.5).alias("_used"))
+    fold = F.when(F.col("_pos") < F.col("_train"), "train").when(F.col("_pos") < F.col("_used"), "validation")
+    return _placed(df, seed).join(cuts, "label").withColumn("fold", fold).select(*df.columns, "fold")
 
 
 def folds(df: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
-    """Stratified folds that differ by at most one row per class: position within (class, hash slice), shifted by the
-    counts of earlier slices, modulo ``k``."""
-    from selenogrid.operators.quantiles import ordered_index
-
-    work = df.withColumn("_h", shuffled(df, seed))
-    slices = F.floor(F.col("_h") / F.lit(2.0**54))
-    indexed = ordered_index(work, ["label"], slices, ["_h", "region", "row", "col"], "_pos")
-    return indexed.withColumn("fold", F.col("_pos") % k).drop("_h", "_pos")
+    """Stratified folds that differ by at most one row per class."""
+    return _placed(df, seed).withColumn("fold", F.col("_pos") % k).drop("_pos")
 
 
 def with_weights(df: DataFrame) -> DataFrame:
@@ -88,7 +85,8 @@ def with_weights(df: DataFrame) -> DataFrame:
 def train(df: DataFrame, trees: int = 100, depth: int = 15, seed: int = 42) -> PipelineModel:
     data = write_table(with_weights(df).select("label", "weight", *FEATURES), "training")
     forest = RandomForestClassifier(
-        labelCol="label", featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=depth, maxBins=256, seed=seed)
+        labelCol="label", featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=depth, maxBins=256, maxMemoryInMB=1024,
+        seed=seed)
     return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), forest]).fit(data)
 
 
@@ -137,7 +135,7 @@ def metrics(matrix: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def cross_validate(df: DataFrame, k: int = 5, **forest: int) -> DataFrame:
-    """Fold, accuracy and per-class F1 of ``k`` fits, each on the other folds."""
+    """Fold, accuracy and per-class F1 of ``k`` fits, each on the other folds and measured on its own."""
     data = write_table(folds(df, k), "folds")
     scored = None
     for i in range(k):
@@ -147,6 +145,12 @@ def cross_validate(df: DataFrame, k: int = 5, **forest: int) -> DataFrame:
     return metrics(confusion(scored, "label", "cls", ("fold",)), ("fold",))
 
 
+def fold_summary(scored: DataFrame) -> DataFrame:
+    """Number of folds, mean accuracy and its deviation over them, from :func:`cross_validate`."""
+    one = scored.groupBy("fold").agg(F.max("accuracy").alias("accuracy"))
+    return one.agg(F.count(F.lit(1)).alias("n_folds"), F.avg("accuracy").alias("mean_accuracy"), F.stddev_pop("accuracy").alias("deviation"))
+
+
 def class_distribution(codes: DataFrame, by: tuple[str, ...] = ("region",)) -> DataFrame:
     """Count and share of all five classes, absent ones as 0."""
     counts = codes.groupBy(*by).agg(*[F.sum((F.col("cls") == i).cast("long")).alias(f"c{i}") for i in range(N_CLASSES)], F.count(F.lit(1)).alias("_n"))

@@ -117,8 +117,11 @@ def with_sunlight(found: DataFrame, regions: DataFrame, cells: DataFrame, layer:
 
 
 def rerank_by_class(sites: DataFrame, classes: DataFrame) -> DataFrame:
-    """Science targets gain 0.1 (at most 1), hazard cells drop to 0, and ranks follow; ties keep their order."""
-    joined = sites.join(classes, ["region", "row", "col"], "left")
+    """Science targets gain 0.1 (at most 1), hazard cells drop to 0, and ranks follow; ties keep their order.
+
+    ``classes`` gives ``cls`` by region, row and col, and by mission where classes depend on the rover.
+    """
+    joined = sites.join(classes, [c for c in classes.columns if c != "cls"], "left")
     adjusted = (
         F.when(F.col("cls") == 4, F.least(F.lit(1.0), F.col("final") + 0.1)).when(F.col("cls") == 0, 0.0).otherwise(F.col("final"))
     )

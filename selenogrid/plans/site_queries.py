@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from selenogrid.functions import describe, geo
-from selenogrid.operators import distance, proximity, sites
+from selenogrid.operators import classify, distance, proximity, sites
 from selenogrid.plans.registry import cte, query
 from selenogrid.plans.steps import box_sql, cell_sql, haversine_sql, lat_sql, lon_sql
 
@@ -71,12 +71,16 @@ def sites_requested(ws):
 
 
 @query("sites_rerank_by_class", """
-WITH a AS (SELECT mission_id, rank, final, (row * 7 + col * 3) % 5 AS cls FROM sites),
+WITH a AS (SELECT mission_id, rank, final, cls FROM sites JOIN (SELECT mission_id, region, row, col, CASE WHEN coalesce(slope > 25, false) OR coalesce(roughness > 200, false) THEN 0
+  WHEN mission > 0.7 AND safety > 0.3 THEN 4 WHEN safety > 0.6 AND final > 0.5 THEN 3 WHEN safety BETWEEN 0.3 AND 0.6 THEN 2 ELSE 1 END AS cls FROM scores)
+  USING (mission_id, region, row, col)),
 b AS (SELECT *, CASE cls WHEN 4 THEN least(1, final + 0.1) WHEN 0 THEN 0 ELSE final END AS adjusted FROM a)
 SELECT mission_id, rank, round(adjusted, 6) AS adjusted, CAST(row_number() OVER (PARTITION BY mission_id ORDER BY adjusted DESC, rank) AS INT) AS new_rank FROM b""",
-       ["sites"])
+       ["sites", "scores"])
 def sites_rerank_by_class(ws):
-    classes = ws.cells.select("region", "row", "col", ((F.col("row") * 7 + F.col("col") * 3) % 5).alias("cls"))
+    """By the class that the rules give each site for its own rover."""
+    cls = classify.rule_label(*[F.col(c) for c in ("slope", "roughness", "safety", "mission", "final")])
+    classes = ws.scores.select("mission_id", "region", "row", "col", cls.alias("cls"))
     return sites.rerank_by_class(ws.sites, classes).select(*MR, r6("adjusted"), "new_rank")
 
 
@@ -130,6 +134,13 @@ def distance_to_shadow(ws):
     return distance.distance_to_mask(ws.decoded, F.col("psr") >= 0.5, "shadow_m", 5000.0, 600.0).select("region", "row", "col", r6("shadow_m", 4))
 
 
+@query("distance_across_tiles", "SELECT region, row, col, round(shadow_m, 4) AS shadow_m FROM layers", ["layers"])
+def distance_across_tiles(ws):
+    """The same with tiles of 16 cells, so that every region spans several and halos cross them."""
+    near = distance.distance_to_mask(ws.decoded, F.col("psr") >= 0.5, "shadow_m", 5000.0, 600.0, tile=16)
+    return near.select("region", "row", "col", r6("shadow_m", 4))
+
+
 @query("distance_to_shadow_uncut", """
 SELECT a.region, a.row, a.col, round(min(sqrt(((a.row - b.row) ** 2 + (a.col - b.col) ** 2)::DOUBLE) * 600), 4) AS shadow_m
 FROM cells a LEFT JOIN cells b ON a.region = b.region AND b.raw_psr = 20000 GROUP BY ALL""", ["cells"])

@@ -264,6 +264,17 @@ class Workspace:
         one = self.varied.filter("variant = 'BASELINE'").join(self.layers.select("region", "row", "col", "slope", "roughness"), ["region", "row", "col"])
         return classify.labelled(self.layers, one)
 
+    @property
+    def forest(self):
+        """The classifier, trained once on the training fold."""
+        if not hasattr(self, "_forest"):
+            self._forest = classify.train(classify.stratified(self.labelled).filter("fold = 'train'"))
+        return self._forest
+
+    @stored
+    def fold_metrics(self) -> DataFrame:
+        return classify.cross_validate(self.labelled)
+
     @stored
     def brief(self) -> DataFrame:
         lit = sites.with_sunlight(self.kept_sites, self.regions, self.cells, "illumination")

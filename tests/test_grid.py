@@ -89,3 +89,19 @@ def test_distance_matches_brute_force(spark, tile):
         full = distance.full_distance_to_mask(df, F.col("m") > 0, "d").cache()
         assert np.allclose(grid(full, "d", mask.shape, "r"), want)
         assert full.filter("region = 'none' AND d IS NOT NULL").count() == 0
+
+
+@pytest.mark.parametrize("shape,cut", [((6, 6), 20), ((6, 6), 12), ((3, 5), 40), ((1, 4), 9)])
+def test_distance_where_the_cut_is_wider_than_the_region(spark, shape, cut):
+    mask = np.zeros(shape)
+    mask[0, 0] = 1
+    rr, cc = np.indices(shape)
+    near = distance.distance_to_mask(cells(spark, {"r": {"m": mask}}), F.col("m") > 0, "d", cut * 60.0, 60.0, tile=4)
+    assert np.allclose(grid(near, "d", shape), np.hypot(rr, cc) * 60)
+
+
+def test_boxes_wider_than_the_region(spark):
+    a = np.arange(12.0).reshape(3, 4) ** 1.5
+    out = stencil(cells(spark, {"r": {"x": a}}), [Box("m", "mean", F.col("x"), 31), Box("t", "max", F.col("x"), 15), Box("s", "sum", F.col("x"), 25)]).cache()
+    for name, size, fold in (("m", 31, np.mean), ("t", 15, np.max), ("s", 25, np.sum)):
+        assert np.allclose(grid(out, name, a.shape), box(a, size, fold))

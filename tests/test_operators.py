@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from grids import cells, dbscan, dijkstra, grid
 from selenogrid.functions import geo, physics
 from selenogrid.operators import cluster, energy, evaluate, proximity, quantiles, routing, sites
+from selenogrid.sources import ingest
 
 
 def one(spark, **cols):
@@ -178,10 +179,48 @@ def test_exact_quantiles_by_selection(spark):
     got = quantiles.histogram_quantiles(df, {"x": (F.col("x"), probs)}).toPandas().set_index("region")
     for f in frames:
         assert np.allclose(got.loc[f["region"].iloc[0]].to_numpy(dtype=float), np.quantile(f["x"], probs))
-    big = quantiles.quantiles(df, {"x": (F.col("x"), probs)}, largest_group=10**9, aggs={"n": F.count("x")}).toPandas().set_index("region")
+    big = quantiles.quantiles(df, {"x": (F.col("x"), probs)}, aggs={"n": F.count("x")}).toPandas().set_index("region")
     assert big.loc["b", "n"] == 700 and np.isclose(big.loc["a", "x_p50"], np.median(frames[0]["x"]))
 
 
+def test_quantiles_split_a_bucket_that_an_outlier_fills(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "SORTED", 10)
+    rng = np.random.default_rng(8)
+    x = np.r_[rng.normal(size=3000), 1e15, -1e12, np.full(200, 0.25)]
+    df = spark.createDataFrame(pd.DataFrame({"region": "a", "x": x}))
+    probs = [0.0, 0.1, 0.5, 0.9, 1.0]
+    got = quantiles.histogram_quantiles(df, {"x": (F.col("x"), probs)}).toPandas().set_index("region")
+    assert np.allclose(got.loc["a"].to_numpy(dtype=float), np.quantile(x, probs))
+
+
+def test_silhouette_matches_all_pairs(spark):
+    rng = np.random.default_rng(9)
+    x = np.vstack([rng.normal(c, 0.3, size=(20, 2)) for c in (0.0, 1.0, 4.0)] + [[[9.0, 9.0]]])
+    label = np.r_[np.repeat([0, 1, 2], 20), 3]
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    want = []
+    for i, own in enumerate(label):
+        mates = (label == own) & (np.arange(len(x)) != i)
+        b = min(d[i, label == k].mean() for k in set(label) - {own})
+        want.append((b - d[i, mates].mean()) / max(b, d[i, mates].mean()) if mates.any() else 0.0)
+    df = spark.createDataFrame(pd.DataFrame({"f0": x[:, 0], "f1": x[:, 1], "label": label}))
+    got = cluster.silhouette(df, ["f0", "f1"], "label").first()
+    assert abs(got["silhouette"] - np.mean(want)) < 1e-9 and got["n_points"] == 61
+
+
+def test_missing_values_are_errors_unless_optional(spark):
+    fields = {**ingest.RANGES, **ingest.OPTIONAL_RANGES}
+    schema = ", ".join(f"{c} double" for c in fields) + ", mission_day double, mission_type string, power_source string, psr_intent string, science_experiments array<string>"
+    good = [sum(r) / 2 for r in fields.values()]
+    good[list(fields).index("focus_lat_min")] = -80.0
+    rows = [(*good, 3.0, "geological", "solar", "rim", ["mineralogy"]), tuple([None] * (len(fields) + 5)),
+            (*[None if c in ingest.OPTIONAL_RANGES or c == "solar_panel_w" else g for c, g in zip(fields, good)], None, "geological", "rtg", "rim", [])]
+    df = spark.createDataFrame(rows, schema)
+    errors = [r[0] for r in df.select(ingest.mission_errors(df)).collect()]
+    assert errors[0] == [] and errors[2] == []
+    assert set(errors[1]) == {*ingest.RANGES, "mission_day", "mission_type", "power_source", "psr_intent", "science_experiments"}
+
+
 def test_rank_correlation_with_ties(spark):
     rng = np.random.default_rng(6)
     a, b = rng.integers(0, 20, 300).astype(float), rng.integers(0, 20, 300).astype(float)
