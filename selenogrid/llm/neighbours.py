@@ -2,7 +2,7 @@
 
 Equal vectors are one. Lists of the nearest neighbours start from sketches: vectors that lie on the same sides of random
 planes meet in blocks of bounded size. Then rounds of NN-descent: whoever share a neighbour are compared, lists keep the
-nearest. Vectors within a quarter of the linking distance of a leader become its class: all pairs of a class are then linked for
+nearest. Vectors within half the linking angle of one direction become a class: all pairs of a class are then linked for
 sure and are counted, never listed, however large a group of near copies is. The lists of the leaders are made anew, and
 a list whose farthest entry is still near enough to matter is saturated: it is enlarged until it is not. What remains are
 the edges over the threshold between classes; where two classes straddle the threshold, their members are compared.
