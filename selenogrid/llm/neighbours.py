@@ -24,6 +24,8 @@ from selenogrid.llm.base import components
 from selenogrid.session import write_table
 
 LIST, SKETCHES, ROUNDS, BLOCK = 8, 6, 2, 256
+#: Vectors that a task holds at once, about.
+ROWS = 4096
 QUERIES, RECALL = 256, 0.95
 #: Angles are rounded by so much, on the safe side.
 SLACK = 1e-7
@@ -119,7 +121,7 @@ def _sketched(points: DataFrame, n: int, dim: int, k: int, salt: int) -> DataFra
     crowds = rows.groupBy("t", "s").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
     rows = rows.join(write_table(crowds, "crowds"), ["t", "s"])
     block = F.xxhash64("t", "s", F.pmod(F.xxhash64("id", F.lit(salt)), F.col("parts")))
-    rows = rows.select("id", block.alias("block")).join(points, "id").withColumn("task", F.pmod("block", F.lit(max(8, SKETCHES * n // 4096))))
+    rows = rows.select("id", block.alias("block")).join(points, "id").withColumn("task", F.pmod("block", F.lit(max(8, SKETCHES * n // ROWS))))
     return rows.groupBy("task").applyInPandas(lambda part: _nearest(part, "block", k), _FOUND)
 
 
@@ -132,7 +134,7 @@ def _descend(points: DataFrame, lists: DataFrame, n: int, k: int) -> DataFrame:
     crowds = edges.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
     edges = edges.join(write_table(crowds, "crowds"), "a")
     meeting = F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts")))
-    met = edges.select(meeting.alias("meeting"), F.col("b").alias("id")).join(points, "id").withColumn("task", F.pmod("meeting", F.lit(max(8, n // 512))))
+    met = edges.select(meeting.alias("meeting"), F.col("b").alias("id")).join(points, "id").withColumn("task", F.pmod("meeting", F.lit(max(8, n * k // ROWS))))
     fresh = met.groupBy("task").applyInPandas(lambda part: _nearest(part, "meeting", k), _FOUND)
     return _best(_entries(lists).unionByName(fresh), k)
 
@@ -220,12 +222,14 @@ def _between(pairs: DataFrame, members: DataFrame, least: float) -> DataFrame:
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     rows = members.withColumn("part", part)
     one = pairs.join(rows.select(F.col("label").alias("a"), "id", "part", "unit", "copies"), "a").join(
-        members.select(F.col("label").alias("b"), F.col("parts").alias("n")).distinct(), "b").withColumn("q", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        members.select(F.col("label").alias("b"), F.col("parts").alias("of")).distinct(), "b").withColumn("q", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
     two = pairs.join(rows.select(F.col("label").alias("b"), "id", "part", "unit", "copies"), "b").join(
-        members.select(F.col("label").alias("a"), F.col("parts").alias("n")).distinct(), "a").withColumn("q", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        members.select(F.col("label").alias("a"), F.col("parts").alias("of")).distinct(), "a").withColumn("q", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
     both = one.select("a", "b", F.lit(0).alias("side"), F.struct(F.col("part").alias("x"), F.col("q").alias("y")).alias("m"), "id", "unit", "copies").unionByName(
         two.select("a", "b", F.lit(1).alias("side"), F.struct(F.col("q").alias("x"), F.col("part").alias("y")).alias("m"), "id", "unit", "copies"))
-    both = both.withColumn("meeting", F.xxhash64("a", "b", "m")).withColumn("task", F.pmod("meeting", F.lit(997)))
+    both = both.withColumn("meeting", F.xxhash64("a", "b", "m"))
+    both = write_table(both, "meetings")
+    both = both.withColumn("task", F.pmod("meeting", F.lit(max(8, both.count() // ROWS))))
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         side, raw, copies, ids = part["side"].to_numpy(), part["unit"].to_numpy(), part["copies"].to_numpy(), part["id"].to_numpy()

@@ -9,7 +9,7 @@ def brute(rows, least=0.95):
     vec = {}
     for i, (_, v) in enumerate(rows):
         if v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v):
-            x = np.array(v, float)
+            x = np.array(v, float) / np.abs(v).max()
             vec[i] = x / np.linalg.norm(x)
     near = {i: {j for j in vec if j != i and len(vec[i]) == len(vec[j]) and vec[i] @ vec[j] >= least} for i in vec}
     out = []
