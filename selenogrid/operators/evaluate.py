@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from selenogrid.operators.quantiles import average_ranks
+from selenogrid.operators.quantiles import average_ranks, running_counts
 
 # fixed values: weights of slope, roughness, quality, flatness, prominence
 WEIGHT_VARIANTS = {
@@ -29,10 +29,16 @@ def layer_statistics(cells: DataFrame, layers: Sequence[str], by: Sequence[str]
 def percentile_of_score(points: DataFrame, population: DataFrame, score: str, by: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """100 x share of the population (already limited to passable cells) that does not exceed each point's score.
 
-    Points are few; every task keeps two counters per point.
+    Points take their place among the counts of the population's values, as values that count nothing; they never meet its rows.
     """
-    pairs = points.select(*by, *keep, F.col(score).alias("_s")).join(population.select(*by, F.col(score).alias("_x")), list(by))
-    return pairs.groupBy(*by, *keep, "_s").agg((100.0 * F.avg((F.col("_x") <= F.col("_s")).cast("int"))).alias("percentile"))
+    by = list(by)
+    asked = points.select(*by, *keep, F.col(score).cast("double").alias("_s")).distinct()
+    values = population.select(*by, F.col(score).cast("double").alias("_v"), F.lit(1).alias("_w")).unionByName(
+        asked.select(*by, F.col("_s").alias("_v"), F.lit(0).alias("_w")))
+    ranks = running_counts(values, F.col("_v"), by, F.col("_w")).select(*by, F.col("v").alias("_s"), "upto")
+    sizes = population.filter(F.col(score).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    placed = asked.join(sizes, by).join(ranks, [*by, "_s"], "left")
+    return placed.select(*by, *keep, "_s", (100.0 * (F.col("upto") / F.col("_n"))).alias("percentile"))
 
 
 def spearman(df: DataFrame, a: str, b: str, by: Sequence[str]) -> DataFrame:

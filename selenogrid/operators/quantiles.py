@@ -99,15 +99,16 @@ def histogram_quantiles(
     return named.groupBy(*by).agg(*out)
 
 
-def running_counts(df: DataFrame, value: Column, by: Sequence[str]) -> DataFrame:
-    """``(by, v, k, upto)``: rows per distinct value and rows with a value not above it.
+def running_counts(df: DataFrame, value: Column, by: Sequence[str], weight: Column | None = None) -> DataFrame:
+    """``(by, v, k, upto)``: rows per distinct value and rows with a value not above it; with ``weight``, sums of it instead.
 
     Values are counted first (map-side), then summed bucket by bucket, so that no window spans a whole group: one window
     runs over at most :data:`BUCKETS` totals, the other inside one bucket.
     """
     by = list(by)
-    base = df.select(*by, value.cast("double").alias("v")).filter(F.col("v").isNotNull())
-    distinct = base.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("k"))
+    one = F.lit(1) if weight is None else weight
+    base = df.select(*by, value.cast("double").alias("v"), one.cast("long").alias("w")).filter(F.col("v").isNotNull())
+    distinct = base.groupBy(*by, "v").agg(F.sum("w").alias("k"))
     span = settle(base.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi")))
     keyed = distinct.join(span, by).withColumn("bucket", _bucket(F.col("v"), F.col("lo"), F.col("hi"))).drop("lo", "hi")
     totals = keyed.groupBy(*by, "bucket").agg(F.sum("k").alias("t"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from string import Formatter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from selenogrid.functions.describe import ELEVATION_PHRASES, ROUGHNESS_WORDS, SLOPE_WORDS, band
@@ -110,10 +110,13 @@ def brief(missions: DataFrame, sites: DataFrame, routes: DataFrame, anomalies: D
     top = sites.groupBy("mission_id").agg(
         F.count(F.lit(1)).alias("n_sites"), F.max(F.when(F.col("rank") == 1, F.col("sunlight_fraction"))).alias("sun"),
         *[F.max(F.when(F.col("rank") == i, F.col(c))).alias(f"{n}{i}") for i in (1, 2, 3) for n, c in site.items()])
-    relevant = missions.select("mission_id", "region", "mission_type").join(anomalies, "region").filter(
-        F.array_contains("recommended_for", F.col("mission_type")))
     entry = F.struct((-F.col("anomaly_strength")).alias("s"), "cluster", "anomaly_type", "lat", "lon", "pixel_count")
-    strongest = relevant.groupBy("mission_id").agg(F.slice(F.array_sort(F.collect_list(entry)), 1, 2).alias("a"))
+    # the two strongest of each region and mission type are found before missions meet them
+    kinds = anomalies.select("region", entry.alias("e"), F.explode(F.array_distinct("recommended_for")).alias("mission_type"))
+    place = F.row_number().over(Window.partitionBy("region", "mission_type").orderBy("e"))
+    two = kinds.withColumn("_place", place).filter("_place <= 2").select("region", "mission_type", "e.*")
+    relevant = missions.select("mission_id", "region", "mission_type").join(two, ["region", "mission_type"])
+    strongest = relevant.groupBy("mission_id").agg(F.array_sort(F.collect_list(F.struct("s", "cluster", "anomaly_type", "lat", "lon", "pixel_count"))).alias("a"))
     out = missions.join(top, "mission_id", "left").join(routes, "mission_id", "left").join(strongest, "mission_id", "left").join(
         stops, "mission_id", "left")
     fields = {}
