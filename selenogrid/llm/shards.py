@@ -1,8 +1,8 @@
 """Shards whose mixture of sources is that of the whole: proportional stratified interleaving.
 
 The rows of a source are put in a seeded order and get the fraction of the source that lies before their middle. Sorted
-by that fraction, any run of rows holds every source in its share of the whole, up to one row, so equal cuts of the
-sorted rows are shards of the same mixture.
+by that fraction, the rows between any two fractions hold every source in its share of the whole, up to one row, so equal
+cuts of the sorted rows are shards of the same mixture.
 """
 
 from __future__ import annotations
