@@ -1,8 +1,9 @@
 """Embedding near-duplicates by NN-descent over class representatives.
 
 Equal vectors are one. Lists of the nearest neighbours start from sketches: vectors that lie on the same sides of random
-planes meet in blocks of bounded size. Then rounds of NN-descent: whoever share a neighbour are compared, lists keep the
-nearest. Vectors within half the linking angle of one direction become a class: all pairs of a class are then linked for
+planes meet in blocks of bounded size. There are as many sketches as keep the chance that two vectors at the linking angle
+never meet the same at every size. Then rounds of NN-descent, until few entries change: whoever share a neighbour are
+compared, lists keep the nearest. Vectors within half the linking angle of one direction become a class: all pairs of a class are then linked for
 sure and are counted, never listed, however large a group of near copies is. The lists of the leaders are made anew, and
 a list whose farthest entry is still near enough to matter is saturated: it is enlarged until it is not. What remains are
 the edges over the threshold between classes; where two classes straddle the threshold, their members are compared.
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 from selenogrid.llm.base import components
 from selenogrid.session import write_table
 
-LIST, SKETCHES, ROUNDS, BLOCK = 8, 6, 2, 256
+LIST, SKETCHES, BLOCK = 8, 6, 256  # SKETCHES: those that are made at once, and the fewest
+#: Chance that no sketch joins two vectors at the linking angle; further planes that split a crowd; share of entries that a last round changes.
+MISS, DEEPER, SETTLED = 0.005, 16, 0.01
 #: Vectors that a task holds at once, about.
 ROWS = 4096
 QUERIES, RECALL = 256, 0.95
@@ -106,23 +109,50 @@ def _entries(lists: DataFrame) -> DataFrame:
     return lists.select("id", F.explode("near").alias("e")).select("id", "e.other", "e.cos")
 
 
-def _sketched(points: DataFrame, n: int, dim: int, k: int, salt: int) -> DataFrame:
-    """Entries to begin with: the nearest in blocks of the same sketch. A crowded sketch is dealt over blocks of about ``BLOCK``."""
-    bits = max(1, math.ceil(math.log2(max(2, n) / (BLOCK / 2))))
-    planes = np.random.default_rng(salt).standard_normal((dim, SKETCHES * bits))
+def _bits(n: int) -> int:
+    """Planes of a sketch: blocks hold half of ``BLOCK`` on average."""
+    return max(1, math.ceil(math.log2(max(2, n) / (BLOCK / 2))))
+
+
+def _sketches(n: int, angle: float) -> int:
+    """Sketches among ``n`` vectors of which none joins two at ``angle`` with a chance of ``MISS``; a plane more is reckoned for crowds."""
+    same = (1 - angle / math.pi) ** (_bits(n) + 1)
+    return max(SKETCHES, math.ceil(math.log(MISS) / math.log1p(-same)))
+
+
+def _sides(planes: np.ndarray, count: int):
+    """Expression of a vector: ``count`` sketches, a bit for each of their planes that it is above."""
+    bits = planes.shape[1] // count
 
     @F.pandas_udf("array<long>")
     def sketch(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            sides = (_matrix(part, "<f4") @ planes > 0).reshape(len(part), SKETCHES, bits) if len(part) else np.zeros((0, SKETCHES, bits))
+            sides = (_matrix(part, "<f4") @ planes > 0).reshape(len(part), count, bits) if len(part) else np.zeros((0, count, bits))
             yield pd.Series(list((sides @ (1 << np.arange(bits))).astype(np.int64)), dtype=object)
 
-    rows = write_table(points.select("id", F.posexplode(sketch("x")).alias("t", "s")), "sketches")
-    crowds = rows.groupBy("t", "s").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    rows = rows.join(write_table(crowds, "crowds"), ["t", "s"])
-    block = F.xxhash64("t", "s", F.pmod(F.xxhash64("id", F.lit(salt)), F.col("parts")))
-    rows = rows.select("id", block.alias("block")).join(points, "id").withColumn("task", F.pmod("block", F.lit(max(8, SKETCHES * n // ROWS))))
-    return rows.groupBy("task").applyInPandas(lambda part: _nearest(part, "block", k), _FOUND)
+    return sketch
+
+
+def _blocks(points: DataFrame, n: int, dim: int, count: int, salt: int) -> Iterator[DataFrame]:
+    """``points`` (id, x, ..) once a sketch with ``block`` and ``task``, a table for every ``SKETCHES`` of the ``count`` sketches.
+
+    A crowded sketch is split by further planes, which seldom part near vectors. What these do not part is dealt, otherwise in every sketch.
+    """
+    bits = _bits(n)
+    for first in range(0, count, SKETCHES):
+        here = min(SKETCHES, count - first)
+        planes = np.random.default_rng([salt, first]).standard_normal((dim, here * (bits + DEEPER)))
+
+        rows = points.select("id", F.posexplode(_sides(planes, here)("x")).alias("t", "full"))
+        rows = write_table(rows.withColumn("s", F.col("full").bitwiseAND(F.lit((1 << bits) - 1))), "sketches")
+        size = F.count(F.lit(1))
+        more = F.when(size > BLOCK, F.least(F.ceil(F.log2(size / (BLOCK / 2))), F.lit(DEEPER))).otherwise(0)
+        crowds = write_table(rows.groupBy("t", "s").agg(more.cast("int").alias("more")), "crowds")
+        rows = write_table(rows.join(crowds, ["t", "s"]).select("id", "t", F.expr(f"full & (shiftleft(1L, {bits} + more) - 1L)").alias("s"), "more"), "split")
+        crowds = write_table(rows.groupBy("t", "s", "more").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")), "crowds")
+        block = F.xxhash64(F.lit(salt), F.col("t") + first, "s", "more", F.pmod(F.xxhash64("id", F.lit(salt), F.col("t") + first), F.col("parts")))
+        rows = rows.join(crowds, ["t", "s", "more"]).select("id", block.alias("block")).join(points, "id")
+        yield rows.withColumn("task", F.pmod("block", F.lit(max(8, here * n // ROWS))))
 
 
 def _descend(points: DataFrame, lists: DataFrame, n: int, k: int) -> DataFrame:
@@ -139,13 +169,27 @@ def _descend(points: DataFrame, lists: DataFrame, n: int, k: int) -> DataFrame:
     return _best(_entries(lists).unionByName(fresh), k)
 
 
-def neighbour_lists(points: DataFrame, n: int, dim: int, floor: float, k: int = LIST, salt: int = 7) -> DataFrame:
-    """``(id, near)`` for ``n`` ``points`` (id, x): about the k nearest by cosine. While any list is saturated, its last entry at
-    ``floor`` or above, the lists are made twice as long and refined again."""
-    lists = write_table(_best(_sketched(points, n, dim, k, salt), k), "near")
+def _changed(old: DataFrame, new: DataFrame) -> float:
+    """Share of the entries of ``new`` that ``old`` has not."""
+    both = new.join(old.select("id", F.col("near.other").alias("was")), "id", "left")
+    fresh = F.size(F.array_except("near.other", F.coalesce("was", F.array().cast("array<long>"))))
+    changed, all_ = both.agg(F.sum(fresh), F.sum(F.size("near"))).first()
+    return (changed or 0) / max(1, all_ or 0)
+
+
+def neighbour_lists(points: DataFrame, n: int, dim: int, floor: float, wide: float, k: int = LIST, salt: int = 7) -> DataFrame:
+    """``(id, near)`` for ``n`` ``points`` (id, x): about the k nearest by cosine, from sketches for the angle ``wide``. Rounds end when they
+    change few entries. While any list is saturated, its last entry at ``floor`` or above, the lists are made twice as long and refined
+    again."""
+    lists = None
+    for met in _blocks(points, n, dim, _sketches(n, wide), salt):
+        found = met.groupBy("task").applyInPandas(lambda part: _nearest(part, "block", k), _FOUND)
+        lists = write_table(_best(found if lists is None else _entries(lists).unionByName(found), k), "near")
     while True:
-        for _ in range(ROUNDS):
-            lists = write_table(_descend(points, lists, n, k), "near")
+        while True:
+            before, lists = lists, write_table(_descend(points, lists, n, k), "near")
+            if _changed(before, lists) <= SETTLED:
+                break
         full = lists.filter((F.size("near") >= k) & (F.element_at("near", -1)["cos"] >= floor)).limit(1).count()
         if not full or k >= n - 1:
             return lists
@@ -269,7 +313,7 @@ def _linked(points: DataFrame, n: int, dim: int, least: float) -> tuple[DataFram
     k, salt = LIST, 7
     while True:
         single = write_table(_single(points), "single")
-        lists = neighbour_lists(single, n, dim, 2.0, k, salt)
+        lists = neighbour_lists(single, n, dim, 2.0, wide, k, salt)
         classes = write_table(_classes(points, lists, wide / 2 - SLACK), "classes")
         members = points.join(classes, "id", "left").withColumn("label", F.coalesce("label", "id"))
         members = write_table(members, "members")
@@ -282,7 +326,7 @@ def _linked(points: DataFrame, n: int, dim: int, least: float) -> tuple[DataFram
         crowd = write_table(crowd.join(spread, "label"), "crowds")
         n2, widest = crowd.agg(F.count(F.lit(1)), F.max("radius")).first()
         heads = centre.select(F.col("label").alias("id"), F.col("centre").alias("unit"))
-        lists = neighbour_lists(write_table(_single(heads), "single"), n2, dim, math.cos(min(math.pi, wide + 2 * widest + 1e-3)), k, salt + 1)
+        lists = neighbour_lists(write_table(_single(heads), "single"), n2, dim, math.cos(min(math.pi, wide + 2 * widest + 1e-3)), wide, k, salt + 1)
         pairs = _entries(lists).filter(F.col("cos") >= math.cos(min(math.pi, wide + 2 * widest + 1e-3)))
         pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
         for end in ("a", "b"):

@@ -60,3 +60,9 @@ def test_nothing_to_compare(spark):
     assert neighbours.near_duplicates(df.limit(0)).count() == 0
     one = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, neighbours.near_duplicates(one).collect())) == [(1, 1, 1, True), (2, 1, 1, False)]
+
+
+@pytest.mark.parametrize("n", [2_000, 51_282, 3_000_000, 30_000_000])
+def test_chance_to_miss_a_pair_does_not_grow(n):
+    wide = np.arccos(0.95)
+    assert (1 - (1 - wide / np.pi) ** neighbours._bits(n)) ** neighbours._sketches(n, wide) <= neighbours.MISS
