@@ -6,7 +6,9 @@ never meet the same at every size. Then rounds of NN-descent, until few entries
 compared, lists keep the nearest. Vectors within half the linking angle of one direction become a class: all pairs of a class are then linked for
 sure and are counted, never listed, however large a group of near copies is. The lists of the leaders are made anew, and
 a list whose farthest entry is still near enough to matter is saturated: it is enlarged until it is not. What remains are
-the edges over the threshold between classes; where two classes straddle the threshold, their members are compared.
+the edges over the threshold between classes, which members that meet in sketches give too; where two classes straddle
+the threshold, their members are compared. Links between classes are audited against all vectors; what further tries find
+is added, and where that is not enough all classes are compared with all.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ LIST, SKETCHES, BLOCK = 8, 6, 256  # SKETCHES: those that are made at once, and
 MISS, DEEPER, SETTLED = 0.005, 16, 0.01
 #: Vectors that a task holds at once, about.
 ROWS = 4096
-QUERIES, RECALL = 256, 0.95
+#: Vectors that an audit asks for at least, and by the square root of all; the recall that ends the search, and tries before all pairs.
+QUERIES, BY_ROOT, RECALL, TRIES = 1000, 4, 0.95, 4
 #: Angles are rounded by so much, on the safe side.
 SLACK = 1e-7
 
@@ -196,6 +199,38 @@ def neighbour_lists(points: DataFrame, n: int, dim: int, floor: float, wide: flo
         k = min(2 * k, n - 1)
 
 
+_PAIRS = "a long, b long"
+
+
+def _near_pairs(part: pd.DataFrame, key: str, wide: float) -> pd.DataFrame:
+    """Labels ``(a, b)``, unlike ones, of rows (label, x, radius) of a group that are within ``wide`` and their radii of each other."""
+    raw, label, radius = part["x"].to_numpy(), part["label"].to_numpy(np.int64), part["radius"].to_numpy()
+    out = [np.zeros((0, 2), np.int64)]
+    for rows in _groups(part, key):
+        x, own, r = _matrix(raw[rows], "<f4"), label[rows], radius[rows]
+        i, j = np.nonzero(np.triu(x @ x.T >= np.cos(np.minimum(math.pi, wide + 1e-3 + r[:, None] + r[None])), 1))
+        pairs = np.sort(np.stack([own[i], own[j]], 1), axis=1)
+        out.append(np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0))
+    return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
+
+
+def _met(members: DataFrame, n: int, dim: int, wide: float, salt: int) -> DataFrame:
+    """``(a, b)``: classes of which two of the ``n`` ``members`` (id, x, label, radius) meet in a sketch, within ``wide`` of each other."""
+    out = None
+    for met in _blocks(members, n, dim, _sketches(n, wide), salt):
+        pairs = met.groupBy("task").applyInPandas(lambda part: _near_pairs(part, "block", wide), _PAIRS)
+        out = write_table((pairs if out is None else out.unionByName(pairs)).distinct(), "met-pairs")
+    return out
+
+
+def _all_pairs(heads: DataFrame, n: int, wide: float) -> DataFrame:
+    """``(a, b)``: the same for all of ``n`` ``heads`` (label, x, radius), each compared with each: parts meet two by two."""
+    parts = math.ceil(n / 1024)
+    rows = heads.withColumn("part", F.pmod(F.xxhash64("label"), F.lit(parts)).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    rows = rows.withColumn("meeting", F.least("part", "with") * F.lit(parts).cast("long") + F.greatest("part", "with"))
+    return rows.groupBy("meeting").applyInPandas(lambda part: _near_pairs(part, "meeting", wide), _PAIRS).distinct()
+
+
 def _angle(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Angles between rows; by the chord, which is exact for small ones."""
     return 2 * np.arcsin(np.clip(np.linalg.norm(a - b, axis=1) / 2, 0, 1))
@@ -289,46 +324,63 @@ def _between(pairs: DataFrame, members: DataFrame, least: float) -> DataFrame:
     return both.select("task", "meeting", "a", "b", "side", "id", "unit", "copies").groupBy("task").applyInPandas(compare, "a long, b long, id long, n long")
 
 
-def _audited(points: DataFrame, found: DataFrame, least: float) -> float:
-    """Share of the links of ``QUERIES`` vectors, compared with all others, that ``found`` (id, n) holds."""
-    asked = points.join(found, "id").orderBy(F.xxhash64("id", F.lit(3))).limit(QUERIES).select("unit", "copies", "n").collect()
+def _audited(members: DataFrame, found: DataFrame, n: int, least: float) -> float:
+    """Recall of the links between classes: the mean over the asked vectors with such links, compared with all ``n`` ``members`` (id, label,
+    unit, copies), of the share that ``found`` (id, between) holds. 1 where none of those asked has any."""
+    some = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(max(1, n // max(QUERIES, math.isqrt(BY_ROOT**2 * n))))) == 0
+    asked = members.filter(some).join(found, "id").select("unit", "label", "between").collect()  # by the root of n
     if not asked:
         return 1.0
-    x = _matrix([bytes(r.unit) for r in asked])
+    x, own = _matrix([bytes(r.unit) for r in asked]), np.array([r.label for r in asked])
+    step = max(1, 4_000_000 // len(asked))
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0.0
+        total = np.zeros(len(own), np.int64)
         for part in parts:
-            if len(part):
-                total += float(((_matrix(part.column("unit").to_pylist()) @ x.T >= least) * np.array(part.column("copies").to_pylist())[:, None]).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([total])], ["n"])
+            for at in range(0, len(part), step):
+                rows = part.slice(at, step)
+                linked = (_matrix(rows.column("unit").to_pylist()) @ x.T >= least) & (rows.column("label").to_numpy(zero_copy_only=False)[:, None] != own)
+                total += rows.column("copies").to_numpy(zero_copy_only=False) @ linked
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["i", "n"])
 
-    there = points.select("unit", "copies").mapInArrow(count, "n double").agg(F.sum("n")).first()[0] - len(asked)
-    return sum(r.n for r in asked) / there if there else 1.0
+    there = members.select("unit", "label", "copies").mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
+    return float(np.mean([min(1.0, asked[r.i].between / r.n) for r in there])) if there else 1.0
 
 
 def _linked(points: DataFrame, n: int, dim: int, least: float) -> tuple[DataFrame, DataFrame]:
     """``(id, n)``, the links of each of the distinct ``points`` (id, unit, copies), and ``(id, root)``, the smallest id reachable."""
     wide = math.acos(least)
     k, salt = LIST, 7
-    while True:
-        single = write_table(_single(points), "single")
-        lists = neighbour_lists(single, n, dim, 2.0, wide, k, salt)
-        classes = write_table(_classes(points, lists, wide / 2 - SLACK), "classes")
-        members = points.join(classes, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        members = write_table(members, "members")
-        crowd = members.groupBy("label").agg(F.sum("copies").alias("weight"), F.count(F.lit(1)).alias("size"))
-        crowd = write_table(crowd, "crowds")
-        centre = _centres(members.join(crowd.filter("size > 1").select("label"), "label")).unionByName(
-            members.join(crowd.filter("size = 1").select("label"), "label").select("label", F.col("unit").alias("centre")))
-        centre = write_table(centre, "class-centres")
-        spread = _angles(members.select("id", "label", "unit").join(centre, "label"), "unit", "centre").groupBy("label").agg(F.max("angle").alias("radius"))
-        crowd = write_table(crowd.join(spread, "label"), "crowds")
-        n2, widest = crowd.agg(F.count(F.lit(1)), F.max("radius")).first()
-        heads = centre.select(F.col("label").alias("id"), F.col("centre").alias("unit"))
-        lists = neighbour_lists(write_table(_single(heads), "single"), n2, dim, math.cos(min(math.pi, wide + 2 * widest + 1e-3)), wide, k, salt + 1)
-        pairs = _entries(lists).filter(F.col("cos") >= math.cos(min(math.pi, wide + 2 * widest + 1e-3)))
-        pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    single = write_table(_single(points), "single")
+    lists = neighbour_lists(single, n, dim, 2.0, wide, k, salt)
+    classes = write_table(_classes(points, lists, wide / 2 - SLACK), "classes")
+    members = points.join(classes, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    members = write_table(members, "members")
+    crowd = members.groupBy("label").agg(F.sum("copies").alias("weight"), F.count(F.lit(1)).alias("size"))
+    crowd = write_table(crowd, "crowds")
+    centre = _centres(members.join(crowd.filter("size > 1").select("label"), "label")).unionByName(
+        members.join(crowd.filter("size = 1").select("label"), "label").select("label", F.col("unit").alias("centre")))
+    centre = write_table(centre, "class-centres")
+    spread = _angles(members.select("id", "label", "unit").join(centre, "label"), "unit", "centre").groupBy("label").agg(F.max("angle").alias("radius"))
+    crowd = write_table(crowd.join(spread, "label"), "crowds")
+    n2, widest = crowd.agg(F.count(F.lit(1)), F.max("radius")).first()
+    floor = math.cos(min(math.pi, wide + 2 * widest + 1e-3))
+    heads = write_table(_single(centre.select(F.col("label").alias("id"), F.col("centre").alias("unit"))), "single")
+    rows = write_table(single.join(members.select("id", "label", F.lit(0.0).alias("radius")), "id"), "rows")
+    label = members.select(F.col("id").alias("other"), F.col("label").alias("b"))
+    own = _entries(lists).filter(F.col("cos") >= math.cos(wide + 1e-3)).join(members.select("id", F.col("label").alias("a")), "id").join(label, "other")
+    known = write_table(own.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "known-pairs")
+    parts = members.join(crowd.select("label", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts")), "label").select("label", "id", "unit", "copies", "parts")
+    for left in range(TRIES, -1, -1):
+        if left:
+            near = _entries(neighbour_lists(heads, n2, dim, floor, wide, min(k, max(1, n2 - 1)), salt + 1)).filter(F.col("cos") >= floor)
+            known = known.unionByName(near.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")))
+            if n2 < n:  # else members are the heads
+                known = known.unionByName(_met(rows, n, dim, wide, salt + 1000))
+        else:
+            known = known.unionByName(_all_pairs(heads.withColumnRenamed("id", "label").join(crowd.select("label", "radius"), "label"), n2, wide))
+        known = pairs = write_table(known.distinct(), "known-pairs")  # of all tries
         for end in ("a", "b"):
             side = crowd.join(centre, "label").select(F.col("label").alias(end), F.col("radius").alias(f"r_{end}"), F.col("weight").alias(f"w_{end}"), F.col("centre").alias(f"c_{end}"))
             pairs = pairs.join(side, end)
@@ -336,17 +388,16 @@ def _linked(points: DataFrame, n: int, dim: int, least: float) -> tuple[DataFram
         reach = F.col("r_a") + F.col("r_b")
         sure = pairs.filter(F.col("angle") + reach <= wide - SLACK)
         open_ = pairs.filter((F.col("angle") + reach > wide - SLACK) & (F.col("angle") - reach <= wide + SLACK)).select("a", "b")
-        parts = members.join(crowd.select("label", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts")), "label").select("label", "id", "unit", "copies", "parts")
         met = write_table(_between(open_, parts, least), "between")
         whole = sure.select(F.col("a").alias("label"), F.col("w_b").alias("n")).unionByName(sure.select(F.col("b").alias("label"), F.col("w_a").alias("n")))
         whole = write_table(whole.groupBy("label").agg(F.sum("n").alias("sure")), "sure")
         single_links = write_table(met.groupBy("id").agg(F.sum("n").alias("met")), "met")
-        total = F.col("weight") - 1 + F.coalesce("sure", F.lit(0)) + F.coalesce("met", F.lit(0))
+        between = F.coalesce("sure", F.lit(0)) + F.coalesce("met", F.lit(0))
         found = members.select("id", "label").join(crowd.select("label", "weight"), "label").join(whole, "label", "left").join(single_links, "id", "left")
-        found = write_table(found.select("id", "label", total.cast("long").alias("n")), "found")
-        if _audited(points, found.select("id", "n"), least) >= RECALL or k >= n - 1:
+        found = write_table(found.select("id", "label", between.cast("long").alias("between"), (F.col("weight") - 1 + between).cast("long").alias("n")), "found")
+        if not left or _audited(members, found.select("id", "between"), n, least) >= RECALL:
             break
-        k, salt = min(2 * k, n - 1), salt + 2
+        k, salt = 2 * k, salt + 2
     edges = sure.select("a", "b").unionByName(met.select("a", "b")).distinct()
     roots = components(edges).select(F.col("node").alias("label"), F.col("label").alias("top"))
     names = found.select("id", "label").join(roots, "label", "left").select("id", F.coalesce("top", "label").alias("root"))

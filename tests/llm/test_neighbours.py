@@ -66,3 +66,26 @@ def test_nothing_to_compare(spark):
 def test_chance_to_miss_a_pair_does_not_grow(n):
     wide = np.arccos(0.95)
     assert (1 - (1 - wide / np.pi) ** neighbours._bits(n)) ** neighbours._sketches(n, wide) <= neighbours.MISS
+
+
+def test_audit_sees_lost_pairs_beside_a_crowd(spark):
+    r = np.random.default_rng(2)
+    one = r.standard_normal(16)
+    x = np.concatenate([one + 1e-4 * r.standard_normal((200, 16)), np.repeat(r.standard_normal((40, 16)), 2, 0) + 1e-3 * r.standard_normal((80, 16))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, i if i >= 200 else 0, bytearray(v.astype("<f8").tobytes()), 1) for i, v in enumerate(x)]
+    members = spark.createDataFrame(rows, "id long, label long, unit binary, copies long")
+    for between, recall in ((0, 0.0), (1, 1.0)):
+        found = members.select("id", F.when(F.col("id") >= 200, between).otherwise(0).cast("long").alias("between"))
+        assert neighbours._audited(members, found, len(rows), 0.95) == recall
+
+
+def test_last_resort_compares_all(spark):
+    r = np.random.default_rng(3)
+    x = r.standard_normal((1500, 16))
+    x[1300:] = x[:200] + 0.2 * r.standard_normal((200, 16))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("<f4")
+    heads = spark.createDataFrame([(i, bytearray(v.tobytes()), 0.0) for i, v in enumerate(x)], "label long, x binary, radius double")
+    got = {tuple(p) for p in neighbours._all_pairs(heads, len(x), np.arccos(0.95)).collect()}
+    i, j = np.nonzero(np.triu(x.astype(float) @ x.T.astype(float) >= 0.95, 1))
+    assert len(i) > 50 and set(zip(i.tolist(), j.tolist())) <= got
