@@ -3,6 +3,8 @@
 A token that holds leetspeak, separators between letters, or letters repeated thrice and more becomes a lattice: at each
 character stand the letters that may have been meant, with what the disguise costs. A Viterbi search finds the path that
 a character model of the whole corpus and the channel together find likeliest. All other tokens have one path, themselves.
+Signs at the edges of a token may be letters or punctuation, so a token is read with as many of them as letters as can be;
+the learned words tell which reading matters.
 Words of a restored text carry features (the word, its beginnings and endings) whose toxicity was learned from labels.
 """
 
@@ -35,9 +37,10 @@ LEAST_DOCS, PRIOR_DOCS = 3, 5.0
 #: Least strength of features that explain documents, and of those that occur with many sets of the former.
 FIRST, SECOND = 0.5, 0.85
 KNOWN = 500_000
-DISGUISED = re.compile(r"(.)\1\1|[^\W\d_][\W\d_]+[^\W\d_]|[\d@$!|+€][^\W\d_]{2}")
+SIGNS = "0123456789@$!|+€"
+DISGUISED = re.compile(rf"(.)\1\1|[{re.escape(SIGNS + SEPARATORS)}]|[^\W\d_][\W\d_]+[^\W\d_]")
 SPACED = re.compile(r"(?: \S){3,}(?= )")
-EDGES = re.compile(r"^[^\w@$|+€]+|\W+$")
+EDGES = re.compile(r"^[^\w@$!|+€]+|[^\w@$!|+€]+$")
 PLAIN = re.compile(r"[^\W\d_]+")
 
 
@@ -92,23 +95,37 @@ def character_model(docs: DataFrame, text: str = "text") -> np.ndarray:
     return np.log((table + 20 * pair[None]) / (table.sum(2, keepdims=True) + 20))
 
 
-def restore(token: str, model: np.ndarray) -> str:
-    """The likeliest meant spelling of a lower-case token. Signs that are meant become blanks."""
-    runs = [(m.group()[0], len(m.group())) for m in re.finditer(r"(.)\1*", token, re.S)]
-    beam: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for c, n in runs:
+def restore(token: str, model: np.ndarray, head: int = 0, tail: int = 0) -> list[str]:
+    """The likeliest meant spellings of a lower-case token. Signs that are meant become blanks.
+
+    Of the ``head`` and ``tail`` signs at its edges, runs next to the rest are letters and those beyond are left out: one spelling
+    for each number of runs that are.
+    """
+    runs = [(m.group()[0], len(m.group()), not head <= m.start() < len(token) - tail) for m in re.finditer(r"(.)\1*", token, re.S)]
+    first = next((i for i, r in enumerate(runs) if not r[2]), len(runs))
+    last = next((i for i in range(len(runs), first, -1) if not runs[i - 1][2]), first)
+    return [x for start in range(first + 1) for x in _paths(runs[start:], last - start, model)]
+
+
+def _paths(runs: list[tuple[str, int, bool]], last: int, model: np.ndarray) -> list[str]:
+    """The best path through the first ``last`` runs (character, length, of an edge), and through each more of them."""
+    beam: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    found = []
+    for at, (c, n, edge) in enumerate(runs, 1):
         choices: list[tuple[str, float]] = []
         if c.isalpha():
             choices = [(c * n, 0.0)] if n < 3 else [(c, FOLD), (c * 2, FOLD), (c * min(n, 6), 0.0)]
         else:
-            choices.append((" ", STAY))
+            if not edge or c not in LEET:
+                choices.append((" ", STAY))
             for meant in LEET.get(c, ""):
-                choices.append((meant, SWAP))
+                if not edge or n != 2:  # two signs of an edge are two letters
+                    choices.append((meant, SWAP))
                 if n > 1:
                     choices.append((meant * 2, 2 * SWAP))
             if c in SEPARATORS:
                 choices.append(("", DROP * min(n, 3)))
-        fresh: dict[tuple[int, int], tuple[float, str]] = {}
+        fresh: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (score, done) in beam.items():
             for letters, cost in choices:
                 s, x, y = score + cost, a, b
@@ -118,9 +135,15 @@ def restore(token: str, model: np.ndarray) -> str:
                         s += model[x, y, z]
                         x, y = y, z
                 if (x, y) not in fresh or s > fresh[x, y][0]:
-                    fresh[x, y] = (s, done + letters)
+                    fresh[x, y] = (s, (done, letters))
         beam = fresh
-    return max((score + (model[a, b, 0] if b else 0.0), done) for (a, b), (score, done) in beam.items())[1]
+        if at >= last:
+            path, letters = max(((score + (model[a, b, 0] if b else 0.0), done) for (a, b), (score, done) in beam.items()), key=lambda x: x[0])[1], []
+            while path:
+                path, part = path
+                letters.append(part)
+            found.append("".join(reversed(letters)))
+    return found
 
 
 class Tokens:
@@ -131,9 +154,13 @@ class Tokens:
 
     def words(self, token: str) -> list[str]:
         bare = EDGES.sub("", token)
-        if len(bare) > 64:  # no disguised word is as long: its letters are taken as they stand
+        rest = bare.strip(SIGNS)
+        if not PLAIN.search(rest):
+            return []
+        if len(bare) > 64 or not DISGUISED.search(bare):
             return PLAIN.findall(bare)
-        return PLAIN.findall(restore(bare, self.model) if DISGUISED.search(bare) else bare)
+        head, tail = len(bare) - len(bare.lstrip(SIGNS)), len(bare) - len(bare.rstrip(SIGNS))
+        return [w for x in restore(bare, self.model, head, tail) for w in PLAIN.findall(x)]
 
     def __call__(self, text: str | None) -> list:
         """``of_word`` of each distinct word of a text, where it is not empty."""
