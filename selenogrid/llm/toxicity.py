@@ -99,7 +99,7 @@ def restore(token: str, model: np.ndarray, head: int = 0, tail: int = 0) -> list
     """The likeliest meant spellings of a lower-case token. Signs that are meant become blanks.
 
     Of the ``head`` and ``tail`` signs at its edges, runs next to the rest are letters and those beyond are left out: one spelling
-    for each number of runs that are.
+    for each number of runs that are. The work grows with the token's length, so no length is left out.
     """
     runs = [(m.group()[0], len(m.group()), not head <= m.start() < len(token) - tail) for m in re.finditer(r"(.)\1*", token, re.S)]
     first = next((i for i, r in enumerate(runs) if not r[2]), len(runs))
@@ -157,7 +157,7 @@ class Tokens:
         rest = bare.strip(SIGNS)
         if not PLAIN.search(rest):
             return []
-        if len(bare) > 64 or not DISGUISED.search(bare):
+        if not DISGUISED.search(bare):
             return PLAIN.findall(bare)
         head, tail = len(bare) - len(bare.lstrip(SIGNS)), len(bare) - len(bare.rstrip(SIGNS))
         return [w for x in restore(bare, self.model, head, tail) for w in PLAIN.findall(x)]
@@ -166,7 +166,8 @@ class Tokens:
         """``of_word`` of each distinct word of a text, where it is not empty."""
         low = (text or "").lower()
         tokens = set(low.split())
-        tokens.update(m.group().replace(" ", "") for m in SPACED.finditer(f" {low} "))
+        for m in SPACED.finditer(f" {low} "):  # as one word, and with a break wherever there may be one
+            tokens.update((m.group().replace(" ", ""), m.group().strip()))
         if len(self.known) > KNOWN:
             self.known = {}
         for t in tokens.difference(self.known):

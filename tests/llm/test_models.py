@@ -94,7 +94,7 @@ def test_disguised_words_are_restored(spark, disguised, text, toxic):
     assert bool(got.predicted) == toxic
 
 
-@pytest.mark.parametrize("text", ["so 5tupid", "stup1d5", "a moron5 here", "$tupid!", "@ pathe7ic"])
+@pytest.mark.parametrize("text", ["so 5tupid", "stup1d5", "a moron5 here", "$tupid!", "@ pathe7ic", "m" + "o" * 90 + "ron"])
 def test_signs_at_edges_and_long_tokens_are_restored(spark, disguised, text):
     model, strength = disguised
     assert toxicity.scores(docs(spark, [(1, text, "en", "s", 1)]), model, strength).first().predicted == 1
@@ -104,7 +104,15 @@ def test_edge_signs_may_be_letters_or_punctuation():
     tokens = toxicity.Tokens(np.zeros((28, 28, 28)), lambda w: w)
     for token, word in (("a55", "ass"), ("a$$", "ass"), ("idio7", "idiot"), ("idio+", "idiot"), ("!diot", "idiot"), ("loser5", "losers"), ("idio7!", "idiot"), ("moron!!", "moron")):
         assert word in tokens.words(token), token
-    assert tokens.words("10:30") == []
+    assert tokens.words("10:30") == [] and len(tokens.words("abc." * 5_000)) >= 1
+
+
+def test_spaced_words_come_out_one_by_one():
+    text = ["you moron now " * 40]
+    counts = toxicity.trigram_counts(text).reshape(28, 28, 28) + 0.1
+    tokens = toxicity.Tokens(np.log(counts / counts.sum(2, keepdims=True)), lambda w: w)
+    assert {"you", "moron", "now"} <= set(tokens(" ".join("youmoronnow")))
+    assert {"you", "moron", "now"} <= set(tokens(" ".join("youmoronnow" * 9)))
 
 
 def test_long_text_counts_its_last_word(spark, disguised):
