@@ -86,6 +86,18 @@ def components(links: DataFrame) -> DataFrame:
         edges = fresh
 
 
+def slabs(text: str | bytes, blank: str | bytes, size: int = 1_000_000) -> Iterator[str | bytes]:
+    """A text in parts of about ``size``, cut at blanks, which are left out; a part is longer where no blank comes."""
+    at = 0
+    while len(text) - at > size:
+        to = text.find(blank, at + size)
+        if to < 0:
+            break
+        yield text[at:to]
+        at = to + 1
+    yield text[at:]
+
+
 def batches(table: Iterator[pa.RecordBatch], most_bytes: int = 8_000_000, text: str = "text") -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most_bytes`` of text at most, so that a worker's memory does not follow the batch."""
     for whole in table:
