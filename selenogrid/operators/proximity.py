@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from selenogrid.functions import geo
+from selenogrid.operators.distance import nearest_to_points
 
 BLOCK = 64
 
@@ -44,15 +45,10 @@ def snap_to_passable(points: DataFrame, passable: DataFrame, key: list[str], rea
 
 
 def nearest_where(starts: DataFrame, targets: DataFrame, key: list[str]) -> DataFrame:
-    """Nearest target cell of the start's region, the start itself excluded; ties go to the first in scan order.
-
-    Starts are few, so each task keeps one running minimum per start before anything is shuffled.
-    """
-    pairs = starts.join(targets.select("region", "row", "col"), "region")
-    dr, dc = F.col("row") - F.col("p_row"), F.col("col") - F.col("p_col")
-    d2 = dr * dr + dc * dc
-    best = pairs.filter(d2 > 0).groupBy(*key).agg(F.min(F.struct(d2.alias("d2"), "row", "col")).alias("_o"))
-    return best.select(*key, "_o.row", "_o.col", F.sqrt(F.col("_o.d2").cast("double")).alias("distance_cells"))
+    """Nearest target cell of the start's region, the start itself excluded; ties go to the first in scan order."""
+    near = nearest_to_points(starts, targets)
+    dr, dc = F.col("near_row") - F.col("p_row"), F.col("near_col") - F.col("p_col")
+    return near.select(*key, F.col("near_row").alias("row"), F.col("near_col").alias("col"), F.sqrt((dr * dr + dc * dc).cast("double")).alias("distance_cells"))
 
 
 def nearest_site(landmarks: DataFrame, sites: DataFrame, key: list[str]) -> DataFrame:

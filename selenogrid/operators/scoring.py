@@ -48,7 +48,7 @@ def mission_layers(cells: DataFrame, resolution_m: float, radii: list[int], sunl
     known = nb.facts(work)
     # only what the stencils read travels through their shuffle; the rest joins afterwards
     work = attach(work, known.select("region", *nb.MEANS)).withColumn("in_shadow", in_shadow())
-    work = distance_to_mask(work, F.col("in_shadow"), "shadow_m", SHADOW_REACH_M, resolution_m)
+    work = distance_to_mask(work, F.col("in_shadow"), "shadow_m")
     layers = [
         nb.roughness_variety(), nb.gradient("grad_elev", nb.filled("elevation")),
         nb.gradient("grad_slope", F.col("slope")), nb.illumination_gradient(), nb.rim_multiplier(), nb.depression(),

@@ -52,7 +52,6 @@ def layer_steps(x: str, anc: bool) -> None:
     SELECT a.region, a.row, a.col,
       min(sqrt(((a.row - b.row) ** 2 + (a.col - b.col) ** 2)::DOUBLE) * 600) AS d
     FROM mask{x} a JOIN mask{x} b ON a.region = b.region AND b.in_shadow
-      AND b.row BETWEEN a.row - 8 AND a.row + 8 AND b.col BETWEEN a.col - 8 AND a.col + 8
     GROUP BY ALL""", [f"mask{x}"])
     cte(f"b20{x}", box_sql(f"input{x}", 20, {"m": ("avg", "rz"), "q": ("avg", "rz * rz")}), [f"input{x}"])
     cte(f"b17{x}", box_sql(f"input{x}", 17, {"wall": ("max", "CASE WHEN slope >= 35 THEN 1 ELSE 0 END"),
@@ -69,7 +68,7 @@ def layer_steps(x: str, anc: bool) -> None:
     cte(f"gs{x}", edge_sql(f"input{x}", "slope", "1"), [f"input{x}"])
     cte(f"gi{x}", edge_sql(f"input{x}", "illumination" if anc else "CAST(NULL AS DOUBLE)", "resolution_m"), [f"input{x}"])
     cte(f"rawl{x}", f"""
-    SELECT i.*, m.in_shadow, CASE WHEN d.d <= 5000 THEN d.d END AS shadow_m,
+    SELECT i.*, m.in_shadow, d.d AS shadow_m,
       sqrt(greatest(b20.q - b20.m * b20.m, 0)) AS rv, sqrt(ge.dx ** 2 + ge.dy ** 2) AS g_e,
       sqrt(gs.dx ** 2 + gs.dy ** 2) AS g_s, sqrt(gi.dx ** 2 + gi.dy ** 2) AS g_i,
       CASE WHEN wall > 0 THEN CASE WHEN coalesce(elevation >= top - 50, false) THEN 0.85::DOUBLE ELSE 0.4::DOUBLE END

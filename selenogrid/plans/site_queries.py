@@ -131,21 +131,23 @@ def site_sunlight(ws):
 
 @query("distance_to_shadow", "SELECT region, row, col, round(shadow_m, 4) AS shadow_m FROM layers", ["layers"])
 def distance_to_shadow(ws):
-    return distance.distance_to_mask(ws.decoded, F.col("psr") >= 0.5, "shadow_m", 5000.0, 600.0).select("region", "row", "col", r6("shadow_m", 4))
+    return distance.distance_to_mask(ws.decoded, F.col("psr") >= 0.5, "shadow_m").select("region", "row", "col", r6("shadow_m", 4))
 
 
 @query("distance_across_tiles", "SELECT region, row, col, round(shadow_m, 4) AS shadow_m FROM layers", ["layers"])
 def distance_across_tiles(ws):
-    """The same with tiles of 16 cells, so that every region spans several and halos cross them."""
-    near = distance.distance_to_mask(ws.decoded, F.col("psr") >= 0.5, "shadow_m", 5000.0, 600.0, tile=16)
+    """The same in bands of 5 rows, so that most nearest cells are handed on from band to band."""
+    near = distance.distance_to_mask(ws.decoded, F.col("psr") >= 0.5, "shadow_m", band=5)
     return near.select("region", "row", "col", r6("shadow_m", 4))
 
 
 @query("distance_to_shadow_uncut", """
-SELECT a.region, a.row, a.col, round(min(sqrt(((a.row - b.row) ** 2 + (a.col - b.col) ** 2)::DOUBLE) * 600), 4) AS shadow_m
-FROM cells a LEFT JOIN cells b ON a.region = b.region AND b.raw_psr = 20000 GROUP BY ALL""", ["cells"])
+SELECT a.region, a.row, a.col, arg_min({'r': b.row, 'c': b.col}, (a.row - b.row) ** 2 + (a.col - b.col) ** 2 + (b.row * 64 + b.col) / 100000.0::DOUBLE).r AS near_row,
+  arg_min({'r': b.row, 'c': b.col}, (a.row - b.row) ** 2 + (a.col - b.col) ** 2 + (b.row * 64 + b.col) / 100000.0::DOUBLE).c AS near_col
+FROM cells a JOIN cells b ON a.region = b.region AND b.raw_psr = 20000 GROUP BY ALL""", ["cells"])
 def distance_to_shadow_uncut(ws):
-    return distance.full_distance_to_mask(ws.decoded, F.col("psr") >= 0.5, "shadow_m").select("region", "row", "col", r6("shadow_m", 4))
+    """The nearest shadow cell itself, however far."""
+    return distance.nearest_masked(ws.decoded, F.col("psr") >= 0.5)
 
 
 @query("nearest_shadow_goal", """

@@ -75,29 +75,35 @@ def test_densify_fills_missing_cells(spark):
     assert out.count() == 20 and out.filter("x IS NULL").count() == 5
 
 
-@pytest.mark.parametrize("tile", [6, 256])
-def test_distance_matches_brute_force(spark, tile):
+def nearest(mask, r, c, other=False):
+    """First masked cell in scan order among the nearest ones."""
+    hits = [(int(a), int(b)) for a, b in np.argwhere(mask) if not (other and (a, b) == (r, c))]
+    return min(hits, key=lambda h: ((h[0] - r) ** 2 + (h[1] - c) ** 2, h), default=None)
+
+
+@pytest.mark.parametrize(("band", "share"), [(1, 0.03), (6, 0.03), (6, 0.4), (64, 0.1)])
+def test_nearest_masked_cells_match_brute_force(spark, band, share):
     rng = np.random.default_rng(5)
-    mask = rng.random((20, 17)) < 0.03
-    rr, cc = np.indices(mask.shape)
-    hits = np.argwhere(mask)
-    want = np.sqrt(((rr[..., None] - hits[:, 0]) ** 2 + (cc[..., None] - hits[:, 1]) ** 2).min(-1)) * 60
-    df = cells(spark, {"r": {"m": mask.astype(float)}, "none": {"m": np.zeros((5, 5))}})
-    near = distance.distance_to_mask(df, F.col("m") > 0, "d", 300.0, 60.0, tile=tile)
-    assert np.allclose(grid(near, "d", mask.shape, "r"), np.where(want <= 300, want, np.nan), equal_nan=True)
-    if tile == 256:
-        full = distance.full_distance_to_mask(df, F.col("m") > 0, "d").cache()
-        assert np.allclose(grid(full, "d", mask.shape, "r"), want)
-        assert full.filter("region = 'none' AND d IS NOT NULL").count() == 0
-
-
-@pytest.mark.parametrize("shape,cut", [((6, 6), 20), ((6, 6), 12), ((3, 5), 40), ((1, 4), 9)])
-def test_distance_where_the_cut_is_wider_than_the_region(spark, shape, cut):
-    mask = np.zeros(shape)
-    mask[0, 0] = 1
-    rr, cc = np.indices(shape)
-    near = distance.distance_to_mask(cells(spark, {"r": {"m": mask}}), F.col("m") > 0, "d", cut * 60.0, 60.0, tile=4)
-    assert np.allclose(grid(near, "d", shape), np.hypot(rr, cc) * 60)
+    masks = {"r": rng.random((20, 17)) < share, "lattice": np.indices((13, 12)).sum(0) % 4 == 0, "wide": np.zeros((3, 40), bool), "none": np.zeros((5, 5), bool)}
+    masks["wide"][1, [0, 39]] = True
+    df = cells(spark, {n: {"m": m.astype(float)} for n, m in masks.items()})
+    got = {(x.region, x.row, x.col): (x.near_row, x.near_col) for x in distance.nearest_masked(df, F.col("m") > 0, band=band).collect()}
+    assert got == {(n, r, c): nearest(m, r, c) for n, m in masks.items() if m.any() for r, c in np.ndindex(m.shape)}
+    metres = distance.distance_to_mask(df, F.col("m") > 0, "d", band=band).cache()
+    want = [[np.hypot(*np.subtract(nearest(masks["r"], r, c), (r, c))) * 60 for c in range(17)] for r in range(20)]
+    assert np.allclose(grid(metres, "d", (20, 17), "r"), want)
+    assert metres.count() == sum(m.size for m in masks.values()) and metres.filter("region = 'none' AND d IS NOT NULL").count() == 0
+    asked = [(n, r, c) for n, m in masks.items() for r, c in np.ndindex(m.shape) if (r * 7 + c) % 3 == 0]
+    points = spark.createDataFrame([(i, *a) for i, a in enumerate(asked + asked[:5])], "id int, region string, p_row int, p_col int")
+    near = distance.nearest_to_points(points, df.filter("m > 0"), band=band).collect()
+    want = {i: nearest(masks[n], r, c, other=True) for i, (n, r, c) in enumerate(asked + asked[:5])}
+    assert {x.id: (x.near_row, x.near_col) for x in near} == {i: w for i, w in want.items() if w is not None}
+
+
+def test_envelope_of_one_target_and_of_far_rows():
+    near = np.array([[100_000, 3]])
+    assert distance.envelope(near, np.array([0]), np.array([0, 90_000]), 90_001)[0, [0, 44_999, 90_000]].tolist() == [1, 1, 1]
+    assert distance.envelope(np.array([[5]]), np.array([0]), np.array([2]), 4).tolist() == [[0, 0, 0, 0]]
 
 
 def test_boxes_wider_than_the_region(spark):
