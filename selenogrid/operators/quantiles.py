@@ -7,11 +7,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from selenogrid.session import settle
+from selenogrid.session import settle, write_table
 
-BUCKETS = 4096
-#: Rows of a bucket that are put in order at once.
-SORTED = 100_000
+#: Inverse of the rank error of the sketches that bound the wanted ranks. Groups of fewer
+#: than 50 times as many rows are ranked whole.
+ACCURACY = 10_000
+#: Rows that are put in order at once.
+PART = 1_000_000
 
 
 def region_stats(df: DataFrame, aggs: Mapping[str, Column], by: Sequence[str] = ("region",)) -> DataFrame:
@@ -23,101 +25,111 @@ def attach(df: DataFrame, stats: DataFrame, by: Sequence[str] = ("region",)) ->
     return df.join(stats, list(by), "left")
 
 
+def quantile_name(name: str, p: float) -> str:
+    return f"{name}_p{p * 100:g}".replace(".", "_")
+
+
 def quantiles(
     df: DataFrame,
     spec: Mapping[str, tuple[Column, Sequence[float]]],
     by: Sequence[str] = ("region",),
     aggs: Mapping[str, Column] | None = None,
+    accuracy: int = ACCURACY,
 ) -> DataFrame:
     """Exact quantiles (linear interpolation, nodata skipped): one row per group, columns ``name_pNN``.
 
     ``spec`` maps a name to its column and probabilities; ``aggs`` adds plain aggregates of the group. Groups without any value
     have a row only if ``aggs`` are asked for.
+
+    ``df`` is scanned twice and should be a written table. The first scan builds a sketch of every column, whose rank error is bounded,
+    and reads from it two values that enclose each wanted rank. The second counts, by value, the rows between such two values, and all
+    rows below them as one; both scans combine before they shuffle, so a value that most rows hold costs one row a task. What
+    is left, about 6 / ``accuracy`` of the rows for each rank, is put in order.
     """
-    found = histogram_quantiles(df, spec, by)
+    by, names = list(by), list(spec)
+    slots = [(i, n, float(p)) for i, n in enumerate(names) for p in spec[n][1]]
+    values = {n: c.cast("double") for n, (c, _) in spec.items()}
+    slack, whole = 3.0 / accuracy, 50 * accuracy
+    sketch = {}
+    for i, n in enumerate(names):
+        ends = [e for p in spec[n][1] for e in (max(0.0, p - slack), min(1.0, p + slack))]
+        sketch[f"_n{i}"] = F.count(values[n])
+        sketch[f"_e{i}"] = F.percentile_approx(values[n], ends, accuracy)
+    bounds = settle(df.groupBy(*by).agg(*[a.alias(n) for n, a in {**sketch, **(aggs or {})}.items()]))
+    marks, nth = [], {}
+    for slot, (i, n, _) in enumerate(slots):
+        j = nth[i] = nth.get(i, -1) + 1
+        v, small = values[n], F.col(f"_n{i}") < whole
+        low, high = F.col(f"_e{i}")[2 * j], F.col(f"_e{i}")[2 * j + 1]
+        mark = F.struct(F.lit(slot).alias("slot"), F.when(small | (v >= low), v).alias("v"))
+        # a group that is ranked whole is so once for each column, under its first slot
+        all_ = small & v.isNotNull() if j == 0 else F.lit(False)
+        marks.append(F.when(all_ | (~small & (v <= high)), mark))
+    rows = df.join(bounds.select(*by, *[c for i in range(len(names)) for c in (f"_n{i}", f"_e{i}")]), by)
+    seen = rows.select(*by, F.explode(F.filter(F.array(*marks), lambda m: m.isNotNull())).alias("m"))
+    counts = write_table(seen.groupBy(*by, "m.slot", "m.v").agg(F.count(F.lit(1)).alias("k")), "quantile-values")
+    placed = running_sums(counts, [*by, "slot"], F.col("v"), "k")
+    first = {i: min(s for s, x in enumerate(slots) if x[0] == i) for i, _, _ in slots}
+    wanted = F.explode(F.array(*[
+        F.struct(F.when(F.col(f"_n{i}") < whole, first[i]).otherwise(slot).alias("slot"), F.lit(slot).alias("want"), ((F.col(f"_n{i}") - 1) * p).alias("pos"))
+        for slot, (i, _, p) in enumerate(slots)]))
+    asked = bounds.select(*by, wanted.alias("w")).select(*by, "w.slot", "w.want", "w.pos").filter("pos >= 0")
+    # the two rows on either side of the position, counted from 0
+    hit = asked.join(placed, [*by, "slot"]).filter((F.col("upto") > F.floor("pos")) & (F.col("upto") - F.col("k") <= F.ceil("pos")))
+    ends = hit.groupBy(*by, "want", "pos").agg(F.min("v").alias("a"), F.max("v").alias("b"), F.max("upto").alias("upto"))
+    ends = ends.withColumn("q", F.col("a") + (F.col("b") - F.col("a")) * (F.col("pos") - F.floor("pos")))
+    out = [F.max(F.when(F.col("want") == slot, F.col("q"))).alias(quantile_name(n, p)) for slot, (_, n, p) in enumerate(slots)]
+    found = ends.groupBy(*by).agg(*out)
     if aggs:
-        found = df.groupBy(*by).agg(*[a.alias(n) for n, a in aggs.items()]).join(found, list(by), "left")
+        found = bounds.select(*by, *aggs).join(found, by, "left")
     return settle(found)
 
 
-def quantile_name(name: str, p: float) -> str:
-    return f"{name}_p{p * 100:g}".replace(".", "_")
+def running_sums(table: DataFrame, by: Sequence[str], order: Column, weight: str) -> DataFrame:
+    """``table`` with ``upto``, the sum of ``weight`` over the rows of the group up to and with this one; ``order`` is unique within a group.
 
+    The written table is cut into ranges of (``by``, ``order``) of about :data:`PART` rows, so a group of any size spreads over as many
+    tasks as it needs. Sums of whole ranges are added up first, one row for each range of a group, and given to the rows.
+    """
+    by, (ranged, parts) = list(by), _ranges(table, by, [order])
+    inner = Window.partitionBy(*by, *parts).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = ranged.withColumn("upto", F.sum(weight).over(inner))
+    if not parts:
+        return out
+    before = _before(ranged.groupBy(*by, "_part").agg(F.sum(weight).alias("_t")), by)
+    return out.join(before, [*by, "_part"]).withColumn("upto", F.col("upto") + F.col("_before")).drop("_part", "_before")
 
-def _bucket(v: Column, lo: Column, hi: Column) -> Column:
-    pos = F.floor((v - lo) / F.when(hi > lo, hi - lo).otherwise(F.lit(1.0)) * BUCKETS)
-    return F.greatest(F.lit(0), F.least(F.lit(BUCKETS - 1), pos)).cast("int")
 
+def positions(table: DataFrame, by: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
+    """``table`` with ``out``, the place of each row within its group from 1; cut into ranges as in :func:`running_sums`."""
+    by, (ranged, parts) = list(by), _ranges(table, by, order)
+    numbered = ranged.withColumn(out, F.row_number().over(Window.partitionBy(*by, *parts).orderBy(*order)))
+    if not parts:
+        return numbered
+    before = _before(ranged.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_t")), by)
+    return numbered.join(before, [*by, "_part"]).withColumn(out, (F.col(out) + F.col("_before")).cast("int")).drop("_part", "_before")
 
-def histogram_quantiles(
-    df: DataFrame, spec: Mapping[str, tuple[Column, Sequence[float]]], by: Sequence[str] = ("region",)
-) -> DataFrame:
-    """Exact quantiles by selection: count per bucket, find the buckets that hold the wanted ranks, then look only there.
 
-    A bucket that still holds more than :data:`SORTED` rows of different values is counted again between its own least and
-    greatest value, however often that takes, so an outlier that squeezes all values into one bucket costs one more
-    pass and no more. Every pass reduces to at most :data:`BUCKETS` partial counts per group before it shuffles.
-    """
-    by = list(by)
-    entries = F.array(*[F.struct(F.lit(n).alias("name"), v.cast("double").alias("v")) for n, (v, _) in spec.items()])
-    flat = df.select(*by, F.explode(entries).alias("_x")).select(*by, "_x.name", "_x.v").filter(F.col("v").isNotNull())
-    key = [*by, "name"]
-    span = settle(flat.groupBy(*key).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n")))
-    probs = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(p)).alias("p")) for n, (_, ps) in spec.items() for p in ps])
-    wanted = span.withColumn("_p", F.explode(F.filter(probs, lambda e: e["name"] == F.col("name")))).select(
-        *key, "lo", "hi", F.col("n").alias("k"), F.col("_p.p").alias("p"), ((F.col("n") - 1) * F.col("_p.p")).alias("pos"))
-    # zero-based ranks just below and just above the wanted position, each with the span of values that holds it
-    ranks = F.explode(F.array_distinct(F.array(F.floor("pos"), F.ceil("pos"))))
-    hit = wanted.withColumn("rank", ranks).withColumn("before", F.lit(0).cast("long"))
-    narrow = False
-    while not narrow:
-        spans = hit.select(*key, "lo", "hi", "before").distinct()
-        inside = flat.join(spans, key).filter(F.col("v").between(F.col("lo"), F.col("hi")))
-        counts = inside.groupBy(*key, "before", _bucket(F.col("v"), F.col("lo"), F.col("hi")).alias("bucket")).agg(
-            F.count("v").alias("k"), F.min("v").alias("b_lo"), F.max("v").alias("b_hi"))
-        run = Window.partitionBy(*key, "before").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-        counts = counts.withColumn("upto", F.col("before") + F.coalesce(F.sum("k").over(run), F.lit(0)))
-        hit = settle(
-            hit.select(*key, "p", "pos", "rank", "before").join(counts, [*key, "before"])
-            .filter((F.col("rank") >= F.col("upto")) & (F.col("rank") < F.col("upto") + F.col("k")))
-            .select(*key, "p", "pos", "rank", F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi"), F.col("upto").alias("before"), "k"))
-        narrow = not hit.filter((F.col("k") > SORTED) & (F.col("lo") < F.col("hi"))).limit(1).count()
-    spans = hit.filter("lo < hi").select(*key, "lo", "hi", "before").distinct()
-    values = flat.join(spans, key).filter(F.col("v").between(F.col("lo"), F.col("hi"))).groupBy(*key, "before", "v").agg(F.count(F.lit(1)).alias("k"))
-    within = Window.partitionBy(*key, "before").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    values = values.withColumn("upto", F.col("before") + F.sum("k").over(within))
-    open_ = hit.filter("lo < hi").select(*key, "p", "pos", "rank", "before").join(values, [*key, "before"]).filter(
-        (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("k"))).select(*key, "p", "pos", "rank", "v")
-    found = open_.unionByName(hit.filter("lo = hi").select(*key, "p", "pos", "rank", F.col("lo").alias("v")))
-    ends = found.groupBy(*key, "p", "pos").agg(F.min_by("v", "rank").alias("a"), F.max_by("v", "rank").alias("b"))
-    named = ends.withColumn("q", F.col("a") + (F.col("b") - F.col("a")) * (F.col("pos") - F.floor("pos")))
-    out = [
-        F.max(F.when((F.col("name") == n) & (F.col("p") == float(p)), F.col("q"))).alias(quantile_name(n, p))
-        for n, (_, ps) in spec.items()
-        for p in ps
-    ]
-    return named.groupBy(*by).agg(*out)
+def _ranges(table: DataFrame, by: list[str], order: Sequence[Column]) -> tuple[DataFrame, list[str]]:
+    n = -(-table.count() // PART)
+    if n <= 1:
+        return table, []
+    return write_table(table.repartitionByRange(n, *by, *order).withColumn("_part", F.spark_partition_id()), "ranges"), ["_part"]
+
+
+def _before(totals: DataFrame, by: list[str]) -> DataFrame:
+    run = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return settle(totals.select(*by, "_part", F.coalesce(F.sum("_t").over(run), F.lit(0)).alias("_before")))
 
 
 def running_counts(df: DataFrame, value: Column, by: Sequence[str], weight: Column | None = None) -> DataFrame:
     """``(by, v, k, upto)``: rows per distinct value and rows with a value not above it; with ``weight``, sums of it instead.
 
-    Values are counted first (map-side), then summed bucket by bucket, so that no window spans a whole group: one window
-    runs over at most :data:`BUCKETS` totals, the other inside one bucket.
+    Values are counted before they are put in order, so a value that most rows hold is one row.
     """
-    by = list(by)
     one = F.lit(1) if weight is None else weight
     base = df.select(*by, value.cast("double").alias("v"), one.cast("long").alias("w")).filter(F.col("v").isNotNull())
-    distinct = base.groupBy(*by, "v").agg(F.sum("w").alias("k"))
-    span = settle(base.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi")))
-    keyed = distinct.join(span, by).withColumn("bucket", _bucket(F.col("v"), F.col("lo"), F.col("hi"))).drop("lo", "hi")
-    totals = keyed.groupBy(*by, "bucket").agg(F.sum("k").alias("t"))
-    run = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = settle(totals.select(*by, "bucket", F.coalesce(F.sum("t").over(run), F.lit(0)).alias("before")))
-    inner = Window.partitionBy(*by, "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return keyed.join(offsets, [*by, "bucket"]).select(
-        *by, "v", "k", (F.col("before") + F.sum("k").over(inner)).alias("upto")
-    )
+    return running_sums(write_table(base.groupBy(*by, "v").agg(F.sum("w").alias("k")), "values"), by, F.col("v"), "k")
 
 
 def average_ranks(df: DataFrame, value: str, out: str, by: Sequence[str]) -> DataFrame:

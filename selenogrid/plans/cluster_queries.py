@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from selenogrid.operators import anomalies, cluster
+from selenogrid.operators.quantiles import positions
 from selenogrid.plans.registry import cte, query
 
 F4 = ["f0", "f1", "f2", "f3"]
@@ -135,12 +136,9 @@ SELECT region, CAST(cluster AS BIGINT) AS cluster, row, col, pixel_count, round(
   array_to_string(recommended_for, ',') AS recommended_for,
   CAST(row_number() OVER (PARTITION BY region ORDER BY round(strength, 5) DESC, cluster) AS INT) AS place FROM anomalies""", ["anomalies"])
 def anomaly_list(ws):
-    from pyspark.sql import Window
-
     s = F.round("anomaly_strength", 5)
-    w = Window.partitionBy("region").orderBy(s.desc(), "cluster")
-    return ws.anomalies.select("region", "cluster", "row", "col", "pixel_count", s.alias("anomaly_strength"), "anomaly_type",
-                               F.concat_ws(",", "recommended_for").alias("recommended_for"), F.row_number().over(w).alias("place"))
+    return positions(ws.anomalies, ["region"], [s.desc(), F.col("cluster")], "place").select("region", "cluster", "row", "col", "pixel_count", s.alias("anomaly_strength"), "anomaly_type",
+                               F.concat_ws(",", "recommended_for").alias("recommended_for"), "place")
 
 
 @query("anomaly_type_counts", "SELECT region, anomaly_type, count(*) AS n FROM anomalies GROUP BY 1, 2", ["anomalies"])

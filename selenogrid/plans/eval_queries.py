@@ -46,7 +46,8 @@ def quantiles_builtin(ws):
 
 @query("quantiles_by_selection", QSQL, ["terrain"])
 def quantiles_by_selection(ws):
-    out = quantiles.histogram_quantiles(ws.terrain, _spec())
+    """The same where only the rows between the bounds of each rank are put in order, at whatever size."""
+    out = quantiles.quantiles(ws.terrain, _spec(), accuracy=20)
     return out.select("region", *[r(c) for c in out.columns if c != "region"])
 
 

@@ -170,27 +170,41 @@ def test_density_clusters_match_brute_force(spark, seed):
         assert np.allclose(kth["d"], d)
 
 
-def test_exact_quantiles_by_selection(spark):
+@pytest.mark.parametrize(("accuracy", "part"), [(quantiles.ACCURACY, quantiles.PART), (10, 40)])
+def test_quantiles_of_outliers_ties_and_small_groups(spark, monkeypatch, accuracy, part):
+    monkeypatch.setattr(quantiles, "PART", part)
     rng = np.random.default_rng(4)
-    frames = [pd.DataFrame({"region": n, "x": v}) for n, v in
-              {"a": rng.normal(size=1001), "b": np.r_[np.full(500, 3.0), rng.random(200) * 1e6], "c": np.full(7, 2.0)}.items()]
-    df = spark.createDataFrame(pd.concat(frames))
-    probs = [0.02, 0.3, 0.5, 0.95]
-    got = quantiles.histogram_quantiles(df, {"x": (F.col("x"), probs)}).toPandas().set_index("region")
-    for f in frames:
-        assert np.allclose(got.loc[f["region"].iloc[0]].to_numpy(dtype=float), np.quantile(f["x"], probs))
-    big = quantiles.quantiles(df, {"x": (F.col("x"), probs)}, aggs={"n": F.count("x")}).toPandas().set_index("region")
-    assert big.loc["b", "n"] == 700 and np.isclose(big.loc["a", "x_p50"], np.median(frames[0]["x"]))
-
-
-def test_quantiles_split_a_bucket_that_an_outlier_fills(spark, monkeypatch):
-    monkeypatch.setattr(quantiles, "SORTED", 10)
+    values = {"a": rng.normal(size=5001), "b": np.r_[np.full(2500, 3.0), rng.random(200) * 1e6], "c": np.full(7, 2.0), "d": np.array([5.0]), "e": np.arange(4000.0),
+              "f": np.r_[rng.normal(size=3000), 1e15, -1e12, np.full(200, 0.25)], "g": np.full(3, np.nan)}
+    frame = pd.concat([pd.DataFrame({"region": n, "x": v}) for n, v in values.items()]).sample(frac=1, random_state=1)
+    df = spark.createDataFrame(frame).withColumn("x", F.when(~F.isnan("x"), F.col("x"))).withColumn("y", -F.col("x")).repartition(5)
+    probs = [0.0, 0.02, 0.3, 0.5, 0.95, 1.0]
+    spec = {"x": (F.col("x"), probs), "y": (F.col("y"), [0.25])}
+    got = quantiles.quantiles(df, spec, aggs={"n": F.count("x"), "rows": F.count(F.lit(1))}, accuracy=accuracy).toPandas().set_index("region")
+    assert len(got) == len(values) and got.loc["g", "n"] == 0 and got.loc["g", "rows"] == 3 and got.loc["g"].isna().sum() == 7
+    for n, v in values.items():
+        if n != "g":
+            assert np.allclose(got.loc[n, [quantiles.quantile_name("x", p) for p in probs]].to_numpy(float), np.quantile(v, probs))
+            assert np.isclose(got.loc[n, "y_p25"], np.quantile(-v, 0.25)) and got.loc[n, "n"] == len(v)
+    assert quantiles.quantiles(df, spec, accuracy=accuracy).count() == len(values) - 1
+
+
+def test_ranks_with_an_outlier_and_a_value_of_most_rows(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "PART", 50)
     rng = np.random.default_rng(8)
-    x = np.r_[rng.normal(size=3000), 1e15, -1e12, np.full(200, 0.25)]
-    df = spark.createDataFrame(pd.DataFrame({"region": "a", "x": x}))
-    probs = [0.0, 0.1, 0.5, 0.9, 1.0]
-    got = quantiles.histogram_quantiles(df, {"x": (F.col("x"), probs)}).toPandas().set_index("region")
-    assert np.allclose(got.loc["a"].to_numpy(dtype=float), np.quantile(x, probs))
+    v = np.r_[np.full(4500, 0.5), rng.normal(size=499), 1e15]
+    df = spark.createDataFrame(pd.DataFrame({"g": np.r_[np.repeat("hot", 5000), ["z"] * 3], "v": np.r_[v, [2.0, 1.0, 2.0]]}))
+    got = quantiles.running_counts(df, F.col("v"), ["g"]).toPandas()
+    assert set(got.columns) == {"g", "v", "k", "upto"}
+    for g, x in (("hot", v), ("z", np.array([2.0, 1.0, 2.0]))):
+        mine = got[got.g == g].set_index("v").sort_index()
+        want, k = np.unique(x, return_counts=True)
+        assert mine.index.tolist() == want.tolist() and mine.k.tolist() == k.tolist() and mine.upto.tolist() == np.cumsum(k).tolist()
+    one = spark.createDataFrame(pd.DataFrame({"g": ["u"] * 300 + ["w"], "a": list(range(150)) * 2 + [9], "b": list(range(300)) + [1]}))
+    at = quantiles.positions(one, ["g"], [F.desc("a"), F.col("b")], "place").toPandas()
+    order = sorted(((-a, b) for a, b in zip(at[at.g == "u"].a, at[at.g == "u"].b)))
+    assert [(-a, b) for a, b in at[at.g == "u"].sort_values("place")[["a", "b"]].itertuples(index=False)] == order
+    assert sorted(at[at.g == "u"].place) == list(range(1, 301)) and at[at.g == "w"].place.tolist() == [1]
 
 
 def test_silhouette_matches_all_pairs(spark):
