@@ -9,8 +9,11 @@ without the rest; what only needs lengths never touches ``ids``. A second, small
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +26,10 @@ from selenogrid.llm.base import batches, slabs, utf8_bytes
 
 #: Bytes of text that make one file, bytes of a row group and of a page, and rows of a page.
 FILE_BYTES, GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 16 << 20, 256 << 10, 2_000
-#: A worker forgets its pieces when it knows so many, and remembers none of more characters than this.
-KNOWN, LONGEST = 400_000, 64
+#: A worker remembers so many pieces twice over: when the newer ones are full the older ones are forgotten. None of more characters than this.
+KNOWN, LONGEST = 120_000, 64
+#: Characters of a text that are taken at once.
+LONG = 1_000_000
 
 
 class Encoder:
@@ -35,29 +40,45 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        self.library, self.known = Tokenizer.from_file(path), {}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's own threads would take the others' cores
+        self.library, self.known, self.older = Tokenizer.from_file(path), {}, {}
         self.library.no_truncation()
         self.library.no_padding()
 
     def ids(self, texts: list[str], end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each has; ``end`` is put after each text."""
         last = b"" if end is None else np.array([end], "<u4").tobytes()
-        if sum(map(len, texts)) < 4_000_000:
-            out = [o + last for o in self._of(texts)]
-        else:  # long texts are taken part by part, so that no list of all their pieces is held
-            out = [b"".join(self._of([s])[0] for s in slabs(t.replace("\n", " "), " ")) + last for t in texts]
+        # long texts are taken part by part, so that no list of all their pieces is held
+        out = [None if len(t) > LONG else o for t, o in zip(texts, self._of(["" if len(t) > LONG else t for t in texts]), strict=True)]
+        for i, t in enumerate(texts):
+            if len(t) > LONG:
+                out[i] = b"".join(self._of([part])[0] for part in slabs(t.replace("\n", " "), " ", LONG))
+        out = [o + last for o in out]
         return np.frombuffer(b"".join(out), "<u4"), np.array([len(o) // 4 for o in out], np.int64)
 
     def _of(self, texts: list[str]) -> list[bytes]:
         pieces = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > KNOWN:
-            self.known = {}
-        new = list(set().union(*pieces).difference(self.known))
-        found = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True)}
-        long = {p: v for p, v in found.items() if len(p) > LONGEST}
-        self.known.update((p, v) for p, v in found.items() if len(p) <= LONGEST)
-        of = (lambda p: self.known[p] if len(p) <= LONGEST else long[p]) if long else self.known.__getitem__
-        return [b"".join(map(of, p)) for p in pieces]
+            self.known, self.older = {}, self.known
+        new = set().union(*pieces).difference(self.known)
+        met = {p: self.older[p] for p in new if p in self.older}
+        self.known.update(met)
+        new = list(new.difference(met))
+        self.known.update(zip(new, self._ask(new), strict=True))
+        out = [b"".join(map(self.known.__getitem__, p)) for p in pieces]
+        for p in new:
+            if len(p) > LONGEST:
+                del self.known[p]
+        return out
+
+    def _ask(self, pieces: list[str], together: int = 500) -> Iterator[bytes]:
+        """The ids of each piece. The library is asked for many at once, a blank between them; where each id comes from tells whose it is."""
+        groups = [pieces[i : i + together] for i in range(0, len(pieces), together)]
+        for group, found in zip(groups, self.library.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ends = np.cumsum([len(p) + 1 for p in group])
+            starts = np.fromiter(map(itemgetter(0), found.offsets), np.int64, len(found))
+            ids, cut = np.array(found.ids, "<u4").tobytes(), 4 * np.searchsorted(starts, ends)
+            yield from (ids[a:b] for a, b in pairwise([0, *cut.tolist()]))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -86,7 +107,7 @@ def write(docs: DataFrame, vocabulary: str, folder: str, end: int | None = None,
 
     def run(table: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = 0
-        for block in batches(table, text="_text"):
+        for block in batches(table, most_bytes=2_000_000, text="_text"):
             ids, n = encoder(vocabulary).ids(pc.fill_null(block.column("_text"), "").to_pylist(), end)
             ends = np.cumsum(n)
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids.astype(np.int32)))
