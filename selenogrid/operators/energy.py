@@ -7,15 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from selenogrid.functions import physics as ph
 from selenogrid.functions.numeric import clip, steady_round, zero_if_null
+from selenogrid.operators.ordered import carried, running_sums
 from selenogrid.session import write_table
 
-CHUNK = 50_000
-
 
 def legs(steps: DataFrame, cells: DataFrame, layers: Sequence[str], key: Sequence[str] = ("route_id",)) -> DataFrame:
     """Every step with its cell's layers and the cell it came from (NULL at the start)."""
@@ -98,68 +97,78 @@ def soft_terrain(work: DataFrame, key: Sequence[str] = ("route_id",)) -> DataFra
     )
 
 
-STOP = "struct<step:int,row:int,col:int,illumination_frac:double,charge_w:double,net_rate:double,charge_wh:double,gained:double,hours:double>"
-
+def recharge_stops(work: DataFrame, key: Sequence[str] = ("route_id",)) -> DataFrame:
+    """Forced stops of solar rovers along their routes; an infeasible stop is recorded at every step until some cell allows charging.
 
-def recharge_stops(work: DataFrame, key: Sequence[str] = ("route_id",), chunk: int = CHUNK) -> DataFrame:
-    """Forced stops of solar rovers along their routes.
-
-    The charge is carried along the ordered steps by a fold. A route is folded in chunks of at most ``chunk`` steps, each
-    a bounded array, and the charge at a chunk's end seeds the next; only routes longer than a chunk take another round.
-    An infeasible stop is recorded again at every later step until some cell allows charging.
+    After a full charge at step g the charge at step i is what is left of it after the energy spent between, a difference of running
+    sums, so the step that forces the next stop is the first one whose running sum exceeds that of g by the usable charge. The charge
+    resumes at the first step from there on whose cell lets the battery gain. That successor is found for every cell where the rover
+    could charge, all at once; which of them a route really stops at follows by pointer doubling from its start, in as many
+    rounds as the logarithm of the most stops. A step without a known cost costs nothing.
     """
     key = list(key)
-    battery = ph.positive_or(F.col("battery_wh"), ph.DEFAULT_BATTERY_WH)
     lit = ph.day_illumination(zero_if_null(F.col("sunlight")), F.col("mission_day"))
     solar = work.filter((F.col("power_source") == "solar") & (F.col("solar_panel_w") > 0) & F.col("p_row").isNotNull())
-    step = F.struct(
-        F.col("step"), F.col("row"), F.col("col"), step_energy(False)["net_wh"].alias("cost"), lit.alias("light"),
-        (F.col("solar_panel_w") * lit).alias("charge"),
-        F.greatest(F.lit(0.0), F.col("solar_panel_w") * lit - ph.IDLE_W).alias("rate"),
-    )
-    packed = write_table(
-        solar.groupBy(*key, F.floor((F.col("step") - 1) / chunk).cast("int").alias("part"))
-        .agg(F.max(battery).alias("battery"), F.array_sort(F.collect_list(step)).alias("steps")), "ledger")
-    last = packed.agg(F.max("part")).first()[0]
-    if last is None:
-        last = 0
-    state, found = None, None
-    for part in range(last + 1):
-        now = packed.filter(F.col("part") == part)
-        if state is None:
-            now = now.withColumn("start", F.col("battery"))
-        else:
-            now = now.join(state, key)
-        folded = write_table(now.select(*key, "battery", _fold().alias("f")), "ledger")
-        state = folded.select(*key, F.col("f.charge").alias("start"))
-        stops = folded.select(*key, "battery", F.explode("f.stops").alias("s"))
-        found = stops if found is None else found.unionByName(stops)
-    return found.select(
-        *key, "s.step", "s.row", "s.col", F.round("s.illumination_frac", 4).alias("illumination_frac"),
-        F.round("s.charge_w", 2).alias("charge_w"), F.round("s.net_rate", 2).alias("net_charge_rate_wh_hr"),
-        F.round(F.col("s.charge_wh") / F.col("battery") * 100.0, 2).alias("battery_at_stop_pct"),
-        F.round("s.gained", 2).alias("energy_gained_wh"), F.round("s.hours", 2).alias("recharge_time_hrs"),
-    )
-
-
-def _fold() -> Column:
-    stop = F.col("battery") * ph.STOP_PCT / 100.0
+    steps = solar.select(
+        *key, "step", "row", "col", ph.positive_or(F.col("battery_wh"), ph.DEFAULT_BATTERY_WH).alias("battery"),
+        zero_if_null(step_energy(False)["net_wh"]).alias("cost"), lit.alias("light"), (F.col("solar_panel_w") * lit).alias("charge"),
+        F.greatest(F.lit(0.0), F.col("solar_panel_w") * lit - ph.IDLE_W).alias("rate"))
+    start = steps.groupBy(*key).agg(F.max("battery").alias("battery")).withColumn("step", F.lit(0)).withColumn("cost", F.lit(0.0)).withColumn("rate", F.lit(0.0))
+    steps = write_table(steps.unionByName(start, allowMissingColumns=True), "ledger")
+    spent = running_sums(steps, key, F.col("step"), "cost").withColumnRenamed("upto", "spent")
+    steps = write_table(carried(write_table(spent, "ledger"), key, F.col("step"), F.when(F.col("rate") > 0, F.col("step")), "charges_at", ahead=True), "ledger")
+    nodes = _successors(steps, key)
+    reached = _reached(nodes, key)
+    # what the charge counts from, at the step after each stop that happened
     resume = F.col("battery") * ph.RESUME_PCT / 100.0
-    start = F.struct(F.col("start").alias("charge"), F.array().cast(f"array<{STOP}>").alias("stops"))
-
-    def walk(acc: Column, s: Column) -> Column:
-        charge = F.greatest(F.lit(0.0), acc.charge - s.cost)
-        halted, charging = charge <= stop, s.rate > 0
-        gained = F.when(charging, resume - charge).otherwise(0.0)
-        record = F.struct(
-            s.step.alias("step"), s.row.alias("row"), s.col.alias("col"), s.light.alias("illumination_frac"),
-            s.charge.alias("charge_w"), s.rate.alias("net_rate"), charge.alias("charge_wh"), gained.alias("gained"),
-            F.when(charging, gained / F.when(charging, s.rate)).alias("hours"))
-        return F.struct(
-            F.when(halted & charging, resume).otherwise(charge).alias("charge"),
-            F.when(halted, F.concat(acc.stops, F.array(record))).otherwise(acc.stops).alias("stops"))
-
-    return F.aggregate("steps", start, walk)
+    full = F.when(F.col("node") == 0, F.col("battery")).otherwise(resume)
+    since = reached.select(*key, (F.col("node") + 1).alias("step"), F.struct(F.col("spent").alias("spent"), full.alias("full"), "halts_at").alias("since"))
+    told = write_table(steps.join(since, [*key, "step"], "left"), "ledger")
+    rows = carried(told, key, F.col("step"), F.col("since"), "from").filter("step > 0 AND step >= from.halts_at")
+    charge = F.greatest(F.lit(0.0), F.col("from.full") - (F.col("spent") - F.col("from.spent")))
+    can = F.col("rate") > 0
+    gained = F.when(can, resume - charge).otherwise(0.0)
+    return rows.select(
+        *key, "step", "row", "col", F.round("light", 4).alias("illumination_frac"), F.round("charge", 2).alias("charge_w"),
+        F.round("rate", 2).alias("net_charge_rate_wh_hr"), F.round(charge / F.col("battery") * 100.0, 2).alias("battery_at_stop_pct"),
+        F.round(gained, 2).alias("energy_gained_wh"), F.round(F.when(can, gained / F.when(can, F.col("rate"))), 2).alias("recharge_time_hrs"))
+
+
+def _successors(steps: DataFrame, key: list[str]) -> DataFrame:
+    """``(key, node, battery, spent, halts_at, next)``: for the start and every step that can charge, the step that halts the rover next after
+    a full charge there, and the step where it charges then; NULL where there is none.
+
+    Running sums are looked up bucket by bucket, a bucket being one usable charge wide, so neither a route nor its stops meet in one window.
+    """
+    usable = F.col("battery") * (ph.RESUME_PCT - ph.STOP_PCT) / 100.0
+    first = F.col("battery") * (100.0 - ph.STOP_PCT) / 100.0
+    width = F.floor(F.col("at") / usable)
+    asked = steps.filter("rate > 0 OR step = 0").select(*key, "battery", "spent", F.col("step").alias("node"), (F.col("spent") + F.when(F.col("step") == 0, first).otherwise(usable)).alias("at"))
+    marks = steps.filter("cost > 0").select(*key, "battery", F.col("spent").alias("at"), "step")
+    both = marks.unionByName(asked, allowMissingColumns=True).withColumn("bucket", width)
+    from_here = Window.partitionBy(*key, "bucket").orderBy("at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    local = write_table(both.withColumn("here", F.min("step").over(from_here)), "ledger")
+    later = Window.partitionBy(*key).orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)
+    beyond = local.groupBy(*key, "bucket").agg(F.min("step").alias("s")).select(*key, "bucket", F.first("s", ignorenulls=True).over(later).alias("beyond"))
+    nodes = local.filter("node IS NOT NULL").join(beyond, [*key, "bucket"]).select(*key, "node", "battery", "spent", F.coalesce("here", "beyond").alias("halts_at"))
+    then = steps.select(*key, F.col("step").alias("halts_at"), F.col("charges_at").alias("next"))
+    return write_table(nodes.join(then, [*key, "halts_at"], "left"), "ledger")
+
+
+def _reached(nodes: DataFrame, key: list[str]) -> DataFrame:
+    """The nodes on each route's way from its start: every round doubles the length of the jumps and marks where marked nodes jump to."""
+    ways = nodes.select(*key, "node", F.col("next").alias("jump"), (F.col("node") == 0).alias("on"))
+    have = -1
+    while True:
+        ways = write_table(ways, "ledger-ways")
+        count = ways.filter("on").count()
+        if count == have:
+            return nodes.join(ways.filter("on").select(*key, "node"), [*key, "node"])
+        have = count
+        hit = ways.filter("on AND jump IS NOT NULL").select(*key, F.col("jump").alias("node"), F.lit(True).alias("hit")).distinct()
+        on = ways.select(*key, F.col("node").alias("jump"), F.col("jump").alias("far"))
+        ways = ways.join(on, [*key, "jump"], "left").join(hit, [*key, "node"], "left").select(
+            *key, "node", F.col("far").alias("jump"), (F.col("on") | F.coalesce("hit", F.lit(False))).alias("on"))
 
 
 def recharge_totals(stops: DataFrame, key: Sequence[str] = ("route_id",)) -> DataFrame:

@@ -7,13 +7,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from selenogrid.operators.ordered import running_sums
 from selenogrid.session import settle, write_table
 
 #: Inverse of the rank error of the sketches that bound the wanted ranks. Groups of fewer
 #: than 50 times as many rows are ranked whole.
 ACCURACY = 10_000
-#: Rows that are put in order at once.
-PART = 1_000_000
 
 
 def region_stats(df: DataFrame, aggs: Mapping[str, Column], by: Sequence[str] = ("region",)) -> DataFrame:
@@ -85,43 +84,6 @@ def quantiles(
     return settle(found)
 
 
-def running_sums(table: DataFrame, by: Sequence[str], order: Column, weight: str) -> DataFrame:
-    """``table`` with ``upto``, the sum of ``weight`` over the rows of the group up to and with this one; ``order`` is unique within a group.
-
-    The written table is cut into ranges of (``by``, ``order``) of about :data:`PART` rows, so a group of any size spreads over as many
-    tasks as it needs. Sums of whole ranges are added up first, one row for each range of a group, and given to the rows.
-    """
-    by, (ranged, parts) = list(by), _ranges(table, by, [order])
-    inner = Window.partitionBy(*by, *parts).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = ranged.withColumn("upto", F.sum(weight).over(inner))
-    if not parts:
-        return out
-    before = _before(ranged.groupBy(*by, "_part").agg(F.sum(weight).alias("_t")), by)
-    return out.join(before, [*by, "_part"]).withColumn("upto", F.col("upto") + F.col("_before")).drop("_part", "_before")
-
-
-def positions(table: DataFrame, by: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
-    """``table`` with ``out``, the place of each row within its group from 1; cut into ranges as in :func:`running_sums`."""
-    by, (ranged, parts) = list(by), _ranges(table, by, order)
-    numbered = ranged.withColumn(out, F.row_number().over(Window.partitionBy(*by, *parts).orderBy(*order)))
-    if not parts:
-        return numbered
-    before = _before(ranged.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_t")), by)
-    return numbered.join(before, [*by, "_part"]).withColumn(out, (F.col(out) + F.col("_before")).cast("int")).drop("_part", "_before")
-
-
-def _ranges(table: DataFrame, by: list[str], order: Sequence[Column]) -> tuple[DataFrame, list[str]]:
-    n = -(-table.count() // PART)
-    if n <= 1:
-        return table, []
-    return write_table(table.repartitionByRange(n, *by, *order).withColumn("_part", F.spark_partition_id()), "ranges"), ["_part"]
-
-
-def _before(totals: DataFrame, by: list[str]) -> DataFrame:
-    run = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    return settle(totals.select(*by, "_part", F.coalesce(F.sum("_t").over(run), F.lit(0)).alias("_before")))
-
-
 def running_counts(df: DataFrame, value: Column, by: Sequence[str], weight: Column | None = None) -> DataFrame:
     """``(by, v, k, upto)``: rows per distinct value and rows with a value not above it; with ``weight``, sums of it instead.
 

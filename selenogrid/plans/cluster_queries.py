@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from selenogrid.operators import anomalies, cluster
-from selenogrid.operators.quantiles import positions
+from selenogrid.operators.ordered import positions
 from selenogrid.plans.registry import cte, query
 
 F4 = ["f0", "f1", "f2", "f3"]

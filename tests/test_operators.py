@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from grids import cells, dbscan, dijkstra, grid
 from selenogrid.functions import geo, physics
-from selenogrid.operators import cluster, energy, evaluate, proximity, quantiles, routing, sites
+from selenogrid.operators import cluster, energy, evaluate, ordered, proximity, quantiles, routing, sites
 from selenogrid.sources import ingest
 
 
@@ -67,25 +67,55 @@ def test_path_length_and_single_point(spark):
     assert same["total_distance_m"] == 0.0 and same["waypoint_count"] == 1
 
 
-def test_recharge_is_the_same_in_chunks(spark):
-    n = 60
-    flat = {"elevation": np.zeros((n, 2)), "slope": np.zeros((n, 2))}
-    work = route(spark, [(i, 0) for i in range(n)], flat, battery_wh=100.0, power_source="solar", solar_panel_w=60.0, mission_day=7.4)
-    work = work.withColumn("sunlight", F.when((F.col("row") > 20) & (F.col("row") < 30), 0.1).otherwise(0.9))
-    whole = energy.recharge_stops(work).orderBy("step").collect()
-    parts = energy.recharge_stops(work, chunk=7).orderBy("step").collect()
-    assert whole == parts and len(whole) > 3
-    charge, want = 100.0, []
-    for i in range(1, n):
-        light = 0.1 if 20 < i < 30 else 0.9
-        scale = (physics.OBLIQUITY_DEG * math.sin(2 * math.pi * 7.4 / physics.SYNODIC_DAYS) + physics.OBLIQUITY_DEG) / (2 * physics.OBLIQUITY_DEG)
-        charge = max(0.0, charge - 12.0)
-        if charge <= 20.0:
-            rate = max(0.0, 60.0 * light * scale - 25.0)
-            want.append((i, round(charge, 2), rate > 0))
-            charge = 80.0 if rate > 0 else charge
-    assert [(r["step"], round(r["battery_at_stop_pct"], 2), r["recharge_time_hrs"] is not None) for r in whole] == want
-    assert any(not w[2] for w in want)
+def ledger(steps, battery):
+    """Stops of one route, step by step: (step, charge in percent, energy gained, hours)."""
+    charge, out = battery, []
+    for step, cost, rate in steps:
+        charge = max(0.0, charge - cost)
+        if charge <= 0.2 * battery:
+            gained = 0.8 * battery - charge if rate > 0 else 0.0
+            out.append((step, charge / battery * 100, gained, gained / rate if rate > 0 else None))
+            charge = 0.8 * battery if rate > 0 else charge
+    return out
+
+
+@pytest.mark.parametrize("part", [7, ordered.PART])
+def test_recharge_stops_are_the_ledger_step_by_step(spark, monkeypatch, part):
+    monkeypatch.setattr(ordered, "PART", part)
+    rng = np.random.default_rng(3)
+    frames, want = [], {}
+    scale = (physics.OBLIQUITY_DEG * math.sin(2 * math.pi * 7.4 / physics.SYNODIC_DAYS) + physics.OBLIQUITY_DEG) / (2 * physics.OBLIQUITY_DEG)
+    for route_id, (n, battery, kind) in enumerate([(60, 100.0, "even"), (120, 50.0, "random"), (80, 37.0, "dark"), (40, 1e6, "random"), (90, 60.0, "rests"), (2, 10.0, "even"), (70, 30.0, "dear"), (1, 5.0, "even")]):
+        light = np.where((np.arange(n) > 20) & (np.arange(n) < 30), 0.1, 0.9) if kind != "random" else rng.random(n)
+        light = np.zeros(n) if kind == "dark" else light
+        speed = {"dear": 0.05}.get(kind, 0.5)
+        rise = np.r_[0.0, np.where(rng.random(n - 1) < 0.5, -1.0, 1.0)].cumsum() if kind == "rests" else np.zeros(n)
+        slope = np.where(rng.random(n) < 0.5, 90.0, 0.0) if kind == "rests" else np.zeros(n)
+        f = pd.DataFrame({"route_id": route_id, "step": range(n), "row": range(n), "col": 0, "slope": slope, "elevation": rise, "sunlight": light, "battery_wh": battery, "speed_kmh": speed,
+                          "resolution_m": 60.0, "mobility_risk": 0.0, "solar_panel_w": 60.0, "mission_day": 7.4, "power_source": "solar"})
+        f["p_row"], f["p_col"], f["p_elevation"] = f["row"].shift(), f["col"].shift(), f["elevation"].shift()
+        flat = 100.0 * 60.0 / (speed * 1000.0)
+        sine = np.sin(np.radians(slope))
+        down = np.r_[False, np.diff(rise) < 0]
+        cost = np.where(down, np.maximum(0, flat - flat * 0.3 * sine), flat * (1 + 3 * sine))
+        rate = np.maximum(0.0, 60.0 * np.clip(light * scale, 0, 1) - 25.0)
+        want[route_id] = ledger(list(zip(range(1, n), cost[1:], rate[1:])), battery)
+        frames.append(f)
+    frame = pd.concat(frames)
+    rows = frame.astype(object).where(frame.notna(), None).values.tolist()
+    kinds = {c: "int" if c in ("route_id", "step", "row", "col", "p_row", "p_col") else "string" if c == "power_source" else "double" for c in frame}
+    rows = [[None if v is None else int(v) if kinds[c] == "int" else v for c, v in zip(frame, r)] for r in rows]
+    work = spark.createDataFrame(rows, ", ".join(f"{c} {k}" for c, k in kinds.items()))
+    got = {}
+    for r in energy.recharge_stops(work).orderBy("route_id", "step").collect():
+        got.setdefault(r["route_id"], []).append((r["step"], r["battery_at_stop_pct"], r["energy_gained_wh"], r["recharge_time_hrs"]))
+    assert set(got) == {i for i, w in want.items() if w}
+    for i, w in want.items():
+        mine = got.get(i, [])
+        assert [m[0] for m in mine] == [x[0] for x in w]
+        for m, x in zip(mine, w):
+            assert all((a is None and b is None) or abs(a - b) < 0.006 for a, b in zip(m[1:], x[1:]))
+    assert any(x[3] is None for w in want.values() for x in w) and sum(map(len, want.values())) > 50
 
 
 def greedy(points, n, sep):
@@ -170,9 +200,9 @@ def test_density_clusters_match_brute_force(spark, seed):
         assert np.allclose(kth["d"], d)
 
 
-@pytest.mark.parametrize(("accuracy", "part"), [(quantiles.ACCURACY, quantiles.PART), (10, 40)])
+@pytest.mark.parametrize(("accuracy", "part"), [(quantiles.ACCURACY, ordered.PART), (10, 40)])
 def test_quantiles_of_outliers_ties_and_small_groups(spark, monkeypatch, accuracy, part):
-    monkeypatch.setattr(quantiles, "PART", part)
+    monkeypatch.setattr(ordered, "PART", part)
     rng = np.random.default_rng(4)
     values = {"a": rng.normal(size=5001), "b": np.r_[np.full(2500, 3.0), rng.random(200) * 1e6], "c": np.full(7, 2.0), "d": np.array([5.0]), "e": np.arange(4000.0),
               "f": np.r_[rng.normal(size=3000), 1e15, -1e12, np.full(200, 0.25)], "g": np.full(3, np.nan)}
@@ -190,7 +220,7 @@ def test_quantiles_of_outliers_ties_and_small_groups(spark, monkeypatch, accurac
 
 
 def test_ranks_with_an_outlier_and_a_value_of_most_rows(spark, monkeypatch):
-    monkeypatch.setattr(quantiles, "PART", 50)
+    monkeypatch.setattr(ordered, "PART", 50)
     rng = np.random.default_rng(8)
     v = np.r_[np.full(4500, 0.5), rng.normal(size=499), 1e15]
     df = spark.createDataFrame(pd.DataFrame({"g": np.r_[np.repeat("hot", 5000), ["z"] * 3], "v": np.r_[v, [2.0, 1.0, 2.0]]}))
@@ -201,7 +231,7 @@ def test_ranks_with_an_outlier_and_a_value_of_most_rows(spark, monkeypatch):
         want, k = np.unique(x, return_counts=True)
         assert mine.index.tolist() == want.tolist() and mine.k.tolist() == k.tolist() and mine.upto.tolist() == np.cumsum(k).tolist()
     one = spark.createDataFrame(pd.DataFrame({"g": ["u"] * 300 + ["w"], "a": list(range(150)) * 2 + [9], "b": list(range(300)) + [1]}))
-    at = quantiles.positions(one, ["g"], [F.desc("a"), F.col("b")], "place").toPandas()
+    at = ordered.positions(one, ["g"], [F.desc("a"), F.col("b")], "place").toPandas()
     order = sorted(((-a, b) for a, b in zip(at[at.g == "u"].a, at[at.g == "u"].b)))
     assert [(-a, b) for a, b in at[at.g == "u"].sort_values("place")[["a", "b"]].itertuples(index=False)] == order
     assert sorted(at[at.g == "u"].place) == list(range(1, 301)) and at[at.g == "w"].place.tolist() == [1]
