@@ -22,7 +22,7 @@ LEAST_DOCS, SMOOTH, UNIT, TOP = 30, 5, 1_000_000_000, 50
 #: Sources of one text that are handled together; a text of more sources is tokenized once for each such block.
 TOGETHER = 1000
 #: Counts that a worker sums up before it hands them on.
-HELD = 300_000
+HELD = 600_000
 #: A term is a run of ASCII letters and of characters beyond ASCII: in UTF-8 all other bytes become blanks, and A-Z become a-z.
 TERMS = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 

@@ -2,7 +2,8 @@
 
 A document has counts and the rules that it fails. Failures are summed by host; the rate of each host is drawn towards
 the rate of all by a beta prior that is fitted to the hosts themselves, so a host with few documents is not judged by
-chance; hosts whose drawn rate is over a limit lose all their documents.
+chance. A host far below what the prior expects is trusted, and one of which most documents fail is rejected. Documents that fail a rule go
+unless their host is trusted; all documents of a rejected host go.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from selenogrid.session import write_table
 WINDOW = 5
 LEAST_WORDS, MOST_REPEATED = 10, 20  # words; percent of words in repeated windows
 MOST_SYMBOLS, MEAN_WORD, MOST_DUP_LINES = 10, (2, 15), 50  # percent of words; characters; percent of lines
-MOST_FAILURES = 0.5
+#: A host is rejected above this rate, and trusted if its rate is so many standard deviations of the prior below the prior's mean.
+MOST_FAILURES, DEVIATIONS = 0.5, 1.0
 SYMBOLS = "#*$%&|<>"
 
 
@@ -75,7 +77,7 @@ def document_stats(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def host_verdicts(stats: DataFrame, host: str = "source", most: float = MOST_FAILURES) -> DataFrame:
-    """``(host, n_docs, n_failed, host_rate, host_rejected)``: one row a host, null hosts left out.
+    """``(host, n_docs, n_failed, host_rate, host_rejected, host_trusted)``: one row a host, null hosts left out.
 
     The prior is the beta distribution whose mean is the rate over all documents and whose variance is that of the hosts'
     rates (weighted by documents) beyond what drawing documents explains.
@@ -90,17 +92,21 @@ def host_verdicts(stats: DataFrame, host: str = "source", most: float = MOST_FAI
     weight = F.when((beyond > 0) & (spread > 0), F.least(F.greatest(spread / beyond - 1, F.lit(1.0)), F.lit(1e6))).otherwise(1e6)
     prior = all_.filter("n > 0").select(mean.alias("mean"), weight.alias("weight"))
     rate = (F.col("n_failed") + F.col("mean") * F.col("weight")) / (F.col("n_docs") + F.col("weight"))
-    return sums.crossJoin(prior).select("host", "n_docs", "n_failed", rate.alias("host_rate"), (rate > most).alias("host_rejected"))  # prior: one row
+    off = DEVIATIONS * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("weight") + 1))
+    return sums.crossJoin(prior).select(  # prior: one row
+        "host", "n_docs", "n_failed", rate.alias("host_rate"), (rate > most).alias("host_rejected"), (rate < F.col("mean") - off).alias("host_trusted"))
 
 
 def judge(stats: DataFrame, host: str = "source") -> DataFrame:
-    """The rows of ``document_stats`` with ``kept``: not failed at the base, and not of a rejected host.
+    """The rows of ``document_stats`` with ``kept``: not failed at the base, no rule failed unless the host is trusted, and not of a rejected host.
 
-    ``stats`` is read twice and should be a written table. A document without a host is judged by its base alone.
+    ``stats`` is read twice and should be a written table. A document without a host is judged by its own rules alone.
     """
-    verdicts = host_verdicts(stats, host).filter("host_rejected").select(F.col("host").alias("_host"))
-    bad = F.col("_host").isNotNull()
-    return stats.drop("kept").join(verdicts, F.col(host) == F.col("_host"), "left").withColumn("kept", ~F.col("base_failed") & ~bad).drop("_host")
+    verdicts = host_verdicts(stats, host).filter("host_rejected OR host_trusted").select(F.col("host").alias("_host"), "host_trusted")
+    trusted, other = F.coalesce("host_trusted", F.lit(False)), F.col("host_trusted").isNull()
+    # a host with a verdict is trusted or else rejected; the base rules know no trust
+    kept = ~F.col("base_failed") & (trusted | (other & ~F.col("failed")))
+    return stats.drop("kept", "host_trusted").join(verdicts, F.col(host) == F.col("_host"), "left").withColumn("kept", kept).drop("_host", "host_trusted")
 
 
 def apply(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:

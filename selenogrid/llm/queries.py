@@ -130,8 +130,10 @@ h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE failed) AS k FROM f W
 a AS (SELECT sum(n) AS n, sum(k) AS k, count(*) AS hosts, sum(k * k / n::DOUBLE) AS squares FROM h),
 p AS (SELECT k / n::DOUBLE AS mean, (k / n::DOUBLE) * (1 - k / n::DOUBLE) AS spread, squares / n - (k / n::DOUBLE) * (k / n::DOUBLE) AS had, hosts / n::DOUBLE AS part FROM a),
 q AS (SELECT mean, CASE WHEN had - spread * part > 0 AND spread > 0 THEN least(greatest(spread / (had - spread * part) - 1, 1), 1e6) ELSE 1e6 END AS weight FROM p),
-v AS (SELECT source AS host, (k + mean * weight) / (n + weight) > 0.5 AS rejected FROM h, q)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(rejected, false) AS kept
+r AS (SELECT source AS host, (k + mean * weight) / (n + weight) AS rate, mean, 1 * sqrt(mean * (1 - mean) / (weight + 1)) AS off FROM h, q),
+v AS (SELECT host, rate > 0.5 AS rejected, rate < mean - off AS trusted FROM r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce(rejected, false) AND (NOT failed OR coalesce(trusted, false)) AS kept
 FROM f LEFT JOIN v ON f.source = v.host
 """
 

@@ -22,54 +22,74 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from selenogrid.llm.base import batches, slabs, utf8_bytes
+from selenogrid.llm.base import batches, utf8_bytes
 
 #: Bytes of text that make one file, bytes of a row group and of a page, and rows of a page.
 FILE_BYTES, GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 16 << 20, 256 << 10, 2_000
-#: A worker remembers so many pieces twice over: when the newer ones are full the older ones are forgotten. None of more characters than this.
-KNOWN, LONGEST = 120_000, 64
-#: Characters of a text that are taken at once.
-LONG = 1_000_000
+#: A worker remembers so many pieces that it met again, and those that it met once until twice so many others came; none of more characters than this.
+KNOWN, ONCE, LONGEST = 250_000, 60_000, 64
 
 
 class Encoder:
     """The ids that the library gives for whole texts.
 
-    A vocabulary that drops white space treats what lies between two blanks or line feeds alike wherever it stands, so a worker asks the
-    library once for each such piece and remembers its ids.
+    A vocabulary that drops white space treats what lies between two blanks or line feeds alike wherever it stands, so texts are cut
+    there, the different pieces of a batch are found, and a worker asks the library only for those that it does not remember. It is
+    meant for vocabularies that also keep letters and digits apart from marks, so the mark after a word is a piece of its own, and
+    where the vocabulary has lower case only, A-Z are lowered first unless that would make a special token.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's own threads would take the others' cores
-        self.library, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        self.library, self.known, self.once, self.older = Tokenizer.from_file(path), {}, {}, {}
         self.library.no_truncation()
         self.library.no_padding()
-
-    def ids(self, texts: list[str], end: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts one after another, and how many each has; ``end`` is put after each text."""
-        last = b"" if end is None else np.array([end], "<u4").tobytes()
-        # long texts are taken part by part, so that no list of all their pieces is held
-        out = [None if len(t) > LONG else o for t, o in zip(texts, self._of(["" if len(t) > LONG else t for t in texts]), strict=True)]
-        for i, t in enumerate(texts):
-            if len(t) > LONG:
-                out[i] = b"".join(self._of([part])[0] for part in slabs(t.replace("\n", " "), " ", LONG))
-        out = [o + last for o in out]
-        return np.frombuffer(b"".join(out), "<u4"), np.array([len(o) // 4 for o in out], np.int64)
-
-    def _of(self, texts: list[str]) -> list[bytes]:
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
+        self.lower = "Lowercase" in str(self.library.normalizer)
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+
+    def ids(self, texts: pa.Array, end: int | None, block: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and how many each has; ``end`` is put after each text. Null counts as ''."""
+        texts = pc.fill_null(texts, "")
+        if self.lower and not any(pc.any(pc.match_substring(texts, s, ignore_case=True)).as_py() for s in self.special):
+            texts = pc.ascii_lower(texts)
+        texts = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " "), r"([\pL\pN])([.,;:!?]) ", r"\1 \2 ")
+        words = pc.split_pattern(texts, " ")
+        flat = words.flatten().dictionary_encode()
+        index = flat.indices.to_numpy()
+        values = self._values(flat.dictionary.to_pylist())
+        size = np.array([len(v) // 4 for v in values], np.int64)
+        data, start = np.frombuffer(b"".join(values), "<u4"), np.cumsum(size) - size
+        parts = []
+        for at in range(0, len(index), block):
+            i = index[at : at + block]
+            n = size[i]
+            parts.append(data[np.repeat(start[i] - np.cumsum(n) + n, n) + np.arange(n.sum())])
+        ids = np.concatenate(parts) if parts else np.zeros(0, "<u4")
+        sums = np.append(0, np.cumsum(size[index]))[np.append(0, np.cumsum(pc.list_value_length(words).to_numpy()))]
+        n = np.diff(sums)
+        return (ids, n) if end is None else (np.insert(ids, sums[1:], end), n + 1)
+
+    def _values(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each of some different pieces. What is met again is kept; what is new may be forgotten soon."""
+        values = list(map(self.known.get, pieces))
+        open_ = [i for i, v in enumerate(values) if v is None]
+        new = []
+        for i in open_:
+            p = pieces[i]
+            values[i] = v = self.once.get(p, self.older.get(p))
+            if v is None:
+                new.append(i)
+            else:
+                self.known[p] = v
+        for i, v in zip(new, self._ask([pieces[i] for i in new]), strict=True):
+            values[i] = v
+            if len(pieces[i]) <= LONGEST:
+                self.once[pieces[i]] = v
         if len(self.known) > KNOWN:
-            self.known, self.older = {}, self.known
-        new = set().union(*pieces).difference(self.known)
-        met = {p: self.older[p] for p in new if p in self.older}
-        self.known.update(met)
-        new = list(new.difference(met))
-        self.known.update(zip(new, self._ask(new), strict=True))
-        out = [b"".join(map(self.known.__getitem__, p)) for p in pieces]
-        for p in new:
-            if len(p) > LONGEST:
-                del self.known[p]
-        return out
+            self.known = {}
+        if len(self.once) > ONCE:
+            self.once, self.older = {}, self.once
+        return values
 
     def _ask(self, pieces: list[str], together: int = 500) -> Iterator[bytes]:
         """The ids of each piece. The library is asked for many at once, a blank between them; where each id comes from tells whose it is."""
@@ -107,8 +127,8 @@ def write(docs: DataFrame, vocabulary: str, folder: str, end: int | None = None,
 
     def run(table: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = 0
-        for block in batches(table, most_bytes=2_000_000, text="_text"):
-            ids, n = encoder(vocabulary).ids(pc.fill_null(block.column("_text"), "").to_pylist(), end)
+        for block in batches(table, most_bytes=4_000_000, text="_text"):
+            ids, n = encoder(vocabulary).ids(block.column("_text"), end)
             ends = np.cumsum(n)
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(place + ends - n), pa.array(n), lists], ["doc_id", "place", "n_tokens", "ids"])

@@ -36,6 +36,8 @@ MOST_LABELS = 20_000
 LEAST_DOCS, PRIOR_DOCS = 3, 5.0
 #: Least strength of features that explain documents, and of those that occur with many sets of the former.
 FIRST, SECOND = 0.5, 0.85
+#: Runs of signs on either side of the letters of a token that are read with them; no word is longer.
+REACH = 24
 KNOWN = 500_000
 SIGNS = "0123456789@$!|+€"
 DISGUISED = re.compile(rf"(.)\1\1|[{re.escape(SIGNS + SEPARATORS)}]|[^\W\d_][\W\d_]+[^\W\d_]")
@@ -99,32 +101,48 @@ def restore(token: str, model: np.ndarray, head: int = 0, tail: int = 0) -> list
     """The likeliest meant spellings of a lower-case token. Signs that are meant become blanks.
 
     Of the ``head`` and ``tail`` signs at its edges, runs next to the rest are letters and those beyond are left out: one spelling
-    for each number of runs that are. The work grows with the token's length, so no length is left out.
+    for each number of runs that are, up to :data:`REACH` on either side. Signs farther out than a word is long are read as words of
+    their own. If the rest alone is longer than two words, the signs before it are read with its beginning only. So the work grows
+    with the token's length, and no length is left out.
     """
     runs = [(m.group()[0], len(m.group()), not head <= m.start() < len(token) - tail) for m in re.finditer(r"(.)\1*", token, re.S)]
     first = next((i for i, r in enumerate(runs) if not r[2]), len(runs))
     last = next((i for i in range(len(runs), first, -1) if not runs[i - 1][2]), first)
-    return [x for start in range(first + 1) for x in _paths(runs[start:], last - start, model)]
+    low, high = max(0, first - REACH), min(len(runs), last + REACH)
+    found = _paths(runs[first:high], last - first, model)
+    for start in range(low, first):
+        found += _paths(runs[start:high], last - start, model) if last - first <= 2 * REACH else _paths(runs[start : first + 2 * REACH], first + 2 * REACH - start, model)
+    return found + _signs(runs[:low], model) + _signs(runs[high:], model)
+
+
+def _signs(runs: list[tuple[str, int, bool]], model: np.ndarray) -> list[str]:
+    """Spellings of a stretch without any letter, all its signs as letters, in pieces that overlap by :data:`REACH`; digits alone are a number."""
+    pieces = [runs[at : at + 2 * REACH] for at in range(0, max(1, len(runs) - REACH), REACH)] if runs else []
+    return [x for p in pieces if any(c in LEET and not c.isdigit() for c, _, _ in p) for x in _paths([(c, n, True) for c, n, _ in p], len(p), model)]
+
+
+def _choices(c: str, n: int, edge: bool) -> list[tuple[str, float]]:
+    """What a run of ``n`` times ``c`` may have been meant as, with the log costs."""
+    if c.isalpha():
+        # a run of more than 6 letters stands in no word, so that 6 of them do for any number
+        return [(c * n, 0.0)] if n < 3 else [(c, FOLD), (c * 2, FOLD), (c * min(n, 6), 0.0)]
+    choices = [] if edge and c in LEET else [(" ", STAY)]
+    for meant in LEET.get(c, ""):
+        if not edge or n != 2:  # two signs of an edge are two letters
+            choices.append((meant, SWAP))
+        if n > 1:
+            choices.append((meant * 2, 2 * SWAP))
+    if c in SEPARATORS:
+        choices.append(("", DROP * min(n, 3)))
+    return choices
 
 
 def _paths(runs: list[tuple[str, int, bool]], last: int, model: np.ndarray) -> list[str]:
     """The best path through the first ``last`` runs (character, length, of an edge), and through each more of them."""
     beam: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     found = []
-    for at, (c, n, edge) in enumerate(runs, 1):
-        choices: list[tuple[str, float]] = []
-        if c.isalpha():
-            choices = [(c * n, 0.0)] if n < 3 else [(c, FOLD), (c * 2, FOLD), (c * min(n, 6), 0.0)]
-        else:
-            if not edge or c not in LEET:
-                choices.append((" ", STAY))
-            for meant in LEET.get(c, ""):
-                if not edge or n != 2:  # two signs of an edge are two letters
-                    choices.append((meant, SWAP))
-                if n > 1:
-                    choices.append((meant * 2, 2 * SWAP))
-            if c in SEPARATORS:
-                choices.append(("", DROP * min(n, 3)))
+    for at, run in enumerate(runs, 1):
+        choices = _choices(*run)
         fresh: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (score, done) in beam.items():
             for letters, cost in choices:
@@ -155,8 +173,8 @@ class Tokens:
     def words(self, token: str) -> list[str]:
         bare = EDGES.sub("", token)
         rest = bare.strip(SIGNS)
-        if not PLAIN.search(rest):
-            return []
+        if not PLAIN.search(rest):  # no letter: a word written wholly in signs, or a number
+            return [w for x in _signs([(m.group()[0], len(m.group()), False) for m in re.finditer(r"(.)\1*", bare, re.S)], self.model) for w in PLAIN.findall(x)]
         if not DISGUISED.search(bare):
             return PLAIN.findall(bare)
         head, tail = len(bare) - len(bare.lstrip(SIGNS)), len(bare) - len(bare.rstrip(SIGNS))
@@ -171,6 +189,7 @@ class Tokens:
         if len(self.known) > KNOWN:
             self.known = {}
         for t in tokens.difference(self.known):
+            # one or two letters are what is left of numbers and signs, and tell nothing
             found = {w: self.of_word(w) for w in self.words(t) if len(w) > 2}
             self.known[t] = tuple((w, v) for w, v in found.items() if v)
         return list(dict(x for t in tokens for x in self.known[t]).values())

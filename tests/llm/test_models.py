@@ -107,6 +107,54 @@ def test_edge_signs_may_be_letters_or_punctuation():
     assert tokens.words("10:30") == [] and len(tokens.words("abc." * 5_000)) >= 1
 
 
+def test_words_written_in_signs_and_numbers():
+    counts = toxicity.trigram_counts(["the ass and the asses " * 30]).reshape(28, 28, 28) + 0.1
+    tokens = toxicity.Tokens(np.log(counts / counts.sum(2, keepdims=True)), lambda w: w)
+    assert "ass" in tokens.words("4$$") and "ass" in tokens.words("@$$") and "asses" in tokens.words("(@$$3$)")
+    for number in ("455", "10:30", "2010", "1,234.50", "4-5-5"):
+        assert tokens.words(number) == []
+
+
+def test_long_edges_take_linear_work():
+    import time
+
+    tokens = toxicity.Tokens(np.zeros((28, 28, 28)), lambda w: w)
+    for token in ("!$" * 50_000 + "a", "a" + "$!" * 50_000, "!$" * 50_000 + "moron" + "$!" * 50_000, "@$5" * 40_000, "$" + "ab.c" * 20_000 + "$"):
+        at = time.perf_counter()
+        found = tokens.words(token)
+        assert time.perf_counter() - at < 60 and sum(map(len, found)) < 60 * len(token)
+    assert "moron" in tokens.words("!$" * 500 + "moron" + "!?" * 500)
+
+
+def test_viterbi_finds_the_best_of_all_paths():
+    import itertools
+    import re
+
+    r = np.random.default_rng(5)
+    for _ in range(40):
+        model = np.log(r.dirichlet(np.ones(28), (28, 28)))
+        token = "".join(r.choice(list("ab1$0.-!xx")) for _ in range(r.integers(1, 8)))
+        runs = [(m.group()[0], len(m.group()), False) for m in re.finditer(r"(.)\1*", token)]
+
+        def score(parts):
+            total, x, y = 0.0, 0, 0
+            for letters, cost in parts:
+                total += cost
+                for letter in letters:
+                    z = toxicity._fold(ord(letter))
+                    if not (y == z == 0):
+                        total += model[x, y, z]
+                        x, y = y, z
+            return total + (model[x, y, 0] if y else 0.0)
+
+        paths = {}
+        for parts in itertools.product(*[toxicity._choices(*run) for run in runs]):
+            spelling = "".join(p[0] for p in parts)
+            paths[spelling] = max(paths.get(spelling, -np.inf), score(parts))
+        (found,) = toxicity._paths(runs, len(runs), model)
+        assert abs(paths[found] - max(paths.values())) < 1e-9
+
+
 def test_spaced_words_come_out_one_by_one():
     text = ["you moron now " * 40]
     counts = toxicity.trigram_counts(text).reshape(28, 28, 28) + 0.1

@@ -50,6 +50,18 @@ def test_hosts_are_drawn_to_the_rate_of_all(spark):
     assert out.columns == clashing(docs(spark, [])).columns and {r.doc_id for r in out.collect()} == kept
 
 
+def test_documents_that_fail_a_rule_go_unless_their_host_is_trusted(spark):
+    good, bad, signs = words(40, 1), "x " * 40, words(40, 2) + " $$$$$$"
+    rows = [(1000 * h + i, (signs if i % 2 else bad) if i < 20 * (h + 1) else good, "en", f"h{h}", 1) for h in range(4) for i in range(200)]
+    rows += [(9000 + i, signs if i == 0 else good, "en", "fine", 1) for i in range(300)] + [(9900, signs, "en", None, 1), (9901, good, "en", None, 1)]
+    stats = write_table(quality.document_stats(docs(spark, rows)), "stats")
+    verdicts = {r.host: r for r in quality.host_verdicts(stats).collect()}
+    assert verdicts["fine"].host_trusted and not verdicts["h3"].host_trusted and not any(v.host_rejected for v in verdicts.values())
+    kept = {r.doc_id for r in quality.judge(stats).filter("kept").collect()}
+    # of the ordinary hosts only the documents without a failure, of the trusted one also the document full of signs
+    assert kept == {1000 * h + i for h in range(4) for i in range(20 * (h + 1), 200)} | set(range(9000, 9300)) | {9901}
+
+
 def test_empty_table_and_one_host(spark):
     assert quality.apply(docs(spark, [])).count() == 0
     assert quality.apply(docs(spark, [(1, "x " * 50, "en", "a", 1), (2, None, "en", None, 1)])).count() == 0

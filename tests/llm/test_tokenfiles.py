@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 from llm_cases import clashing, docs, odd_rows, words
 from tokenizers import Tokenizer
@@ -25,12 +26,18 @@ def test_ids_are_the_librarys(monkeypatch):
     parts = ["a", "the", " ", "\n", "\t", "\x1c", "\xa0", "<|endoftext|>", "é", "é", "́", "'s", "'LL", "12", "½", "\x00", "日本", "😀", "ING", "...", "_", "Σ", "ΑΣ", "İ", " ", "ᄀ", "ᅡ"]
     texts = ["", " ", "\n", "a" * 5000, "<|endoftext|><|startoftext|>", *["".join(r.choice(parts) for _ in range(r.randrange(40))) for _ in range(4000)], *[t[1] for t in odd_rows() if t[1]]]
     want = [e.ids + [2] for e in library.encode_batch(texts, add_special_tokens=False)]
-    ids, n = own.ids(texts, 2)
+    ids, n = own.ids(pa.array(texts), 2)
     assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    plain = ["".join(r.choice([p for p in parts if "<" not in p] + ["A.", "b. ", "1, ", "_. ", "é! ", "x.. "]) for _ in range(r.randrange(40))) for _ in range(4000)]  # lowered first
+    for some in (plain, [*plain, "the <|ENDOFTEXT|> END"], [*plain, "the<|endoftext|>END. "]):
+        want = [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
+        ids, n = own.ids(pa.array(some), None)
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
     monkeypatch.setattr(tokenfiles, "KNOWN", 10)
-    many = [*texts, words(900_000, 5)]  # so long that it is taken part by part
-    ids, n = own.ids(many, None)
-    want = [e.ids for e in library.encode_batch(many, add_special_tokens=False)]
+    monkeypatch.setattr(tokenfiles, "ONCE", 5)
+    many = [*texts, words(300_000, 5)]
+    ids, n = own.ids(pa.array([*many, None]), None, block=1000)
+    want = [e.ids for e in library.encode_batch([*many, ""], add_special_tokens=False)]
     assert n.tolist() == [len(w) for w in want] and np.array_equal(ids, np.concatenate([np.array(w) for w in want]))
 
 
