@@ -123,7 +123,7 @@ def test_long_edges_take_linear_work():
         at = time.perf_counter()
         found = tokens.words(token)
         assert time.perf_counter() - at < 60 and sum(map(len, found)) < 60 * len(token)
-    assert "moron" in tokens.words("!$" * 500 + "moron" + "!?" * 500)
+    assert "moron" in tokens.words("!$" * 500 + "moron" + "$!" * 500)
 
 
 def test_viterbi_finds_the_best_of_all_paths():
