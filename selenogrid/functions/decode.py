@@ -17,6 +17,7 @@ SKY_MIN = -31399.0
 SKY_RANGE = 33918.0
 BYTE_FULL = 255.0
 SHADOW_COUNT = 20000
+LARGEST_PIXEL_M = 1e7
 EMPTY_SCALE = {"minirf_cpr": 1.0, "mas": 40.0, "ldsm_err": 5.0}
 
 
@@ -30,6 +31,11 @@ def uploaded_metres(value: Column, kind: Column, header_nodata: Column) -> Colum
     return F.when(kind == "float", kept).otherwise(metres(kept))
 
 
+def plausible_size(pixel: Column) -> Column:
+    """Whether an uploaded grid's signed pixel size can be metres: not zero, not beyond :data:`LARGEST_PIXEL_M`; false where unknown."""
+    return F.coalesce((F.abs(pixel) > 0) & (F.abs(pixel) <= LARGEST_PIXEL_M), F.lit(False))
+
+
 def fraction(raw: Column, full: float, offset: float = 0.0) -> Column:
     return clip((raw - offset) / full, 0.0, 1.0)
 

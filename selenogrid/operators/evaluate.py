@@ -92,6 +92,14 @@ def coverage_verdict(final: Column, km: Column, inside: Column) -> Column:
     )
 
 
+def ice_site(psr: Column, mission_percentile: Column, volatile: Column) -> dict[str, Column]:
+    """Checks of a known ice site; the verdict is by shadow and mission percentile, volatiles are told beside it. Unknown counts as no."""
+    dark, ranked = (F.coalesce(c, F.lit(False)) for c in (psr >= 0.5, mission_percentile >= 50.0))
+    word = lambda ok: F.when(ok, "PASS").otherwise("FAIL")
+    return {"shadow_check": word(dark), "mission_check": word(ranked), "volatile_check": word(F.coalesce(volatile >= 0.3, F.lit(False))),
+            "verdict": F.when(dark & ranked, "both").when(dark | ranked, "one").otherwise("none")}
+
+
 def traverse_verdicts(km: Column, published: Column, tolerance: Column, psr: Column, psr_required: Column) -> dict[str, Column]:
     """Three-valued flags: NULL where a check does not apply; the last one is decided, unknown counting as no."""
     distance = F.when((published > 0) & km.isNotNull(), F.abs(km - published) / published <= tolerance)

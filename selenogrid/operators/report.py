@@ -7,7 +7,7 @@ from string import Formatter
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from selenogrid.functions.describe import ELEVATION_PHRASES, ROUGHNESS_WORDS, SLOPE_WORDS, band
+from selenogrid.functions.describe import ELEVATION_PHRASES, ROUGHNESS_WORDS, SLOPE_WORDS, band, class_name
 
 # fixed values: sentences; a field names a column of the brief, with Python's number formats
 TEXT = {
@@ -17,6 +17,7 @@ TEXT = {
                "recommendations for the {kind} mission profile.",
     "site": "PRIMARY SITE (Rank 1): {abs_lat1:.2f}°S, {lon1:.2f}°E",
     "terrain": "  Terrain: {elev_word} at {elev1:.0f} m. Slope {slope1:.1f}° ({slope_word}), roughness {rough1:.1f} m ({rough_word}).",
+    "class": "  Terrain class: {class1}.",
     "second": "\nCOMPARISON (Rank 1 vs Rank 2): Rank 1 leads by {d_safety:+.2f} safety score and {d_mission:+.2f} mission score. Rank 2 site at "
               "{abs_lat2:.2f}°S, {lon2:.2f}°E has slope {slope2:.1f}° vs {slope1:.1f}° and roughness {rough2:.1f} m vs {rough1:.1f} m.",
     "third": "Rank 3 site at {abs_lat3:.2f}°S, {lon3:.2f}°E: final score {final3:.2f}, slope {slope3:.1f}°, roughness {rough3:.1f} m.",
@@ -104,11 +105,11 @@ def suitability() -> Column:
 
 
 def brief(missions: DataFrame, sites: DataFrame, routes: DataFrame, anomalies: DataFrame, stops: DataFrame) -> DataFrame:
-    """One row per mission with everything the sentences need. Lists per mission are three sites and two anomalies long."""
+    """One row per mission with everything the sentences need. ``sites`` may have ``cls``, the terrain class of each. Lists per mission are three sites and two anomalies long."""
     site = {"lat": "lat", "lon": "lon", "elev": "elevation", "slope": "slope", "rough": "roughness", "safety": "safety",
             "mission": "mission", "final": "final"}
     top = sites.groupBy("mission_id").agg(
-        F.count(F.lit(1)).alias("n_sites"), F.max(F.when(F.col("rank") == 1, F.col("sunlight_fraction"))).alias("sun"),
+        F.count(F.lit(1)).alias("n_sites"), F.max(F.when(F.col("rank") == 1, class_name(F.col("cls")) if "cls" in sites.columns else F.lit(None).cast("string"))).alias("class1"), F.max(F.when(F.col("rank") == 1, F.col("sunlight_fraction"))).alias("sun"),
         *[F.max(F.when(F.col("rank") == i, F.col(c))).alias(f"{n}{i}") for i in (1, 2, 3) for n, c in site.items()])
     entry = F.struct((-F.col("anomaly_strength")).alias("s"), "cluster", "anomaly_type", "lat", "lon", "pixel_count")
     # the two strongest of each region and mission type are found before missions meet them
@@ -143,7 +144,7 @@ def _lines(*parts: Column, sep: str = "\n") -> Column:
 
 
 def site_analysis() -> Column:
-    return _lines(say("site"), say("terrain"), F.when(F.col("n_sites") >= 2, say("second")), F.when(F.col("n_sites") >= 3, say("third")))
+    return _lines(say("site"), say("terrain"), say("class"), F.when(F.col("n_sites") >= 2, say("second")), F.when(F.col("n_sites") >= 3, say("third")))
 
 
 def path_analysis() -> Column:

@@ -9,12 +9,11 @@ from selenogrid.functions import geo
 
 
 def block_mean(cells: DataFrame, factor: int, layers: list[str]) -> DataFrame:
-    """Mean over full blocks of ``factor`` x ``factor`` cells; an incomplete last block is dropped."""
-    full_h, full_w = F.floor(F.col("height") / factor), F.floor(F.col("width") / factor)
+    """Mean over blocks of ``factor`` x ``factor`` cells; a last block that is incomplete has the mean of the cells that it holds."""
+    full_h, full_w = F.ceil(F.col("height") / factor), F.ceil(F.col("width") / factor)
     r, c = F.floor(F.col("row") / factor).cast("int"), F.floor(F.col("col") / factor).cast("int")
     return (
-        cells.filter((r < full_h) & (c < full_w))
-        .groupBy("region", full_h.cast("int").alias("height"), full_w.cast("int").alias("width"),
+        cells.groupBy("region", full_h.cast("int").alias("height"), full_w.cast("int").alias("width"),
                  (F.col("resolution_m") * factor).alias("resolution_m"), "origin_x", "origin_y",
                  r.alias("row"), c.alias("col"))
         .agg(*[F.avg(n).alias(n) for n in layers])

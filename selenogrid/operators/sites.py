@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,8 +14,6 @@ from selenogrid.functions.describe import fixed
 from selenogrid.operators import neighbourhood as nb
 from selenogrid.session import write_table
 
-FRONT = 2000
-
 
 def candidates(scores: DataFrame, by: Sequence[str], score: str, min_sep: int) -> DataFrame:
     """Cells that equal the maximum of their neighbourhood and score above 0."""
@@ -24,50 +24,35 @@ def candidates(scores: DataFrame, by: Sequence[str], score: str, min_sep: int) -
 def spaced_top(found: DataFrame, by: Sequence[str], score: str, n: int = 10, min_sep: float = 50.0) -> DataFrame:
     """Greedy by score (ties by row, column): take a candidate unless an accepted one is nearer than ``min_sep``.
 
-    The greedy walk only reads a prefix of the sorted candidates, so the first :data:`FRONT` of each group are folded
-    first. A group that neither filled up nor ran out continues with its next candidates that no accepted site excludes;
-    each such round accepts at least one more, so there are at most ``n`` rounds and the result is exact.
+    All groups go at once. With tiles as wide as the spacing, a candidate that is the best of its tile and of the eight around it is the best
+    within reach, so the greedy walk takes it whatever happens elsewhere; a round accepts all of these and drops what is too near
+    to them, and what comes after the ``n``-th accepted one of its group. The best one left is always accepted, so rounds end, and
+    tiles only ever pass on their best.
     """
-    by = list(by)
-    order = Window.partitionBy(*by).orderBy(F.desc(score), "row", "col")
-    item = F.struct(F.col("rank_in").alias("k"), "row", "col", F.col(score).alias("s"))
-
-    def accept(acc: Column, c: Column) -> Column:
-        near = F.exists(acc, lambda a: F.hypot(a.row - c.row, a.col - c.col) < min_sep)
-        return F.when((F.size(acc) >= n) | near, acc).otherwise(F.concat(acc, F.array(c)))
-
-    typ = "array<struct<k:int,row:int,col:int,s:double>>"
-    taken, left = None, found
-    for _ in range(n):
-        front = left.withColumn("rank_in", F.row_number().over(order)).filter(F.col("rank_in") <= FRONT)
-        lists = front.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("_c"))
-        if taken is not None:
-            lists = lists.join(taken.select(*by, "_t"), by, "left")
-            seed = F.coalesce("_t", F.array().cast(typ))
-        else:
-            seed = F.array().cast(typ)
-        step = write_table(lists.select(
-            *by, F.aggregate("_c", seed, accept).alias("_t"), F.size("_c").alias("_seen"),
-            F.element_at("_c", -1).alias("_last"),
-        ), "sites")
-        if taken is not None:
-            step_keys = step.select(*by)
-            taken = step.select(*by, "_t").unionByName(taken.select(*by, "_t").join(step_keys, by, "left_anti"))
-        else:
-            taken = step.select(*by, "_t")
-        open_groups = step.filter((F.col("_seen") >= FRONT) & (F.size("_t") < n))
-        if not open_groups.limit(1).count():
-            break
-        after = (F.col(score) < F.col("_last.s")) | ((F.col(score) == F.col("_last.s")) & (
-            F.struct("row", "col") > F.struct(F.col("_last.row").alias("row"), F.col("_last.col").alias("col"))))
-        rest = left.join(open_groups.select(*by, "_t", "_last"), by).filter(after)
-        left = rest.filter(
-            ~F.exists("_t", lambda a: F.hypot(a.row - F.col("row"), a.col - F.col("col")) < min_sep)
-        ).select(*found.columns)
-    return taken.select(*by, F.posexplode("_t").alias("_i", "_s")).select(
-        *by, (F.col("_i") + 1).alias("rank"), F.col("_s.row").alias("row"), F.col("_s.col").alias("col"),
-        F.col("_s.s").alias(score),
-    )
+    by, side = list(by), max(1, math.ceil(min_sep))
+    tile = [*by, "tr", "tc"]
+    order = F.struct(F.col("s"), (-F.col("row")).alias("r"), (-F.col("col")).alias("c"))
+    around = F.explode(F.array(*[F.struct(F.lit(dr).alias("r"), F.lit(dc).alias("c")) for dr in (-1, 0, 1) for dc in (-1, 0, 1)])).alias("m")
+    moved = [(F.col("tr") + F.col("m.r")).alias("tr"), (F.col("tc") + F.col("m.c")).alias("tc")]
+    other = {c: f"_{c}" for c in tile}
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(o)) for c, o in other.items()])
+    best_first = Window.partitionBy(*by).orderBy(F.desc("s"), "row", "col")
+    left = write_table(found.select(*by, "row", "col", F.col(score).alias("s"), F.floor(F.col("row") / side).alias("tr"), F.floor(F.col("col") / side).alias("tc")), "candidates")
+    taken = left.select(*by, "row", "col", "s").limit(0)
+    while left.limit(1).count():
+        best = left.groupBy(*tile).agg(F.max(order).alias("best"))
+        top = best.select("*", around).select(*by, *moved, "best").groupBy(*tile).agg(F.max("best").alias("top"))
+        now = best.join(top.withColumnsRenamed(other), same).filter("best = top")
+        now = write_table(now.select(*tile, (-F.col("best.r")).alias("row"), (-F.col("best.c")).alias("col"), F.col("best.s").alias("s")), "accepted")
+        ranked = taken.unionByName(now.select(*by, "row", "col", "s")).withColumn("k", F.row_number().over(best_first)).filter(F.col("k") <= n)
+        ranked = write_table(ranked, "sites")
+        taken = ranked.drop("k")
+        near = now.select("*", around).select(*by, *moved, F.col("row").alias("n_row"), F.col("col").alias("n_col"))
+        away = F.hypot(F.col("row") - F.col("n_row"), F.col("col") - F.col("n_col"))
+        rest = left.join(near.withColumnsRenamed(other), same & ((away < min_sep) | (away == 0)), "left_anti")
+        last = ranked.filter(F.col("k") == n).select(*by, order.alias("last"))
+        left = write_table(rest.join(last, by, "left").filter(F.col("last").isNull() | (order > F.col("last"))).drop("last"), "candidates")
+    return taken.select(*by, F.row_number().over(best_first).alias("rank"), "row", "col", F.col("s").alias(score))
 
 
 def reasoning() -> Column:

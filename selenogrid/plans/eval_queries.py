@@ -13,6 +13,7 @@ from selenogrid.plans.score_steps import score_steps
 from selenogrid.plans.site_queries import SEP, greedy_sql, landmarks
 from selenogrid.plans.steps import box_sql
 from selenogrid.session import work_folder, write_table
+from selenogrid.sources import ingest
 
 
 def r(name, digits=6):
@@ -187,12 +188,13 @@ def weight_sensitivity(ws):
 # --- checks and verdicts ---------------------------------------------------------------------------------------------
 
 cte("combo", """
-SELECT s.mission_id, s.region, s.mission_type, s.power_source, m.psr_intent, max(CASE WHEN rank = 1 THEN s.mission END) AS m1, max(CASE WHEN rank = 1 THEN s.final END) AS f1,
+SELECT s.mission_id, s.region, s.mission_type, s.power_source, m.psr_intent, max(CASE WHEN rank = 1 THEN s.mission END) AS m1, max(CASE WHEN rank = 1 THEN s.final END) AS f1, max(CASE WHEN rank = 1 THEN s.psr END) AS p1,
   sum(CASE WHEN psr >= 0.5 THEN 1 ELSE 0 END) AS dark, min(CASE WHEN rank <= 3 THEN coalesce(shadow_m, 1e9) END) AS near, avg(CASE WHEN rank <= 3 THEN illumination END) AS lit,
   avg(CASE WHEN rank <= 3 THEN s.mission END) AS m3, avg(CASE WHEN rank <= 3 THEN s.elevation END) AS e3, any_value(f.e50) AS e50
 FROM sites s JOIN missions m USING (mission_id, region) JOIN facts f USING (region) GROUP BY ALL""", ["sites", "missions", "facts"])
 cte("combo_checks", """
 SELECT mission_id, 'mission score positive' AS "check", CASE WHEN m1 > 0 THEN 'PASS' ELSE 'FAIL' END AS result FROM combo WHERE mission_type = 'water_ice' AND psr_intent = 'enter'
+UNION ALL SELECT mission_id, 'shadow site not zeroed', CASE WHEN f1 > 0 THEN 'PASS' ELSE 'FAIL' END FROM combo WHERE mission_type = 'water_ice' AND psr_intent = 'enter' AND power_source = 'rtg' AND p1 >= 0.5
 UNION ALL SELECT mission_id, 'final score positive', CASE WHEN f1 > 0 THEN 'PASS' ELSE 'FAIL' END FROM combo WHERE mission_type = 'water_ice'
 UNION ALL SELECT mission_id, 'near shadow', CASE WHEN near <= 5000 THEN 'PASS' ELSE 'FAIL' END FROM combo WHERE mission_type = 'water_ice' AND psr_intent = 'rim' AND power_source = 'rtg'
 UNION ALL SELECT mission_id, 'no solar site in shadow', CASE WHEN dark = 0 THEN 'PASS' ELSE 'FAIL' END FROM combo WHERE power_source = 'solar'
@@ -223,9 +225,9 @@ def suite_counts(ws):
 SELECT mission_id, count(*) AS n, CAST(sum(CASE WHEN result = 'PASS' THEN 1 ELSE 0 END) AS BIGINT) AS n_pass FROM combo_checks GROUP BY 1""", ["combo_checks"])
 def read_result_files(ws):
     """Result files written by mission, read back with a fixed schema."""
-    path = f"{work_folder(ws.spark)}/selenogrid/results-json"
-    ws.combination_checks.select("mission_id", "check", "result").write.mode("overwrite").partitionBy("mission_id").json(path)
-    back = ws.spark.read.schema("mission_id STRING, check STRING, result STRING").json(path)
+    path = f"{work_folder(ws.spark)}/selenogrid/results-json-{uuid.uuid4().hex[:12]}"
+    ingest.write_by_mission(ws.combination_checks.select("mission_id", "check", "result"), path, "json")
+    back = ws.spark.read.schema("mission_id STRING, check STRING, result STRING, bucket INT").json(path)
     return back.groupBy("mission_id").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("result") == "PASS").cast("int")).alias("n_pass"))
 
 
@@ -259,18 +261,18 @@ def traverse_verdicts(ws):
 
 
 @query("landmark_checks", """
-SELECT landmark, mission_id, CASE WHEN slope <= 12 THEN 'PASS' ELSE 'FAIL' END AS slope_check, CASE WHEN roughness <= 50 THEN 'PASS' ELSE 'FAIL' END AS rough_check,
+SELECT landmark, mission_id, CASE WHEN slope <= 12 THEN 'PASS' ELSE 'FAIL' END AS slope_check, CASE WHEN roughness <= 5 THEN 'PASS' ELSE 'FAIL' END AS rough_check,
   CASE WHEN illumination > 0.1 THEN 'PASS' ELSE 'FAIL' END AS lit_check, CASE WHEN psr < 0.5 THEN 'PASS' ELSE 'FAIL' END AS dark_check,
   CASE WHEN p >= 50 THEN 'PASS' ELSE 'FAIL' END AS pct_check,
-  CASE WHEN slope <= 12 AND roughness <= 50 AND illumination > 0.1 AND psr < 0.5 AND p >= 50 THEN 'PASS'
-    WHEN (CASE WHEN slope <= 12 THEN 1 ELSE 0 END + CASE WHEN roughness <= 50 THEN 1 ELSE 0 END + CASE WHEN illumination > 0.1 THEN 1 ELSE 0 END
+  CASE WHEN slope <= 12 AND roughness <= 5 AND illumination > 0.1 AND psr < 0.5 AND p >= 50 THEN 'PASS'
+    WHEN (CASE WHEN slope <= 12 THEN 1 ELSE 0 END + CASE WHEN roughness <= 5 THEN 1 ELSE 0 END + CASE WHEN illumination > 0.1 THEN 1 ELSE 0 END
       + CASE WHEN psr < 0.5 THEN 1 ELSE 0 END + CASE WHEN p >= 50 THEN 1 ELSE 0 END) >= 2 THEN 'WARN' ELSE 'FAIL' END AS verdict
 FROM marks_at m JOIN pct USING (landmark, mission_id)""", ["marks_at", "pct"])
 def landmark_checks(ws):
     pct = evaluate.percentile_of_score(marks_at(ws), ws.scores.filter("final > 0"), "final", ["mission_id"], ["landmark"]).drop("_s")
     work = marks_at(ws).join(pct, ["landmark", "mission_id"])
     key = ["landmark", "mission_id"]
-    names = {"slope": ("slope_check", F.col("slope") <= 12.0, F.col("slope"), "<= 12"), "roughness": ("rough_check", F.col("roughness") <= 50.0, F.col("roughness"), "<= 50"),
+    names = {"slope": ("slope_check", F.col("slope") <= 12.0, F.col("slope"), "<= 12"), "roughness": ("rough_check", F.col("roughness") <= 5.0, F.col("roughness"), "<= 5"),
              "illumination": ("lit_check", F.col("illumination") > 0.1, F.col("illumination"), "> 0.1"), "shadow": ("dark_check", F.col("psr") < 0.5, F.col("psr"), "< 0.5"),
              "percentile": ("pct_check", F.col("percentile") >= 50.0, F.col("percentile"), ">= 50")}
     long = evaluate.checks_long(work, key, [evaluate.check(n, ok, v, want) for n, (_, ok, v, want) in names.items()])
@@ -278,6 +280,26 @@ def landmark_checks(ws):
     return wide.join(evaluate.verdict(long, key).select(*key, "verdict"), key)
 
 
+@query("ice_site_checks", """
+WITH u AS (SELECT x.mission_id, x.mission FROM scores x JOIN missions m USING (mission_id, region) WHERE x.slope < m.max_slope_deg),
+p AS (SELECT m.landmark, m.mission_id, 100 * avg(CASE WHEN u.mission <= m.mission THEN 1.0 ELSE 0.0 END) AS pct FROM marks_at m JOIN u USING (mission_id) GROUP BY ALL),
+c AS (SELECT m.landmark, m.mission_id, coalesce(m.psr >= 0.5, false) AS dark, coalesce(pct >= 50, false) AS ranked,
+  coalesce(0.6 * (1 - coalesce(l.coltemp, 1)) + 0.4 * (0.6 * prox + 0.4 * lat_score), 0) >= 0.3 AS volatile
+  FROM marks_at m LEFT JOIN p USING (landmark, mission_id) JOIN layers l ON l.region = m.region AND l.row = m.row AND l.col = m.col)
+SELECT landmark, mission_id, CASE WHEN dark THEN 'PASS' ELSE 'FAIL' END AS shadow_check, CASE WHEN ranked THEN 'PASS' ELSE 'FAIL' END AS mission_check,
+  CASE WHEN volatile THEN 'PASS' ELSE 'FAIL' END AS volatile_check, CASE WHEN dark AND ranked THEN 'both' WHEN dark OR ranked THEN 'one' ELSE 'none' END AS verdict FROM c""",
+       ["marks_at", "scores", "missions", "layers"])
+def ice_site_checks(ws):
+    """Every landmark held against what is known of an ice site: in shadow, better than half of the gentle terrain, volatiles likely."""
+    gentle = ws.scores.join(ws.missions.select("mission_id", "max_slope_deg"), "mission_id").filter("slope < max_slope_deg")
+    at = write_table(marks_at(ws), "marks")
+    pct = evaluate.percentile_of_score(at, gentle, "mission", ["mission_id"], ["landmark"]).drop("_s")
+    volatile = ws.layers.select("region", "row", "col", scoring.science_parts()["volatile_detection"].alias("volatile"))
+    work = at.join(pct, ["landmark", "mission_id"], "left").join(volatile, ["region", "row", "col"])
+    checks = evaluate.ice_site(F.col("psr"), F.col("percentile"), F.col("volatile"))
+    return work.select("landmark", "mission_id", *[v.alias(k) for k, v in checks.items()])
+
+
 @query("planned_and_actual", """
 SELECT a.landmark, a.mission_id, round(sqrt(((a.row - b.row) ** 2 + (a.col - b.col) ** 2)::DOUBLE) * 0.6, 6) AS offset_km, round(a.final - b.final, 6) AS score_gain,
   abs(a.slope - 12) <= 5 AS slope_match FROM marks_at a JOIN marks_at b ON b.mission_id = a.mission_id AND b.landmark = (a.landmark + (SELECT count(*) FROM regions))""", ["marks_at", "regions"])
@@ -330,12 +352,12 @@ def ridge_goals(ws):
     return evaluate.ridge_goals(starts, ws.terrain, 0.2)
 
 
-@query("persist_by_mission", "SELECT mission_id, count(*) AS n, round(sum(final), 6) AS total FROM sites WHERE region = 'R0' GROUP BY 1", ["sites"])
+@query("persist_by_mission", "SELECT mission_id, count(*) AS n, round(sum(final), 6) AS total FROM sites GROUP BY 1", ["sites"])
 def persist_by_mission(ws):
-    """Results written by mission, read back with a partition filter."""
-    path = f"{work_folder(ws.spark)}/selenogrid/sites-by-mission"
-    ws.sites.drop("reasoning").write.mode("overwrite").partitionBy("mission_id").parquet(path)
-    back = ws.spark.read.parquet(path).filter(F.col("mission_id").endswith("/R0"))
+    """The results of every mission, written and read back; a reader of one mission opens the folder of its bucket only."""
+    path = f"{work_folder(ws.spark)}/selenogrid/sites-by-mission-{uuid.uuid4().hex[:12]}"
+    ingest.write_by_mission(ws.sites.drop("reasoning"), path)
+    back = ws.spark.read.parquet(path)
     return back.groupBy("mission_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("final"), 6).alias("total"))
 
 
@@ -445,6 +467,13 @@ def class_forest(ws):
     return found.select("cls", "support", (F.col("accuracy") >= 0.8).alias("accurate"))
 
 
+@query("class_every_cell", "SELECT region, count(*) AS n_cells, count(*) AS n_predicted, true AS agrees FROM labelled GROUP BY region", ["labelled"])
+def class_every_cell(ws):
+    """A class for every cell of every region, and whether eight in ten are the rules' own."""
+    right = F.avg((F.col("cls") == F.col("label")).cast("double"))
+    return ws.predicted.groupBy("region").agg(F.count(F.lit(1)).alias("n_cells"), F.sum(F.col("cls").between(0, 4).cast("long")).alias("n_predicted"), (right >= 0.8).alias("agrees"))
+
+
 @query("class_importances", "SELECT CAST(r AS INT) AS rank, true AS is_share FROM range(1, 4) t(r) WHERE EXISTS (SELECT 1 FROM labelled)", ["labelled"])
 def class_importances(ws):
     return classify.importances(ws.spark, ws.forest).select("rank", F.col("importance").between(0.0, 1.0).alias("is_share"))

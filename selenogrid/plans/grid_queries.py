@@ -62,6 +62,14 @@ def load_uploaded(ws):
     return ws.cells.select(*KEY, F.round(decode.uploaded_metres(value, kind, F.lit(7.0)), 6).alias("metres"))
 
 
+@query("upload_plausibility", """
+SELECT s_suppkey AS upload, round(abs(s_acctbal * 2000), 6) AS resolution_m, abs(s_acctbal * 2000) > 0 AND abs(s_acctbal * 2000) <= 1e7::DOUBLE AS plausible FROM supplier""", [])
+def upload_plausibility(ws):
+    """Every supplier's balance read as the signed pixel size of an uploaded grid."""
+    size = F.col("s_acctbal").cast("double") * 2000
+    return ws.source("supplier").select(F.col("s_suppkey").alias("upload"), F.round(F.abs(size), 6).alias("resolution_m"), decode.plausible_size(size).alias("plausible"))
+
+
 @query("resolve_layer", """
 WITH caller AS (SELECT region, row, col, raw_illum / 22500 AS illumination FROM sparse WHERE region = 'R0' AND quality >= 3),
 bundled AS (SELECT region, row, col, illumination FROM sparse WHERE region <> 'R1'),
@@ -119,7 +127,7 @@ def write_downsampled(ws):
 
 @query("block_mean_partial_blocks", """
 SELECT region, row // 12 AS row, col // 12 AS col, round(avg(elevation), 6) AS elevation, 7200.0::DOUBLE AS resolution_m
-FROM cells WHERE row < 60 AND col < 60 GROUP BY ALL""".replace("round(avg(elevation), 6)", "round(avg(elevation), 6)"), ["cells"])
+FROM cells GROUP BY ALL""", ["cells"])
 def block_mean_partial_blocks(ws):
     return resample.block_mean(ws.cells, 12, ["elevation"]).select(*KEY, r6("elevation"), "resolution_m")
 

@@ -84,6 +84,13 @@ def sites_rerank_by_class(ws):
     return sites.rerank_by_class(ws.sites, classes).select(*MR, r6("adjusted"), "new_rank")
 
 
+@query("sites_rerank_by_forest")
+def sites_rerank_by_forest(ws):
+    """By the class that the trained forest gives each site's cell; not stated in SQL, since the forest is not."""
+    out = sites.rerank_by_class(ws.sites, ws.predicted.select("region", "row", "col", "cls"))
+    return out.select(*MR, "cls", r6("adjusted"), "new_rank")
+
+
 @query("sites_within_reach", """
 WITH d AS (SELECT s.mission_id, s.rank, sqrt(((s.row - t.row) ** 2 + (s.col - t.col) ** 2)::DOUBLE) AS d FROM sites s
   JOIN sites t ON t.mission_id = s.mission_id AND t.rank = 1)

@@ -241,12 +241,13 @@ class Workspace:
         three = F.col("rank") <= 3
         m = at.groupBy("mission_id", "mission_type", "power_source", "psr_intent").agg(
             F.max(F.when(F.col("rank") == 1, F.col("mission"))).alias("m1"), F.max(F.when(F.col("rank") == 1, F.col("final"))).alias("f1"),
-            F.sum((F.col("psr") >= 0.5).cast("int")).alias("dark"), F.min(F.when(three, F.coalesce("shadow_m", F.lit(1e9)))).alias("near"),
+            F.max(F.when(F.col("rank") == 1, F.col("psr"))).alias("p1"), F.sum((F.col("psr") >= 0.5).cast("int")).alias("dark"), F.min(F.when(three, F.coalesce("shadow_m", F.lit(1e9)))).alias("near"),
             F.avg(F.when(three, F.col("illumination"))).alias("lit"), F.avg(F.when(three, F.col("mission"))).alias("m3"),
             F.avg(F.when(three, F.col("elevation"))).alias("e3"), F.max("elevation_p50").alias("e50"))
         ice, solar = F.col("mission_type") == "water_ice", F.col("power_source") == "solar"
         rules = [
             (ice & (F.col("psr_intent") == "enter"), "mission score positive", F.col("m1") > 0, "m1", "> 0"),
+            (ice & (F.col("psr_intent") == "enter") & ~solar & (F.col("p1") >= 0.5), "shadow site not zeroed", F.col("f1") > 0, "f1", "> 0"),
             (ice, "final score positive", F.col("f1") > 0, "f1", "> 0"),
             (ice & (F.col("psr_intent") == "rim") & ~solar, "near shadow", F.col("near") <= 5000, "near", "<= 5000"),
             (solar, "no solar site in shadow", F.col("dark") == 0, "dark", "0"),
@@ -271,6 +272,11 @@ class Workspace:
             self._forest = classify.train(classify.stratified(self.labelled).filter("fold = 'train'"))
         return self._forest
 
+    @stored
+    def predicted(self) -> DataFrame:
+        """The forest's class of every cell of every region, beside the rule label."""
+        return classify.predict(self.forest, self.labelled).select("region", "row", "col", "label", "cls")
+
     @stored
     def fold_metrics(self) -> DataFrame:
         return classify.cross_validate(self.labelled)
@@ -278,6 +284,8 @@ class Workspace:
     @stored
     def brief(self) -> DataFrame:
         lit = sites.with_sunlight(self.kept_sites, self.regions, self.cells, "illumination")
+        classes = classify.rule_label(*[F.col(c) for c in ("slope", "roughness", "safety", "mission", "final")])
+        lit = lit.withColumn("cls", classes)
         routes = self.route_stats.select(
             "mission_id", "has_route", F.col("total_distance_km").alias("km"), F.col("waypoint_count").alias("cells"), F.col("estimated_time_hrs").alias("hours"),
             F.col("max_slope_deg").alias("peak"), F.col("mean_slope_deg").alias("mean_slope"), F.col("soft_terrain_pct").alias("soft_pct"),

@@ -74,6 +74,12 @@ def resolve_layer(caller: DataFrame, bundled: DataFrame, regions: DataFrame, nam
     )
 
 
+def write_by_mission(df: DataFrame, path: str, kind: str = "parquet", buckets: int = 16) -> None:
+    """Results of many missions in one folder for each of a few buckets of missions, one file each: not a folder a mission."""
+    bucket = F.pmod(F.xxhash64("mission_id"), F.lit(buckets)).cast("int")
+    df.withColumn("bucket", bucket).repartition("bucket").write.mode("errorifexists").partitionBy("bucket").format(kind).save(path)
+
+
 def inventory(spark: SparkSession, cells: DataFrame, regions: DataFrame) -> DataFrame:
     """Expected against present layers of every region."""
     known = [n for n, _ in LAYER_INVENTORY if n in cells.columns]

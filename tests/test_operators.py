@@ -126,19 +126,19 @@ def greedy(points, n, sep):
     return kept
 
 
-@pytest.mark.parametrize("front", [3, 2000])
-def test_spaced_top_is_the_exact_greedy_result(spark, monkeypatch, front):
-    monkeypatch.setattr(sites, "FRONT", front)
+@pytest.mark.parametrize(("n", "sep"), [(6, 12.0), (100, 5.5), (3, 1.0)])
+def test_spaced_top_is_the_exact_greedy_result(spark, n, sep):
     rng = np.random.default_rng(1)
     groups = {}
-    for g in ("a", "b"):
+    for g in ("a", "b", None):
         groups[g] = [(int(r), int(c), float(s)) for r, c, s in zip(rng.integers(0, 40, 80), rng.integers(0, 40, 80), rng.integers(1, 6, 80) / 10, strict=True)]
         groups[g] = list({(r, c): (r, c, s) for r, c, s in groups[g]}.values())
     df = spark.createDataFrame([(g, *p) for g, ps in groups.items() for p in ps], "grp string, row int, col int, s double")
-    got = sites.spaced_top(df, ["grp"], "s", 6, 12.0).toPandas().sort_values(["grp", "rank"])
+    got = sites.spaced_top(df, ["grp"], "s", n, sep).collect()
     for g, ps in groups.items():
-        rows = got[got["grp"] == g]
-        assert list(zip(rows["row"], rows["col"], strict=True)) == greedy(ps, 6, 12.0)
+        mine = sorted((r["rank"], r["row"], r["col"]) for r in got if r["grp"] == g)
+        assert mine == [(i + 1, *rc) for i, rc in enumerate(greedy(ps, n, sep))]
+    assert sites.spaced_top(df.limit(0), ["grp"], "s", n, sep).count() == 0
 
 
 def plan(spark, cost, start, goal, tile):
