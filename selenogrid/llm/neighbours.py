@@ -5,7 +5,7 @@ planes meet in blocks of bounded size. There are as many sketches as keep the ch
 never meet the same at every size. Then rounds of NN-descent, until few entries change: whoever share a neighbour are
 compared, lists keep the nearest. Vectors within half the linking angle of one direction become a class: all pairs of a class are then linked for
 sure and are counted, never listed, however large a group of near copies is. The lists of the leaders are made anew, and
-a list whose farthest entry is still near enough to matter is saturated: it is enlarged until it is not. What remains are
+a list whose farthest entry is still near enough to matter is saturated: it alone is enlarged until it is not. What remains are
 the edges over the threshold between classes, which members that meet in sketches give too; where two classes straddle
 the threshold, their members are compared. Links between classes are audited against all vectors; what further tries find
 is added, and where that is not enough all classes are compared with all.
@@ -158,18 +158,22 @@ def _blocks(points: DataFrame, n: int, dim: int, count: int, salt: int) -> Itera
         yield rows.withColumn("task", F.pmod("block", F.lit(max(8, here * n // ROWS))))
 
 
-def _descend(points: DataFrame, lists: DataFrame, n: int, k: int) -> DataFrame:
-    """One round: the neighbours of a vector, and those whose neighbour it is, are compared with one another."""
+def _descend(points: DataFrame, lists: DataFrame, n: int, k: int, asked: DataFrame | None = None) -> DataFrame:
+    """One round: the neighbours of a vector, and those whose neighbour it is, are compared with one another. Where only some ids are
+    ``asked`` for, only groups that hold one of them meet, and only their lists are given."""
     out = lists.select(F.col("id").alias("a"), F.explode("near.other").alias("b"))
     edges = out.unionByName(out.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     edges = write_table(edges, "edges")
+    if asked is not None:
+        edges = write_table(edges.join(edges.join(asked.select(F.col("id").alias("b")), "b", "left_semi").select("a").distinct(), "a", "left_semi"), "edges")
     # those who have a very common neighbour meet in several groups; their own lists bring them together elsewhere too
     crowds = edges.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
     edges = edges.join(write_table(crowds, "crowds"), "a")
     meeting = F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts")))
     met = edges.select(meeting.alias("meeting"), F.col("b").alias("id")).join(points, "id").withColumn("task", F.pmod("meeting", F.lit(max(8, n * k // ROWS))))
     fresh = met.groupBy("task").applyInPandas(lambda part: _nearest(part, "meeting", k), _FOUND)
-    return _best(_entries(lists).unionByName(fresh), k)
+    found = _entries(lists).unionByName(fresh)
+    return _best(found if asked is None else found.join(asked, "id", "left_semi"), k)
 
 
 def _changed(old: DataFrame, new: DataFrame) -> float:
@@ -180,23 +184,35 @@ def _changed(old: DataFrame, new: DataFrame) -> float:
     return (changed or 0) / max(1, all_ or 0)
 
 
-def neighbour_lists(points: DataFrame, n: int, dim: int, floor: float, wide: float, k: int = LIST, salt: int = 7) -> DataFrame:
+def neighbour_lists(points: DataFrame, n: int, dim: int, wide: float, k: int = LIST, salt: int = 7) -> DataFrame:
     """``(id, near)`` for ``n`` ``points`` (id, x): about the k nearest by cosine, from sketches for the angle ``wide``. Rounds end when they
-    change few entries. While any list is saturated, its last entry at ``floor`` or above, the lists are made twice as long and refined
-    again."""
+    change few entries."""
     lists = None
     for met in _blocks(points, n, dim, _sketches(n, wide), salt):
         found = met.groupBy("task").applyInPandas(lambda part: _nearest(part, "block", k), _FOUND)
         lists = write_table(_best(found if lists is None else _entries(lists).unionByName(found), k), "near")
     while True:
-        while True:
-            before, lists = lists, write_table(_descend(points, lists, n, k), "near")
-            if _changed(before, lists) <= SETTLED:
-                break
-        full = lists.filter((F.size("near") >= k) & (F.element_at("near", -1)["cos"] >= floor)).limit(1).count()
-        if not full or k >= n - 1:
+        before, lists = lists, write_table(_descend(points, lists, n, k), "near")
+        if _changed(before, lists) <= SETTLED:
+            return lists
+
+
+def enlarged(points: DataFrame, lists: DataFrame, n: int, floor: float, k: int) -> DataFrame:
+    """The lists of ``neighbour_lists``, those longer that are saturated: full, and their last entry at ``floor`` or above. Only they are
+    made twice as long and refined, again and again; a crowd costs the rest of the table nothing."""
+    while True:
+        full = lists.filter((F.size("near") >= k) & (F.element_at("near", -1)["cos"] >= floor)).select("id")
+        full = write_table(full, "saturated")
+        count = full.count()
+        if not count or k >= n - 1:
             return lists
         k = min(2 * k, n - 1)
+        while True:
+            more = write_table(_descend(points, lists, count, k, full), "near")
+            changed = _changed(lists.join(full, "id", "left_semi"), more)
+            lists = write_table(lists.join(full, "id", "left_anti").unionByName(more), "near")
+            if changed <= SETTLED:
+                break
 
 
 _PAIRS = "a long, b long"
@@ -353,7 +369,7 @@ def _linked(points: DataFrame, n: int, dim: int, least: float) -> tuple[DataFram
     wide = math.acos(least)
     k, salt = LIST, 7
     single = write_table(_single(points), "single")
-    lists = neighbour_lists(single, n, dim, 2.0, wide, k, salt)
+    lists = neighbour_lists(single, n, dim, wide, k, salt)
     classes = write_table(_classes(points, lists, wide / 2 - SLACK), "classes")
     members = points.join(classes, "id", "left").withColumn("label", F.coalesce("label", "id"))
     members = write_table(members, "members")
@@ -374,7 +390,10 @@ def _linked(points: DataFrame, n: int, dim: int, least: float) -> tuple[DataFram
     parts = members.join(crowd.select("label", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts")), "label").select("label", "id", "unit", "copies", "parts")
     for left in range(TRIES, -1, -1):
         if left:
-            near = _entries(neighbour_lists(heads, n2, dim, floor, wide, min(k, max(1, n2 - 1)), salt + 1)).filter(F.col("cos") >= floor)
+            k2 = min(k, max(1, n2 - 1))
+            # where no class was made the heads are the members, whose lists are there
+            of_heads = lists if n2 == n and salt == 7 else neighbour_lists(heads, n2, dim, wide, k2, salt + 1)
+            near = _entries(enlarged(heads, of_heads, n2, floor, k2)).filter(F.col("cos") >= floor)
             known = known.unionByName(near.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")))
             if n2 < n:  # else members are the heads
                 known = known.unionByName(_met(rows, n, dim, wide, salt + 1000))

@@ -27,24 +27,26 @@ KNOWN_FORMS = r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[0-9A-Za-z]{36}|^xox[abpr]-
 NAMES = r"password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth"
 RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 ASSIGNED = re.compile(rf"(?:{NAMES})[\"']?\s{{0,4}}[:=]\s{{0,4}}[\"']?([^\s\"',;]{{6,}})", re.I)
-NAME_BEFORE = re.compile(rf"(?:{NAMES})[\"']?\s{{0,4}}[:=]\s{{0,4}}[\"']?$", re.I)
 PLACEHOLDER = re.compile(r"example|sample|dummy|changeme|your|xxxx|0000|1234567|(.)\1{5}", re.I)
-#: Words of the dictionary, the commonest of the corpus, and their least letters.
-DICTIONARY, LEAST_LETTERS = 4000, 4
+#: A word is in the dictionary if at least this share of all occurrences in documents are its own, so there are at most 50,000 of them; its least letters.
+SHARE, LEAST_LETTERS = 1 / 50_000, 4
 #: Labelled findings that are learned from at most, and the size of the forest.
 MOST_LABELS, TREES, DEPTH = 10_000, 40, 8
 HASHES = 16
-AROUND = 40
+#: Characters before a value that hold a name and what stands between; the patterns of a name cannot match more.
+NAMED = 40
+NAME = re.compile(NAMES.replace("[_-]?", "_?"), re.I)
 
 
-def dictionary(docs: DataFrame, size: int = DICTIONARY, text: str = "text") -> list[str]:
-    """The ``size`` words of ASCII letters found in the most documents, ties by name. Counted over all texts."""
+def dictionary(docs: DataFrame, share: float = SHARE, text: str = "text") -> list[str]:
+    """Words of letters, in order, whose documents are at least ``share`` of the documents of all words together; so there are at
+    most 1 / ``share`` of them, and as many at every size of the corpus. Counted over all texts."""
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
 
         def out() -> pa.RecordBatch:
-            words = [w for w in seen if len(w) >= LEAST_LETTERS and w.isascii() and w.isalpha()]
+            words = [w for w in seen if len(w) >= LEAST_LETTERS and w.isalpha()]
             return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[w] for w in words], pa.int64())], ["word", "n"])
 
         for part in batches(rows, text="_text"):
@@ -56,11 +58,14 @@ def dictionary(docs: DataFrame, size: int = DICTIONARY, text: str = "text") -> l
         yield out()
 
     counts = docs.select(F.col(text).alias("_text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
+    counts = write_table(counts, "word-counts")
+    all_ = counts.agg(F.sum("n")).first()[0] or 0
+    return sorted(r.word for r in counts.filter(F.col("n") >= share * all_).select("word").collect())
 
 
-def candidates(text: str | None) -> list[tuple[int, str, str, str]]:
-    """``(start, value, words before, words after)`` of each candidate of a text, in order; the parts around are 40 characters at most."""
+def candidates(text: str | None) -> list[tuple[int, str, str, list[str], list[str]]]:
+    """``(start, value, what stands before, two words before, word after)`` of each candidate of a text, in order. Words are whole, however
+    long; names that values are assigned to are not among them, since labels may come from these."""
     found: dict[int, str] = {}
     for m in RUN.finditer(text or ""):
         if any(c.isdigit() for c in m.group()):
@@ -72,10 +77,25 @@ def candidates(text: str | None) -> list[tuple[int, str, str, str]]:
         value = found[at]
         if at >= end:
             end = at + len(value)
-            out.append((at, value, text[max(0, at - AROUND) : at], text[end : end + AROUND]))
+            out.append((at, value, text[max(0, at - NAMED) : at], _words(text, at, -1, 2), _words(text, end, 1, 1)))
     return out
 
 
+def _words(text: str, at: int, side: int, n: int) -> list[str]:
+    """The ``n`` words nearest to a place, before it (-1) or after it (1), names left out. As much is read as they need."""
+    span = 64
+    while True:
+        part = text[max(0, at - span) : at] if side < 0 else text[at : at + span]
+        whole = span >= (at if side < 0 else len(text) - at)
+        words = re.findall(r"\w+", part)
+        if not whole and words:
+            words = words[1:] if side < 0 else words[:-1]  # the farthest may be cut
+        words = [w for w in words if not NAME.search(w)]
+        if whole or len(words) >= n:
+            return words[-n:] if side < 0 else words[:n]
+        span *= 4
+
+
 def covered(value: str, words: set[str], longest: int) -> float:
     """Share of the characters of a value that lie in dictionary words, the longest first from the left."""
     low, at, hit = value.lower(), 0, 0
@@ -94,20 +114,19 @@ def _hash(word: str) -> int:
     return zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % HASHES
 
 
-def features(value: str, before: str, after: str, path: str | None, words: set[str], longest: int) -> list[float]:
+def features(value: str, near: list[str], far: list[str], path: str | None, words: set[str], longest: int) -> list[float]:
     n = len(value)
     kinds = [_kind(c) for c in value]
     moves = [0.0] * 16
     for a, b in zip(kinds, kinds[1:], strict=False):
         moves[4 * a + b] += 1 / max(1, n - 1)
     share = [c / n for c in Counter(value).values()]
-    near, far = re.findall(r"\w+", before)[-2:], re.findall(r"\w+", after)[:1]
     around = [0.0] * (2 * HASHES)
     for w in near:
         around[_hash(w)] = 1.0
     for w in far:
         around[HASHES + _hash(w)] = 1.0
-    return [float(n), -sum(p * math.log2(p) for p in share), covered(value, words, longest), float(bool(NAME_BEFORE.search(before))),
+    return [float(n), -sum(p * math.log2(p) for p in share), covered(value, words, longest),
             float(_hash(path or "")), float(set(value.lower()) <= set("0123456789abcdef")), *moves, *around]
 
 
@@ -121,9 +140,9 @@ def findings(docs: DataFrame, words: list[str], text: str = "text", path: str =
         for part in batches(rows, text="_text"):
             at, found = [], []
             for i, (path_, t) in enumerate(zip(part.column("_path").to_pylist(), part.column("_text").to_pylist(), strict=True)):
-                for start, value, before, after in candidates(t):
+                for start, value, before, near, far in candidates(t):
                     at.append(i)
-                    found.append((start, value, before, features(value, before, after, path_, known, longest)))
+                    found.append((start, value, before, features(value, near, far, path_, known, longest)))
             take = pa.array(at, pa.int64())
             kinds = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.float64()))
             columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)]
@@ -135,7 +154,8 @@ def findings(docs: DataFrame, words: list[str], text: str = "text", path: str =
 
 def seed_label() -> Column:
     """Label of a finding where no reviewer gave one: 1 for the form of a known credential, or a value assigned to a credential's
-    name unless it is a placeholder; 0 for anything else."""
+    name unless it is a placeholder; 0 for anything else. Neither the name nor the form is a feature, so the forest learns what such
+    values look like and where they stand, and can turn down a named value or find one without a name."""
     named = F.col("before").rlike(rf"(?i)(?:{NAMES})[\"']?\s{{0,4}}[:=]\s{{0,4}}[\"']?$")
     dummy = F.col("value").rlike(rf"(?i){PLACEHOLDER.pattern}")
     return F.when((F.col("value").rlike(KNOWN_FORMS) | named) & ~dummy, 1.0).otherwise(0.0)

@@ -204,5 +204,7 @@ def test_secret_labels_may_be_given_or_all_alike(spark):
 
 def test_coverage_takes_the_longest_word_first():
     assert secrets.covered("passwordXYkey1", {"pass", "password", "word"}, 8) == 8 / 14
-    assert secrets.candidates("api_key=abcdef1234567890abcd; x") == [(8, "abcdef1234567890abcd", "api_key=", "; x")]
+    assert secrets.candidates("my api_key=abcdef1234567890abcd; x") == [(11, "abcdef1234567890abcd", "my api_key=", ["my"], ["x"])]
+    far = secrets.candidates("a " + "w" * 5_000 + " token: abcdef1234567890abcd " + "z" * 9_000)
+    assert far[0][3:] == (["a", "w" * 5_000], ["z" * 9_000])
     assert secrets.candidates(None) == [] and secrets.candidates("password: hunter2x")[0][1] == "hunter2x"

@@ -54,6 +54,33 @@ def test_links_and_components_match_all_pairs(spark, rows):
     assert [bool(g[3]) for g in got if g[0] is not None] == [bool(w[3]) for w in want if w[0] is not None]
 
 
+def test_a_loose_crowd_beside_single_pairs(spark):
+    """Vectors of which a crowd straddles the threshold and makes no class: its lists grow, the others' do not."""
+    r = np.random.default_rng(6)
+    x = r.standard_normal((1200, 32))
+    x[:150] = r.standard_normal(32) + 0.23 * r.standard_normal((150, 32))
+    for i in range(150, 350, 2):  # pairs just over the threshold
+        u = x[i] / np.linalg.norm(x[i])
+        side = r.standard_normal(32)
+        side -= side @ u * u
+        x[i + 1] = 0.951 * u + np.sqrt(1 - 0.951**2) * side / np.linalg.norm(side)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    want = {w[0]: w for w in brute(rows)}
+    crowd = np.mean([want[i][1] for i in range(150)])
+    assert 10 < crowd < 149
+    got = {g.vec_id: g for g in neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert all(got[i].n_links <= want[i][1] for i in want)
+    assert sum(g.n_links for g in got.values()) >= 0.99 * sum(w[1] for w in want.values())
+    assert sum(got[i].n_links == 1 for i in range(150, 350)) >= 198
+    assert np.mean([got[i].component_id == want[i][2] for i in want]) >= 0.995
+    units = np.array([v / np.linalg.norm(v) for v in x], "<f4")
+    points = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(units)], "id long, x binary")
+    wide = float(np.arccos(0.95))
+    lists = neighbours.neighbour_lists(points, len(x), 32, wide)
+    size = {row.id: len(row.near) for row in neighbours.enlarged(points, lists, len(x), float(np.cos(wide + 1e-3)), neighbours.LIST).collect()}
+    assert max(size[i] for i in range(150, 1200)) == neighbours.LIST and max(size[i] for i in range(150)) > neighbours.LIST
+
+
 def test_nothing_to_compare(spark):
     df = spark.createDataFrame([(1, None), (2, None)], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, neighbours.near_duplicates(df).collect())) == [(1, 0, 1, True), (2, 0, 2, True)]
