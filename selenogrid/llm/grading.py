@@ -32,13 +32,14 @@ def _slot(name: str) -> int:
 
 
 class Features:
-    """Hashed features of a text: words and shapes of words by their share, and doc-wide facts in steps."""
+    """Hashed features of a text: words and shapes of words by their share, and doc-wide facts in steps. Facts end in an open step: a mean
+    word of 30 characters or more, 2^20 words or more, 2^12 words a line or more."""
 
     def __init__(self):
         self.known: dict[str, tuple[int, int]] = {}
 
     def _word(self, word: str) -> tuple[int, int]:
-        shape = word[:64]
+        shape = word
         for pattern, sign in SHAPES:
             shape = pattern.sub(sign, shape)
         return _slot(f"w {word.lower()}"), _slot(f"s {shape}")
@@ -96,7 +97,9 @@ def train(docs: DataFrame, ratings: DataFrame, grade: str = "grade", levels: int
           text: str = "text", doc_id: str = "doc_id") -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds from at most ``most`` rated documents (doc_id, grade 0 to levels - 1); grades outside are left out.
 
-    Without any rating all weights are 0 and every grade is as likely.
+    Null ids and grades are left out, and so are held-out ids. An id with several grades has the greatest; documents that share an id
+    are all learned from with it. Null and empty texts have their facts only. Without any rating, or any document of a rated id, all
+    weights are 0 and every grade is as likely.
     """
     usable = ratings.filter(F.col(grade).between(0, levels - 1))
 

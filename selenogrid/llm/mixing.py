@@ -68,7 +68,12 @@ def budgets(leaves: DataFrame, levels: Sequence[str], weights: Mapping[str, Mapp
 def plan(docs: DataFrame, levels: Sequence[str], weights: Mapping[str, Mapping[str, float]], share: float, epochs: int, seed: int,
          text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row a leaf: the levels, n_docs, tokens, budget, ``whole`` epochs, and the last place (``last_h``, ``last_id``) of the
-    further epoch that is taken; null where none is."""
+    further epoch that is taken; null where none is.
+
+    A null level is a value of its own, at its weight of 1; a null text has no tokens and a null id counts as ''. Repeated rows count
+    each and are taken or left together, as are different rows of one id: they have one place in the order, so a budget is
+    undershot rather than split between them. A leaf without tokens has no budget. An empty table gives no rows.
+    """
     rows = write_table(docs.select(*levels, F.col(doc_id).alias("id"), word_count(text).alias("n_tokens")), "mix-tokens")
     leaves = rows.groupBy(*levels).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("tokens"))
     leaves = budgets(write_table(leaves, "mix-leaves"), levels, weights, share, epochs)
@@ -95,7 +100,11 @@ def plan(docs: DataFrame, levels: Sequence[str], weights: Mapping[str, Mapping[s
 
 def mix(docs: DataFrame, leaves: DataFrame, levels: Sequence[str], seed: int, doc_id: str = "doc_id") -> DataFrame:
     """The documents of the mixture, once for every epoch that takes them, with ``epoch`` (from 0). Texts are not shuffled
-    unless the table of leaves is too large for the planner to broadcast."""
+    unless the table of leaves is too large for the planner to broadcast.
+
+    Rows keep all their columns, whatever their names but ``epoch``; repeated rows are repeated. Documents of a leaf that ``leaves`` does
+    not name are left out, and so is all of a leaf whose budget is 0. An empty table gives no rows.
+    """
     whole = docs.select(F.struct(*docs.columns).alias("_doc"), *levels, F.col(doc_id).alias("_id"))
     rows = _joined(whole, write_table(leaves, "mix-plan"), levels)
     h = spread(seed, "whole", "_id")

@@ -163,7 +163,8 @@ def seed_label() -> Column:
 
 def train(labelled: DataFrame, most: int = MOST_LABELS, seed: int = 42) -> RandomForestClassificationModel | None:
     """A forest from ``(doc_id, start, value, features, label)``: at most ``most`` findings in a seeded order, those of held-out documents left
-    out, repeated values once. None where the findings have one label only."""
+    out, repeated values once: of equal values with one label the first by document and place stands for all, and a value with two labels is
+    learned with both. Null ids are not held out. None where the findings have one label only, or there are none."""
     once = labelled.filter(~held_out("doc_id")).groupBy("value", "label").agg(F.min_by("features", F.struct("doc_id", "start")).alias("features"))
     rows = once.orderBy(spread(seed, "value"), "value", "label").limit(most).select(array_to_vector("features").alias("features"), "label")
     rows = write_table(rows, "secret-labels")
@@ -177,7 +178,9 @@ def scan(docs: DataFrame, labels: DataFrame | None = None, threshold: float = 0.
     """``(doc_id, hash, start, value, score, is_secret)``: one row a candidate.
 
     ``labels`` are reviewed findings (doc_id, start, label); without them, ``seed_label`` labels the findings. A candidate gets its score
-    from the forest; where all labels are the same, that label is the score. Repeated documents have their findings repeated.
+    from the forest; where all labels are the same, that label is the score. Repeated documents have their findings repeated. A null or
+    empty text has none; values of any length are read whole; a score equal to ``threshold`` is a secret. Reviewed labels that are
+    null are left out. Other columns are not read, and an empty table gives no rows.
     """
     found = write_table(findings(docs, dictionary(docs, text=text), text, path, doc_id), "findings")
     if labels is None:
