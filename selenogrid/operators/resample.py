@@ -22,10 +22,9 @@ def block_mean(cells: DataFrame, factor: int, layers: list[str]) -> DataFrame:
 
 def target_grid(targets: DataFrame) -> DataFrame:
     """Cells of the target grids. ``targets``: region, t_height, t_width, t_resolution_m, t_origin_x, t_origin_y and the
-    source geometry."""
-    return targets.select("*", F.explode(F.sequence(F.lit(0), F.col("t_height") - 1)).alias("t_row")).select(
-        "*", F.explode(F.sequence(F.lit(0), F.col("t_width") - 1)).alias("t_col")
-    )
+    source geometry. Rows are dealt out before they become cells, so that no task makes a whole grid."""
+    rows = targets.select("*", F.explode(F.sequence(F.lit(0), F.col("t_height") - 1)).alias("t_row")).repartition("region", "t_row")
+    return rows.select("*", F.explode(F.sequence(F.lit(0), F.col("t_width") - 1)).alias("t_col"))
 
 
 def _source(grid: DataFrame, half: float) -> tuple[Column, Column]:

@@ -28,9 +28,11 @@ def build_session(app: str = "selenogrid", master: str | None = None, **conf: st
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a fresh local one only where that is unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``; a fresh local one where that is unset and the master is local (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
