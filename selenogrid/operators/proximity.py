@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from selenogrid.functions import geo
 from selenogrid.operators.distance import nearest_to_points
+from selenogrid.session import write_table
 
 BLOCK = 64
 
@@ -32,16 +35,34 @@ def near_cells(points: DataFrame, cells: DataFrame, reach: int, block: int = BLO
 def snap_to_passable(points: DataFrame, passable: DataFrame, key: list[str], reach: int = 50) -> DataFrame:
     """Nearest passable cell: smallest square ring first, then squared distance, then scan order; NULL beyond reach.
 
-    ``passable`` holds only passable cells, and shares every column of ``key`` that it has.
+    ``passable`` holds only passable cells, and shares every column of ``key`` that it has. Rings come first, so what is found within a few
+    rings is final: points look at their own cell, then within reaches that grow fourfold, and only those that found nothing
+    look farther.
     """
     shared = [k for k in key if k in passable.columns and k != "region"]
-    pairs = near_cells(points, passable.select("region", "row", "col", *[F.col(k).alias(f"_c_{k}") for k in shared]), reach)
-    for k in shared:
-        pairs = pairs.filter(F.col(k) == F.col(f"_c_{k}"))
+    cells = passable.select("region", "row", "col", *[F.col(k).alias(f"_c_{k}") for k in shared])
     dr, dc = F.col("row") - F.col("p_row"), F.col("col") - F.col("p_col")
     order = F.struct(F.greatest(F.abs(dr), F.abs(dc)), dr * dr + dc * dc, dr, dc, F.col("row"), F.col("col"))
-    best = pairs.groupBy(*key).agg(F.min(order).alias("_o")).select(*key, F.col("_o.row").alias("row"), F.col("_o.col").alias("col"))
-    return points.join(best, key, "left")
+    left = write_table(points.select(*dict.fromkeys([*key, "region", "p_row", "p_col"])), "snap-left")
+    found, near = None, 0
+    while True:
+        if near:
+            pairs = near_cells(left, cells, near)
+            for k in shared:
+                pairs = pairs.filter(F.col(k) == F.col(f"_c_{k}"))
+        else:
+            own = [F.col("p_row") == F.col("row"), F.col("p_col") == F.col("col"), *[F.col(k) == F.col(f"_c_{k}") for k in shared]]
+            pairs = left.join(cells.withColumnRenamed("region", "_region"), reduce(lambda x, y: x & y, own, F.col("region") == F.col("_region")))
+        best = pairs.groupBy(*key).agg(F.min(order).alias("_o")).select(*key, F.col("_o.row").alias("row"), F.col("_o.col").alias("col"))
+        best = write_table(best, "snapped")
+        found = best if found is None else found.unionByName(best)
+        if near >= reach:
+            break
+        left = write_table(left.join(best, key, "left_anti"), "snap-left")
+        if not left.limit(1).count():
+            break
+        near = min(reach, max(3, 4 * near))
+    return points.join(found, key, "left")
 
 
 def nearest_where(starts: DataFrame, targets: DataFrame, key: list[str]) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Labels spread tile by tile. A task takes one (mission, tile) with the labels that entered it, settles the tile with
 vector sweeps, and hands improved labels at its edge to the next tiles; rounds therefore grow with tiles crossed, not with
-cells. Labels only ever improve, so every round's improvements are appended as a written table and the current label of a
-cell is the minimum. The cost is the exact optimum; among equal costs the smallest (row, col) predecessor is taken.
+cells. Labels only ever improve, so every round's improvements are appended as a written table, by row of tiles, and the current label
+of a cell is the minimum; a round reads those of its tiles only. The cost is the exact optimum; among equal costs the smallest (row, col) predecessor is taken.
 """
 
 from __future__ import annotations
@@ -80,7 +80,10 @@ def least_cost(costs: DataFrame, starts: DataFrame, goals: DataFrame, tile: int
     messages = starts.join(tiled.drop("band"), [*key, "row", "col"]).select(
         *key, "tile_r", "tile_c", "row", "col", F.lit(0.0).alias("base"), F.lit(0.0).alias("factor"))
     messages = write_table(messages, "messages")
+    wanted = write_table(goals.select(*key, "row", "col").distinct(), "goals")
+    asked = write_table(wanted.groupBy(*key).agg(F.count(F.lit(1)).alias("n_goals")), "goals")
     rounds: list[DataFrame] = []
+    met: DataFrame | None = None
     while True:  # ends when no label is improved any more
         active = messages.select(*key, "tile_r", "tile_c").distinct()
         bands = [row[0] for row in messages.select("tile_r").distinct().collect()]  # at most one per row of tiles
@@ -89,12 +92,14 @@ def least_cost(costs: DataFrame, starts: DataFrame, goals: DataFrame, tile: int
                                F.lit(None).cast("double").alias("factor")),
                    messages.select(*key, "tile_r", "tile_c", "row", "col", F.lit(None).cast("double").alias("cost"), "base", "factor")]
         if rounds:
-            known = reduce(DataFrame.unionByName, rounds).join(active, [*key, "tile_r", "tile_c"], "left_semi")
+            # earlier labels are stored by row of tiles too, and only those of the tiles at work are read
+            known = reduce(DataFrame.unionByName, rounds).filter(F.col("band").isin(bands)).join(active, [*key, "tile_r", "tile_c"], "left_semi")
             entries.append(known.select(*key, "tile_r", "tile_c", "row", "col", F.lit(None).cast("double").alias("cost"),
                                         F.col("g").alias("base"), F.lit(-1.0).alias("factor")))
         work = reduce(DataFrame.unionByName, entries)
-        improved = write_table(work.groupBy(*key, "tile_r", "tile_c").applyInPandas(
-            _settle(tile), "mission_id string, region string, tile_r int, tile_c int, row int, col int, g double, cost double"), "labels")
+        improved = work.groupBy(*key, "tile_r", "tile_c").applyInPandas(
+            _settle(tile), "mission_id string, region string, tile_r int, tile_c int, row int, col int, g double, cost double")
+        improved = write_table(improved.withColumn("band", F.col("tile_r")), "labels", ["band"])
         rounds.append(improved)
         moves = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc"),
                                    F.lit(SQRT2 if dr and dc else 1.0).alias("f")) for dr, dc in MOVES])
@@ -104,8 +109,10 @@ def least_cost(costs: DataFrame, starts: DataFrame, goals: DataFrame, tile: int
             (F.col("col") + F.col("m.dc")).alias("col"), F.col("g").alias("base"), F.col("m.f").alias("factor"))
         out = out.withColumn("tile_r", F.floor(F.col("row") / tile).cast("int")).withColumn(
             "tile_c", F.floor(F.col("col") / tile).cast("int")).filter("tile_r <> o_r OR tile_c <> o_c")
-        reached = labels(rounds).join(goals.select(*key, "row", "col").distinct(), [*key, "row", "col"], "right")
-        bound = reached.groupBy(*key).agg(F.when(F.count("g") == F.count(F.lit(1)), F.max("g")).alias("bound"))
+        # the labels of the goals are kept from round to round
+        hit = improved.join(wanted, [*key, "row", "col"]).select(*key, "row", "col", "g")
+        met = write_table((hit if met is None else met.unionByName(hit)).groupBy(*key, "row", "col").agg(F.min("g").alias("g")), "met-goals")
+        bound = met.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("g").alias("bound")).join(asked, key).filter("n = n_goals").select(*key, "bound")
         out = out.join(bound, key, "left").filter("bound IS NULL OR base < bound")
         messages = write_table(out.select(*key, "tile_r", "tile_c", "row", "col", "base", "factor"), "messages")
         if not messages.limit(1).count():
