@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from grids import cells, dbscan, dijkstra, grid
 from selenogrid.functions import geo, physics
 from selenogrid.operators import cluster, energy, evaluate, ordered, proximity, quantiles, routing, sites
+from selenogrid.session import write_table
 from selenogrid.sources import ingest
 
 
@@ -298,3 +299,27 @@ def test_verdicts(spark):
 def test_grid_helper_reads_back(spark):
     a = np.arange(6.0).reshape(2, 3)
     assert (grid(cells(spark, {"r": {"x": a}}), "x", a.shape) == a).all()
+
+
+def test_clusters_of_near_copies(spark, monkeypatch):
+    """Copies that differ in the last digits are nodes of many positions: their links are settled without comparing all of them."""
+    rng = np.random.default_rng(5)
+    base = np.vstack([rng.normal(0.0, 0.25, size=(30, 4)), rng.uniform(-1, 2, size=(20, 4))])
+    x = np.vstack([base + rng.normal(0, 1e-12, base.shape) for _ in range(12)])
+    names = ["f0", "f1", "f2", "f3"]
+    df = spark.createDataFrame(pd.DataFrame({"grp": "g", "id": np.arange(len(x)), **{n: x[:, i] for i, n in enumerate(names)}}))
+    written = {}
+
+    def count(frame, name, *rest):
+        out = write_table(frame, name, *rest)
+        written[name] = max(written.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(cluster, "write_table", count)
+    got = cluster.density_cluster(df, names, 0.2, 10, ["grp"]).toPandas().sort_values("id")
+    assert got["cluster"].fillna(-1).astype(int).tolist() == dbscan(x, 0.2, 10).tolist()
+    # a bucket as wide as the copies are apart holds all twelve of them, and pairs of buckets are refined once
+    assert written.get("links", 0) < len(base) ** 2
+    d = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), 1)[:, 14]
+    kth = cluster.kth_distance(df, names, 15, ["grp"], 0.1).toPandas().sort_values("id")
+    assert np.allclose(kth["d"], d)
