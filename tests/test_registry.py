@@ -41,3 +41,10 @@ def test_matches_sql(spark, duck, name):
     rel = duck.sql(oracle_sql()[name])
     b = sorted((tuple(r) for r in rel.project(", ".join(f'"{c}"' for c in cols)).fetchall()), key=key)
     assert a == b
+
+
+def test_pairs_of_a_small_file_are_spread(spark, monkeypatch):
+    from selenogrid.plans import grid_queries
+
+    monkeypatch.setattr(grid_queries, "PAIRS_IN_TASK", 10, raising=False)
+    assert queries()["great_circle"](spark, SMALL).rdd.getNumPartitions() > 1
