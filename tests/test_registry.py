@@ -44,7 +44,23 @@ def test_matches_sql(spark, duck, name):
 
 
 def test_pairs_of_a_small_file_are_spread(spark, monkeypatch):
+    found = queries()
     from selenogrid.plans import grid_queries
 
     monkeypatch.setattr(grid_queries, "PAIRS_IN_TASK", 10, raising=False)
-    assert queries()["great_circle"](spark, SMALL).rdd.getNumPartitions() > 1
+    assert found["great_circle"](spark, SMALL).rdd.getNumPartitions() > 1
+
+
+def test_landmarks_do_not_score_every_cell(spark, duck):
+    assert queries()
+    from selenogrid.plans import eval_queries
+    from selenogrid.plans.workspace import Workspace
+
+    ws = Workspace(spark, SMALL)
+    for name in ("best_and_worst_landmark", "planned_and_actual"):
+        got = getattr(eval_queries, name)(ws)
+        cols = sorted(got.columns)
+        a = sorted((tuple(r[c] for c in cols) for r in got.collect()), key=key)
+        rel = duck.sql(oracle_sql()[name])
+        assert a == sorted((tuple(r) for r in rel.project(", ".join(f'"{c}"' for c in cols)).fetchall()), key=key)
+    assert "scores" not in ws._tables
