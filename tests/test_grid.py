@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from grids import box, cells, grid
 from selenogrid.operators import distance, terrain
-from selenogrid.operators.grid import Box, densify, stencil
+from selenogrid.operators.grid import Box, Shift, densify, stencil, tiled
 
 T = np.tan
 
@@ -111,3 +111,24 @@ def test_boxes_wider_than_the_region(spark):
     out = stencil(cells(spark, {"r": {"x": a}}), [Box("m", "mean", F.col("x"), 31), Box("t", "max", F.col("x"), 15), Box("s", "sum", F.col("x"), 25)]).cache()
     for name, size, fold in (("m", 31, np.mean), ("t", 15, np.max), ("s", 25, np.sum)):
         assert np.allclose(grid(out, name, a.shape), box(a, size, fold))
+
+
+@pytest.mark.parametrize("tile", [4, 7, 256])
+def test_tiles_as_arrays_match_the_windows(spark, tile):
+    rng = np.random.default_rng(8)
+    regions = {n: {"x": np.where(rng.random(shape) < 0.2, np.nan, rng.normal(size=shape) * 100)} for n, shape in (("r", (23, 19)), ("flat", (3, 16)), ("one", (1, 1)))}
+    df = cells(spark, regions).withColumn("tag", F.array(F.col("region")))
+    x, z, n = F.col("x"), F.coalesce("x", F.lit(0.0)), F.col("x").isNotNull().cast("int")
+    boxes = [b for s in (3, 10, 17) for b in (
+        Box(f"avg{s}", "avg", x, s), Box(f"max{s}", "max", x, s), Box(f"min{s}", "min", x, s), Box(f"sum{s}", "sum", n, s), Box(f"mean{s}", "mean", z, s))]
+    shifts = [Shift("v", x), Shift("w", z)]
+    a, b = stencil(df, boxes, shifts, tile=tile), tiled(df, boxes, shifts, tile=tile)
+    assert a.columns == b.columns and [f.dataType for f in a.schema] == [f.dataType for f in b.schema]
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert b.count() == 23 * 19 + 3 * 16 + 1 and b.filter("isnan(avg3) OR isnan(v_w)").count() == 0
+
+
+def test_tiles_as_arrays_copy_no_cell_inside(spark):
+    out = tiled(cells(spark, {"r": {"x": np.ones((64, 64))}}), [Box("m", "mean", F.col("x"), 25)])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan and out.count() == 4096
