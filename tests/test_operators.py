@@ -220,6 +220,17 @@ def test_quantiles_of_outliers_ties_and_small_groups(spark, monkeypatch, accurac
     assert quantiles.quantiles(df, spec, accuracy=accuracy).count() == len(values) - 1
 
 
+def test_many_small_groups_are_ranked_without_sketches(spark, monkeypatch):
+    def none(*_):
+        raise AssertionError("small groups need no sketch")
+
+    monkeypatch.setattr(quantiles.F, "percentile_approx", none)
+    v = np.random.default_rng(6).normal(size=(40, 50))
+    df = spark.createDataFrame(pd.DataFrame({"region": np.repeat(np.arange(40), 50), "x": v.ravel()}))
+    got = quantiles.quantiles(df, {"x": (F.col("x"), [0.05, 0.7])}).toPandas().set_index("region").sort_index()
+    assert np.allclose(got[["x_p5", "x_p70"]].to_numpy(), np.quantile(v, [0.05, 0.7], axis=1).T)
+
+
 def test_ranks_with_an_outlier_and_a_value_of_most_rows(spark, monkeypatch):
     monkeypatch.setattr(ordered, "PART", 50)
     rng = np.random.default_rng(8)
