@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from grids import box, cells, grid
 from selenogrid.operators import distance, terrain
-from selenogrid.operators.grid import Box, Shift, densify, stencil, tiled
+from selenogrid.operators.grid import Box, Shift, box_shares, densify, stencil, tiled
 
 T = np.tan
 
@@ -132,3 +132,18 @@ def test_tiles_as_arrays_copy_no_cell_inside(spark):
     out = tiled(cells(spark, {"r": {"x": np.ones((64, 64))}}), [Box("m", "mean", F.col("x"), 25)])
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan and out.count() == 4096
+
+
+@pytest.mark.parametrize("tile", [5, 256])
+def test_shares_of_all_limits_from_one_copy(spark, tile):
+    rng = np.random.default_rng(2)
+    arrays = {n: np.where(rng.random(s) < 0.2, np.nan, rng.random(s) * 30) for n, s in (("a", (13, 9)), ("b", (4, 17)), ("unasked", (3, 3)))}
+    df = cells(spark, {n: {"x": a} for n, a in arrays.items()})
+    pairs = {"a": [(12.0, 1), (12.0, 3), (20.0, 2)], "b": [(7.5, 5)]}
+    asked = spark.createDataFrame([(n, i + 1, *p) for n, ps in pairs.items() for i, p in enumerate(ps)][::-1], "region string, place int, limit double, radius int")
+    out = box_shares(df, F.col("x"), asked, "s", tile=tile).cache()
+    assert out.count() == 13 * 9 + 4 * 17
+    for n, ps in pairs.items():
+        for i, (limit, radius) in enumerate(ps):
+            want = box((arrays[n] <= limit).astype(float), 2 * radius + 1, np.mean)
+            assert np.allclose(grid(out.withColumn("one", F.col("s")[i]), "one", want.shape, n), want)
