@@ -146,4 +146,4 @@ def test_shares_of_all_limits_from_one_copy(spark, tile):
     for n, ps in pairs.items():
         for i, (limit, radius) in enumerate(ps):
             want = box((arrays[n] <= limit).astype(float), 2 * radius + 1, np.mean)
-            assert np.allclose(grid(out.withColumn("one", F.col("s")[i]), "one", want.shape, n), want)
+            assert np.allclose(grid(out.withColumn("one", F.get("s", F.lit(i))), "one", want.shape, n), want)
