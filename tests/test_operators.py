@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from grids import cells, dbscan, dijkstra, grid
 from selenogrid.functions import geo, physics
-from selenogrid.operators import cluster, energy, evaluate, ordered, proximity, quantiles, routing, sites
+from selenogrid.operators import cluster, energy, evaluate, ordered, proximity, quantiles, resample, routing, sites
 from selenogrid.session import write_table
 from selenogrid.sources import ingest
 
@@ -334,3 +334,33 @@ def test_clusters_of_near_copies(spark, monkeypatch):
     d = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), 1)[:, 14]
     kth = cluster.kth_distance(df, names, 15, ["grp"], 0.1).toPandas().sort_values("id")
     assert np.allclose(kth["d"], d)
+
+
+def test_cells_at_zero_are_not_sent_to_the_peaks(spark, monkeypatch):
+    score = np.array([[0, 0, 0.5], [0.2, 0, 0], [0, 0.1, 0]])
+    seen = []
+    whole = sites.nb.derive
+    monkeypatch.setattr(sites.nb, "derive", lambda cells, *a, **k: seen.append(cells.count()) or whole(cells, *a, **k))
+    found = sites.candidates(cells(spark, {"A": {"final": score}}), ["region"], "final", 2)
+    assert {(r["row"], r["col"]) for r in found.collect()} == {(0, 2), (1, 0)} and seen == [3]
+
+
+@pytest.mark.parametrize("tile, fine", [(256, 90.0), (4, 90.0), (8, 15.0)])
+def test_bilinear_across_tiles(spark, tile, fine):
+    rng = np.random.default_rng(3)
+    z = rng.normal(size=(11, 13))
+    z[rng.random(z.shape) < 0.2] = np.nan
+    source = cells(spark, {"A": {"z": z}})
+    side = int(900 / fine)
+    one = source.select("region", "resolution_m", "origin_x", "origin_y").distinct()
+    target = one.selectExpr("*", f"{side} t_height", f"{side} t_width", f"{fine}D t_resolution_m", "-65D t_origin_x", "47D t_origin_y")
+    rows = resample.reproject_bilinear(resample.target_grid(target), source, ["z"], tile).collect()
+    assert len(rows) == side * side
+    for got in rows:
+        r, c = -(47 - (got["t_row"] + 0.5) * fine) / 60 - 0.5, (-65 + (got["t_col"] + 0.5) * fine) / 60 - 0.5
+        r0, c0, total, weight = math.floor(r), math.floor(c), 0.0, 0.0
+        for i, j in ((0, 0), (0, 1), (1, 0), (1, 1)):
+            if 0 <= r0 + i < 11 and 0 <= c0 + j < 13 and not math.isnan(z[r0 + i, c0 + j]):
+                w = abs(1 - i - (r - r0)) * abs(1 - j - (c - c0))
+                total, weight = total + w * z[r0 + i, c0 + j], weight + w
+        assert got["z"] == (pytest.approx(total / weight) if weight > 0 else None)
