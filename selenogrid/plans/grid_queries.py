@@ -122,6 +122,8 @@ FROM cells GROUP BY ALL""", ["cells"])
 SELECT region, row, col, round(elevation, 8) AS elevation, round(illumination, 8) AS illumination FROM half""", ["half"])
 def write_downsampled(ws):
     small = resample.block_mean(ws.cells, 2, ["elevation", "illumination"])
+    # a region's folder gets one file for every 256 rows, not one from every task
+    small = small.repartition("region", F.floor(F.col("row") / 256))
     return write_table(small, "half", ["region"]).select(*KEY, r6("elevation", 8), r6("illumination", 8))
 
 
