@@ -64,3 +64,41 @@ def test_landmarks_do_not_score_every_cell(spark, duck):
         rel = duck.sql(oracle_sql()[name])
         assert a == sorted((tuple(r) for r in rel.project(", ".join(f'"{c}"' for c in cols)).fetchall()), key=key)
     assert "scores" not in ws._tables
+
+
+@pytest.mark.parametrize("module, name, unread", [
+    ("route_queries", "path_energy", "scores"), ("route_queries", "recharge_totals", "scores"), ("eval_queries", "class_folds", "varied"),
+    ("site_queries", "distance_to_shadow_uncut", "decoded"), ("site_queries", "distance_across_tiles", "decoded"), ("cluster_queries", "standardize", "layers")])
+def test_only_tables_that_a_query_needs_are_built(spark, duck, module, name, unread):
+    assert queries()
+    from selenogrid import plans
+    from selenogrid.plans.workspace import Workspace
+
+    ws = Workspace(spark, SMALL)
+    got = getattr(getattr(plans, module), name)(ws)
+    cols = sorted(got.columns)
+    a = sorted((tuple(r[c] for c in cols) for r in got.collect()), key=key)
+    rel = duck.sql(oracle_sql()[name])
+    assert a == sorted((tuple(r) for r in rel.project(", ".join(f'"{c}"' for c in cols)).fetchall()), key=key)
+    assert unread not in ws._tables
+
+
+def test_long_methods_are_not_left_to_the_interpreter(spark):
+    from selenogrid.plans.workspace import Workspace
+
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+    Workspace(spark, SMALL)
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_a_region_of_downsampled_cells_is_one_file(spark):
+    assert queries()
+    from selenogrid.plans import grid_queries
+    from selenogrid.plans.workspace import Workspace
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = grid_queries.write_downsampled(Workspace(spark, SMALL)).inputFiles()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(files) == len({f.rsplit("/", 2)[1] for f in files})
