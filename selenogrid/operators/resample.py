@@ -1,11 +1,16 @@
-"""Changing the grid: block means, reprojection by equi-join on source cells, fusion, sampling at points."""
+"""Changing the grid: block means, reprojection by cell or tile of the source, fusion, sampling at points."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from selenogrid.functions import geo
+from selenogrid.operators.grid import TILE
 
 
 def block_mean(cells: DataFrame, factor: int, layers: list[str]) -> DataFrame:
@@ -53,17 +58,53 @@ def corners(points: DataFrame, r: Column, c: Column) -> DataFrame:
     return points.select("*", F.explode(four).alias("_k")).select(*points.columns, "_k.*")
 
 
-def reproject_bilinear(grid: DataFrame, cells: DataFrame, layers: list[str]) -> DataFrame:
-    """Weighted mean of the corners that hold data; NULL where none does."""
-    r, c = _source(grid, 0.5)
-    near = corners(grid.select("region", "t_row", "t_col", r.alias("_r"), c.alias("_c")), F.col("_r"), F.col("_c"))
-    joined = near.join(cells.select("region", "row", "col", *layers), ["region", "row", "col"], "left")
-
-    def mean(n: str) -> Column:
-        weight = F.sum(F.when(F.col(n).isNotNull(), F.col("w")))
-        return F.when(weight > 0, F.sum(F.col(n) * F.col("w")) / F.when(weight > 0, weight)).alias(n)
+def reproject_bilinear(grid: DataFrame, cells: DataFrame, layers: list[str], tile: int = TILE) -> DataFrame:
+    """Weighted mean of the corners that hold data; NULL where none does.
 
-    return joined.groupBy("region", "t_row", "t_col").agg(*[mean(n) for n in layers])
+    Targets and cells meet once, by tile of the source: a cell is copied only where a tile's last corner lies in the next one. Tiles are
+    narrower where targets are finer than the source, so that a tile has about as many of them.
+    """
+    r, c = _source(grid, 0.5)
+    finest = grid.agg(F.min(F.col("t_resolution_m") / F.col("resolution_m"))).collect()[0][0] or 1.0
+    side = max(1, min(tile, int(tile * finest)))
+
+    def home(pos: Column) -> Column:
+        return F.floor(pos / side).cast("int")
+
+    asked = grid.select("region", "t_row", "t_col", r.alias("_r"), c.alias("_c"), home(F.floor(r)).alias("tile_row"), home(F.floor(c)).alias("tile_col"))
+    near = cells.select("region", "row", "col", *[F.col(n).cast("double").alias(n) for n in layers])
+    for axis in ("row", "col"):
+        near = near.select("*", F.explode(F.sequence(home(F.col(axis) - 1), home(F.col(axis)))).alias(f"tile_{axis}"))
+    schema = StructType([*[asked.schema[n] for n in ("region", "t_row", "t_col")], *[near.schema[n] for n in layers]])
+    arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema])
+
+    def mean(asked: pa.Table, near: pa.Table) -> pa.Table:
+        if not len(asked):
+            return arrow.empty_table()
+        first = [asked.column(n)[0].as_py() * side for n in ("tile_row", "tile_col")]
+        pos = [asked.column(n).to_numpy() for n in ("_r", "_c")]
+        low = [np.floor(p) for p in pos]
+        share = [p - o for p, o in zip(pos, low, strict=True)]
+        at = [(o - f).astype(np.int64) for o, f in zip(low, first, strict=True)]
+        seat = tuple(near.column(n).to_numpy().astype(np.int64) - f for n, f in zip(("row", "col"), first, strict=True))
+        out = asked.select(["region", "t_row", "t_col"])
+        for n in layers:
+            plane = np.full((side + 1, side + 1), np.nan)
+            plane[seat] = near.column(n).to_numpy()
+            total, weight = np.zeros(len(asked)), np.zeros(len(asked))
+            for dr in (0, 1):
+                for dc in (0, 1):
+                    w = (share[0] if dr else 1.0 - share[0]) * (share[1] if dc else 1.0 - share[1])
+                    x = plane[at[0] + dr, at[1] + dc]
+                    known = ~np.isnan(x)
+                    total += np.where(known, x * w, 0.0)
+                    weight += np.where(known, w, 0.0)
+            value = np.where(weight > 0, total / np.where(weight > 0, weight, 1.0), np.nan)
+            out = out.append_column(n, pa.array(value, from_pandas=True))
+        return out.cast(arrow)
+
+    keys = ["region", "tile_row", "tile_col"]
+    return asked.groupBy(*keys).cogroup(near.groupBy(*keys)).applyInArrow(mean, schema)
 
 
 def sample_bilinear(points: DataFrame, cells: DataFrame, key: list[str], value: str) -> DataFrame:
