@@ -102,3 +102,17 @@ def test_a_region_of_downsampled_cells_is_one_file(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert len(files) == len({f.rsplit("/", 2)[1] for f in files})
+
+
+def test_the_forest_passes_over_the_cells_of_sites_only(spark):
+    assert queries()
+    from selenogrid.operators import classify, sites
+    from selenogrid.plans import site_queries
+    from selenogrid.plans.workspace import Workspace
+
+    ws = Workspace(spark, SMALL)
+    ws._forest = classify.train(ws.labelled, trees=3, depth=4)
+    got = site_queries.sites_rerank_by_forest(ws).select("mission_id", "rank", "cls", "new_rank")
+    whole = sites.rerank_by_class(ws.sites, classify.predict(ws.forest, ws.labelled).select("region", "row", "col", "cls"))
+    assert got.count() and sorted(got.collect()) == sorted(whole.select("mission_id", "rank", "cls", "new_rank").collect())
+    assert "predicted" not in ws._tables
