@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from grids import cells, dbscan, dijkstra, grid
 from selenogrid.functions import geo, physics
-from selenogrid.operators import cluster, energy, evaluate, ordered, proximity, quantiles, resample, routing, sites
+from selenogrid.operators import cluster, cluster_tiles, energy, evaluate, ordered, proximity, quantiles, resample, routing, sites
 from selenogrid.session import write_table
 from selenogrid.sources import ingest
 
@@ -364,3 +364,42 @@ def test_bilinear_across_tiles(spark, tile, fine):
                 w = abs(1 - i - (r - r0)) * abs(1 - j - (c - c0))
                 total, weight = total + w * z[r0 + i, c0 + j], weight + w
         assert got["z"] == (pytest.approx(total / weight) if weight > 0 else None)
+
+
+@pytest.mark.parametrize("sides, most", [((16, 8, 4), 10**6), ((4,), 10**6), ((4,), 0)])
+def test_clusters_across_tiles_write_no_pairs(spark, monkeypatch, sides, most):
+    """Clusters, borders and equal points that lie across the sides of tiles, in two groups; nothing grows with the pairs of points within reach."""
+    monkeypatch.setattr(cluster, "TILE_SIDES", sides)
+    monkeypatch.setattr(cluster, "MOST_IN_TILE", most)
+    rng = np.random.default_rng(8)
+    names, eps = ["f0", "f1", "f2", "f3"], 0.2
+    line = np.linspace(-2, 2, 120)[:, None] * np.ones(4) + rng.normal(0, 0.02, (120, 4))
+    x = np.vstack([line, rng.normal(0.4, 0.12, (300, 4)), rng.uniform(-2, 2, (150, 4)), np.full((12, 4), 1.6), np.full((9, 4), -0.4)])
+    frames = [pd.DataFrame({"grp": g, "id": np.arange(len(x)) - 50, **{n: x[:, i] * scale for i, n in enumerate(names)}}) for g, scale in (("a", 1.0), ("b", 0.7))]
+    df = spark.createDataFrame(pd.concat(frames))
+    written = {}
+
+    def count(frame, name, *rest):
+        out = write_table(frame, name, *rest)
+        written[name] = max(written.get(name, 0), out.count())
+        return out
+
+    for module in (cluster, cluster_tiles):
+        monkeypatch.setattr(module, "write_table", count)
+    got = cluster.density_cluster(df, names, eps, 8, ["grp"]).toPandas().sort_values(["grp", "id"])
+    for frame in frames:
+        want = dbscan(frame[names].to_numpy(), eps, 8)
+        mine = got[got["grp"] == frame["grp"][0]]["cluster"]
+        assert mine.isna().tolist() == (want < 0).tolist()
+        assert mine.dropna().astype(int).tolist() == (want[want >= 0] - 50).tolist()
+    if most:
+        assert max(written.values()) <= 16 * len(x)
+
+
+def test_dense_cells_of_two_tiles_are_linked_by_their_nearest_points():
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.uniform(0.0, 0.5, (1500, 2)), rng.uniform([1.2, 0.0], [1.7, 0.5], (1500, 2))])
+    key = np.repeat([0, 2], 1500)
+    cells = cluster_tiles.Cells(key, x)
+    least = min(((x[:1500] - y) ** 2).sum(1).min() for y in x[1500:])
+    assert cluster_tiles._touch(cells, 0, 1, least * (1 + 1e-12)) and not cluster_tiles._touch(cells, 0, 1, least * (1 - 1e-9))
