@@ -403,3 +403,23 @@ def test_dense_cells_of_two_tiles_are_linked_by_their_nearest_points():
     cells = cluster_tiles.Cells(key, x)
     least = min(((x[:1500] - y) ** 2).sum(1).min() for y in x[1500:])
     assert cluster_tiles._touch(cells, 0, 1, least * (1 + 1e-12)) and not cluster_tiles._touch(cells, 0, 1, least * (1 - 1e-9))
+
+
+def test_silhouette_of_many_clusters_prunes_them(spark):
+    rng = np.random.default_rng(6)
+    centre = rng.uniform(-20, 20, (900, 2))
+    x = np.vstack([centre + rng.normal(0, 0.3, centre.shape) for _ in range(3)] + [rng.uniform(-20, 20, (1, 2))])
+    label = np.r_[np.tile(np.arange(900), 3), 5000]
+    df = spark.createDataFrame(pd.DataFrame({"label": label, "f0": x[:, 0], "f1": x[:, 1]})).withColumn("label", F.when(F.col("label") != 7, F.col("label")))
+    keep = label != 7
+    x, label = x[keep], label[keep]
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    want = []
+    for i in range(len(x)):
+        same = (label == label[i]) & (np.arange(len(x)) != i)
+        others = pd.Series(d[i][label != label[i]]).groupby(label[label != label[i]]).mean().min()
+        want.append((others - d[i][same].mean()) / max(others, d[i][same].mean()) if same.any() else 0.0)
+    got = cluster.silhouette(df, ["f0", "f1"], "label")
+    assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
+    row = got.first()
+    assert abs(row["silhouette"] - np.mean(want)) < 1e-9 and row["n_points"] == len(x)
