@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from grids import cells, dbscan, dijkstra, grid
 from selenogrid.functions import geo, physics
-from selenogrid.operators import cluster, cluster_tiles, energy, evaluate, ordered, proximity, quantiles, resample, routing, sites
+from selenogrid.operators import batches, cluster, cluster_tiles, energy, evaluate, ordered, proximity, quantiles, resample, routing, sites
 from selenogrid.session import write_table
 from selenogrid.sources import ingest
 
@@ -423,3 +423,28 @@ def test_silhouette_of_many_clusters_prunes_them(spark):
     assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
     row = got.first()
     assert abs(row["silhouette"] - np.mean(want)) < 1e-9 and row["n_points"] == len(x)
+
+
+def test_labels_stay_with_open_cells_and_within_goals(spark, monkeypatch):
+    """One tile is one round: nothing is sent to tiles that are not there, and nothing dearer than the goals is kept."""
+    cost = np.full((12, 12), 10.0)
+    names = []
+
+    def count(frame, name, *rest):
+        names.append(name)
+        return write_table(frame, name, *rest)
+
+    monkeypatch.setattr(routing, "write_table", count)
+    found, steps = plan(spark, cost, (2, 2), (2, 5), 64)
+    assert names.count("labels") == 1 and steps == [(2, 2), (2, 3), (2, 4), (2, 5)]
+    g = {(r["row"], r["col"]): r["g"] for r in found.collect()}
+    assert max(g.values()) == g[2, 5] == 30.0 and (11, 11) not in g
+
+
+@pytest.mark.parametrize("most", [1, 7, 1000])
+def test_batches_part_no_group(most):
+    rows = pd.DataFrame({"k": np.repeat(["a", "b", "c", "d"], [5, 1, 9, 2]), "v": np.arange(17)})
+    seen = list(batches.whole_groups(["k"], lambda part: part, most)(rows.iloc[i:i + 3] for i in range(0, 17, 3)))
+    assert pd.concat(seen)["v"].tolist() == list(range(17))
+    assert sorted(k for part in seen for k in set(part["k"])) == ["a", "b", "c", "d"]
+    assert [rows["k"][lo:hi].tolist() for lo, hi in batches.groups(rows, ["k"])] == [["a"] * 5, ["b"], ["c"] * 9, ["d"] * 2]
