@@ -68,7 +68,9 @@ def test_landmarks_do_not_score_every_cell(spark, duck):
 
 @pytest.mark.parametrize("module, name, unread", [
     ("route_queries", "path_energy", "scores"), ("route_queries", "recharge_totals", "scores"), ("eval_queries", "class_folds", "varied"),
-    ("site_queries", "distance_to_shadow_uncut", "decoded"), ("site_queries", "distance_across_tiles", "decoded"), ("cluster_queries", "standardize", "layers")])
+    ("site_queries", "distance_to_shadow_uncut", "decoded"), ("site_queries", "distance_across_tiles", "decoded"), ("cluster_queries", "standardize", "layers"),
+    ("site_queries", "sites_requested", "scores"), ("site_queries", "sites_top", "scores"), ("route_queries", "route_costs", "scores"),
+    ("route_queries", "route_chosen_goal", "scores")])
 def test_only_tables_that_a_query_needs_are_built(spark, duck, module, name, unread):
     assert queries()
     from selenogrid import plans
